@@ -22,3 +22,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), capacity=4096, end_id=2, with_ids=False)
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.simhash import hex16, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, seed=42, radius=2)
+    return found.select("doc_id", hex16(found["fp"]).alias("fingerprint"), "component_id")
