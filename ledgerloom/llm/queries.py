@@ -30,3 +30,50 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, seed=42, radius=2)
     return found.select("doc_id", hex16(found["fp"]).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.hostrules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), max_rate=0.5).drop("host", "host_rejected")
+
+
+ORACLES["op8_host_rules"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents
+), s AS (
+  SELECT *, list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS lines
+  FROM d
+), g AS (
+  SELECT r, i, array_to_string(w[i:i + 7], ' ') AS gram
+  FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM s WHERE len(w) >= 8)
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1
+), rep AS (
+  SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(8) AS o(k) GROUP BY r
+), m AS (
+  SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM s LEFT JOIN rep USING (r)
+), f AS (
+  SELECT *, n_words < 20 AS short, 100 * n_repeat_words > 30 * n_words AS repetitive FROM m
+), h AS (
+  SELECT host, count(*) AS n, unnest([{'rule': 1, 'f': count_if(short OR repetitive)}, {'rule': 2, 'f': count_if(short)}, {'rule': 3, 'f': count_if(repetitive)}], recursive := true)
+  FROM f WHERE host IS NOT NULL GROUP BY host
+), p AS (
+  SELECT rule, sum(n)::DOUBLE AS nn, sum(f) / sum(n)::DOUBLE AS mean, count(*) AS k, sum(n * (f / n::DOUBLE) ** 2) AS ss, sum(n::DOUBLE * n) AS n2 FROM h GROUP BY rule
+), q AS (
+  SELECT *, (ss / nn - mean * mean - mean * (1 - mean) * (k - 1) / nn) / nullif(1 - n2 / nn / nn, 0) AS between_hosts FROM p
+), v AS (
+  SELECT host, max(CASE WHEN between_hosts > 0 AND mean > 0 AND mean < 1
+      THEN (f + mean * greatest(mean * (1 - mean) / between_hosts - 1, 0)) / (n + greatest(mean * (1 - mean) / between_hosts - 1, 0)) ELSE mean END) > 0.5 AS rejected
+  FROM h JOIN q USING (rule) GROUP BY host
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed,
+       NOT (short OR repetitive) AND NOT coalesce(rejected, false) AS kept
+FROM f LEFT JOIN v USING (host)
+"""
