@@ -77,3 +77,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, shor
        NOT (short OR repetitive) AND NOT coalesce(rejected, false) AS kept
 FROM f LEFT JOIN v USING (host)
 """
+
+
+@query
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
