@@ -84,3 +84,33 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.html_extract import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.warc import round_trip
+
+    captures = round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+    return captures.selectExpr(
+        "page_id",
+        "capture.payload_bytes AS payload_bytes",
+        "capture.payload_digest AS payload_digest",
+        "capture.record_type AS record_type",
+        "refers_to_page AS refers_to",
+    )
+
+
+ORACLES["op1_warc"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + CAST((CAST('0x' || substr(h, CAST(1 + 10 * (i // 8) AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31 AS INT), 1)), '') AS payload_digest,
+         min(page_id) OVER (PARTITION BY h) AS first_id
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d
+"""
