@@ -114,3 +114,10 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM d
 """
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, threshold=0.8)
