@@ -121,3 +121,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.decontam import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, threshold=0.8)
+
+
+@query
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.substring import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"), width=13, with_text=False).drop("factors")
