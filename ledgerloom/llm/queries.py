@@ -128,3 +128,10 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.substring import dedup_substrings
 
     return dedup_substrings(table(spark, sf_dir, "documents"), width=13, with_text=False).drop("factors")
+
+
+@query
+def op5_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.cotrain import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
