@@ -292,7 +292,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, meta_
     sample = sample.select("id", "text", "bad", "low", "toxic", *metas)
     schema = T.StructType([*(sample.schema[c] for c in ("id", "bad", "low", "toxic", *metas)), T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("style", T.ArrayType(T.DoubleType()))])
     rows = sample.mapInArrow(describe, schema).toArrow()
-    order = np.lexsort((np.array([str(x) for x in rows.column("id").to_pylist()]), np.array([xxhash.xxh64_intdigest(str(x)) for x in rows.column("id").to_pylist()], np.uint64)))
+    names = [str(x) for x in rows.column("id").to_pylist()]
+    figures = rows.column("style").combine_chunks().flatten().to_numpy().reshape(-1, STYLES)  # repeated ids may have several texts
+    order = np.lexsort((*figures.T, np.array(names), np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64)))
     rows = rows.take(pa.array(order))
     codes, style = rows.column("codes").combine_chunks(), rows.column("style").combine_chunks()
     doc = np.repeat(np.arange(rows.num_rows), codes.value_lengths().to_numpy() if rows.num_rows else [])
