@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import cut
 from ledgerloom.llm.words import hash_words, slices, split_words, windows
 
 CHUNK_BYTES = 8 << 20
@@ -219,8 +220,9 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     size = base.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     chunks = max(1, -(-size // CHUNK_BYTES))
     named = base.where("doc_id IS NOT NULL").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
-    digests = named.select("doc_id", "chunk", F.unhex(F.sha2("text", 256)).alias("digest"))
-    reps = digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # tables of their own: the text is digested once, and a digest that very many rows share can be split in the join
+    digests = cut(named.select("doc_id", "chunk", F.unhex(F.sha2("text", 256)).alias("digest")))
+    reps = cut(digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"))
     answer = lambda kind, a, b: (F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"))
     copies = digests.join(reps, "digest").where("doc_id > rep").select("chunk", *answer(_COPY, "doc_id", "rep"))
 
