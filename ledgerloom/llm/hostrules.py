@@ -106,6 +106,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     rules = base_rules()
     flags = metrics.select("*", *(c.alias(r) for r, c in rules.items()))
     verdicts = host_verdicts(flags.withColumn("base_failed", F.greatest(*rules)), ["base_failed", *rules], max_rate).select("host", "host_rejected")
+    verdicts = cut(verdicts)  # a table of its own, so that both sides of the join are dealt out for it and a hot host can be split
     joined = flags.join(verdicts, "host", "left").withColumn("base_failed", F.greatest(*rules))
     rejected = F.coalesce("host_rejected", F.lit(False))
     return joined.select(*metrics.columns, "base_failed", rejected.alias("host_rejected"), (~F.col("base_failed") & ~rejected).alias("kept"))
