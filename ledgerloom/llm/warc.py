@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import shared_dir, written
+from ledgerloom.llm.common import cut, shared_dir, written
 
 RECORDS_PER_FILE = 3000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -87,6 +87,7 @@ def write_captures(
     )
     rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload"))
     lead = rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n", "uri")).alias("lead"))
+    lead = cut(lead)  # a table of its own, so that both sides of the join are dealt out for it
     rows = rows.join(lead, "digest", "left")
     revisit = F.col("lead").isNotNull() & (F.col("bytes") >= min_bytes) & (F.col("n") != F.col("lead.n"))
     own = {k: _uuid(k, F.col("id"), F.col("n")) for k in ("request", "response", "metadata")}
