@@ -135,3 +135,10 @@ def op5_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.cotrain import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
+@query
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.lines import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"), threshold=0.8).drop("rid")
