@@ -169,6 +169,18 @@ class Model:
         a, b = self.calibration[name]
         return _sigmoid(a * (x @ w[:-1] + w[-1]) + b)
 
+    def scores(self, texts: pa.Array, metas: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of rejection by text, by metadata and by both."""
+        if self.view is None:
+            return (np.full(len(texts), self.prior),) * 3
+        text = self.probability("text", self.view.matrix(*text_features(texts)))
+        meta = self.probability("meta", meta_matrix([c.to_pylist() for c in metas])) if metas else np.full(len(texts), self.prior)
+        return text, meta, self.combine(text, meta)
+
+    def keeps(self, score: np.ndarray, threshold: float) -> np.ndarray:
+        """A model without training keeps all."""
+        return np.ones(len(score), bool) if self.view is None else score < threshold
+
     def combine(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         """The views' log-odds added, the prior's counted once: they are taken as independent given the class."""
         logit = lambda p: np.log(np.clip(p, 1e-9, 1 - 1e-9) / np.clip(1 - p, 1e-9, 1))
@@ -249,20 +261,35 @@ def score_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                n = part.num_rows
-                if model.view is None:
-                    text = meta = both = np.full(n, model.prior)
-                    kept = np.ones(n, bool)
-                else:
-                    text = model.probability("text", model.view.matrix(*text_features(part.column(1))))
-                    meta = model.probability("meta", meta_matrix([c.to_pylist() for c in part.columns[2:]])) if meta_cols else np.full(n, model.prior)
-                    both = model.combine(text, meta)
-                    kept = both < threshold
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, (text, meta, both, kept))], names=schema.names)
+                text, meta, both = model.scores(part.column(1), part.columns[2:])
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, (text, meta, both, model.keeps(both, threshold)))], names=schema.names)
 
     return _columns(docs, id_col, text_col, meta_cols).mapInArrow(run, schema)
 
 
+def keep_documents(
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"),
+    quality_col: str = "quality",
+    toxic_col: str = "toxic",
+    threshold: float = 0.5,
+) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, that ``score_documents`` keeps; filtered where they are read."""
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, meta_cols=meta_cols, quality_col=quality_col, toxic_col=toxic_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                _, _, both = model.scores(part.column(text_col), [part.column(c) for c in meta_cols])
+                yield part.filter(pa.array(model.keeps(both, threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _columns(docs: DataFrame, id_col: str, text_col: str, meta_cols: tuple[str, ...]) -> DataFrame:
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *(docs[c].alias(f"meta{k}") for k, c in enumerate(meta_cols)))
 

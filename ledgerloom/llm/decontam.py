@@ -179,20 +179,52 @@ def contaminated(
     items give rows of their own, null ids stay null, other columns are ignored. An empty table on
     either side gives no rows.
     """
-    items = benchmark.select(benchmark[item_id_col].alias("item_id"), benchmark[item_text_col].alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    parts = max(1, -(-size // PART_BYTES))
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_id_col].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("item_id", item_kind), T.StructField("start_word", T.LongType()), T.StructField("similarity", T.DoubleType())])
     out = None
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        found = _search(source, schema, [r[0] for r in rows], [r[1] for r in rows], shingle, threshold)
+    for ids, texts in _parts(benchmark, item_id_col, item_text_col):
+        found = _search(source, schema, ids, texts, shingle, threshold)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def uncontaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    shingle: int = 5,
+    threshold: float = 0.8,
+) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, of which ``contaminated`` names none; filtered where they are read."""
+    schema = docs.schema
+    for _, texts in _parts(benchmark, item_id_col, item_text_col):
+        prepared = Benchmark(texts, shingle)
+
+        def run(batches: Iterator[pa.RecordBatch], prepared: Benchmark = prepared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for x in slices(batch, text_col):
+                    keep = np.ones(x.num_rows, bool)
+                    keep[[d for d, _, _, _ in prepared.search(x.column(text_col), threshold)]] = False
+                    yield x.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
+
+
+def _parts(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> Iterator[tuple[list, list[str | None]]]:
+    """The benchmark's ids and texts, about PART_BYTES of them at a time."""
+    items = benchmark.select(benchmark[item_id_col].alias("item_id"), benchmark[item_text_col].alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    parts = max(1, -(-size // PART_BYTES))
+    for part in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
+        yield [r[0] for r in rows], [r[1] for r in rows]
+
+
 def _search(source: DataFrame, schema: T.StructType, ids: list, texts: list[str | None], shingle: int, threshold: float) -> DataFrame:
     prepared = Benchmark(texts, shingle)
 
