@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ledgerloom.llm.words import as_binary, buffers, slices, split_words
 
 #: labelled and unlabelled documents that training sees at most
-MAX_LABELLED, MAX_POOL = 10_000, 5_000
+MAX_LABELLED, MAX_POOL = 6_000, 2_000
 #: rounds of co-training, and pseudo-labels of each class that a view passes on per round at most
 ROUNDS, PER_ROUND = 3, 250
 #: calibrated probability from which a pseudo-label counts as confident
@@ -114,7 +114,7 @@ class TextView:
     @staticmethod
     def choose(doc: np.ndarray, code: np.ndarray, style: np.ndarray, targets: list[np.ndarray]) -> TextView:
         chosen: list[int] = []
-        all_codes, index = np.unique(code, return_inverse=True)
+        all_codes, index = np.unique(code.astype(np.uint32), return_inverse=True)
         n = np.bincount(index, minlength=len(all_codes))
         for y in targets:
             if not 0 < y.sum() < len(y):
@@ -312,12 +312,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, meta_
             for part in slices(batch, "text"):
                 doc, code, style = text_features(part.column("text"))
                 at = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(code))
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(code.astype(np.uint32).view(np.int32)))
                 styles = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * STYLES), pa.array(style.ravel()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "bad", "low", "toxic", *metas)), lists, styles], names=["id", "bad", "low", "toxic", *metas, "codes", "style"])
 
     sample = sample.select("id", "text", "bad", "low", "toxic", *metas)
-    schema = T.StructType([*(sample.schema[c] for c in ("id", "bad", "low", "toxic", *metas)), T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("style", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*(sample.schema[c] for c in ("id", "bad", "low", "toxic", *metas)), T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("style", T.ArrayType(T.DoubleType()))])
     rows = sample.mapInArrow(describe, schema).toArrow()
     names = [str(x) for x in rows.column("id").to_pylist()]
     figures = rows.column("style").combine_chunks().flatten().to_numpy().reshape(-1, STYLES)  # repeated ids may have several texts
@@ -327,4 +327,4 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, meta_
     doc = np.repeat(np.arange(rows.num_rows), codes.value_lengths().to_numpy() if rows.num_rows else [])
     y, low_y, toxic_y = (rows.column(c).to_numpy() for c in ("bad", "low", "toxic"))
     meta = meta_matrix([rows.column(c).to_pylist() for c in metas]) if metas else np.zeros((rows.num_rows, 0))
-    return train((doc, codes.flatten().to_numpy(), style.flatten().to_numpy().reshape(-1, STYLES)), meta, y, [low_y, toxic_y])
+    return train((doc, codes.flatten().to_numpy().view(np.uint32), style.flatten().to_numpy().reshape(-1, STYLES)), meta, y, [low_y, toxic_y])
