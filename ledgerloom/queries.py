@@ -43,7 +43,7 @@ big = lambda x: x.cast("bigint")
 
 
 @query("""
-WITH b AS (SELECT count(*) AS total, count_if(o_orderstatus = 'F') AS done, count_if(o_orderstatus = 'P') AS failed FROM orders),
+WITH b AS (SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'P') AS failed FROM orders),
 u AS (SELECT count(*) AS units FROM documents),
 w AS (SELECT count(*) AS processed FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END) = 0)),
 k AS (SELECT count(*) AS covered, count(DISTINCT CASE WHEN quality = 0 THEN d.doc_id END) AS low, count(DISTINCT CASE WHEN toxic = 1 THEN d.doc_id END) AS toxic FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
@@ -64,7 +64,7 @@ def progress_flagship(t: Tables) -> DataFrame:
     return out.withColumns({"stage": stage, "frozen": F.when(c("covered") == c("units"), c("covered"))})
 
 
-@query("SELECT o_orderpriority, count(*) AS total, count_if(o_orderstatus IN ('F','P')) AS completed, count_if(o_orderstatus = 'F') AS accepted, count_if(o_orderstatus = 'P') AS failed FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus IN ('F','P')) AS completed, count(*) FILTER (o_orderstatus = 'F') AS accepted, count(*) FILTER (o_orderstatus = 'P') AS failed FROM orders GROUP BY 1")
 def batch_counts(t: Tables) -> DataFrame:
     s = c("o_orderstatus")
     return t("orders").groupBy("o_orderpriority").agg(F.count("*").alias("total"), n_of(s.isin("F", "P")).alias("completed"), n_of(s == "F").alias("accepted"), n_of(s == "P").alias("failed"))
