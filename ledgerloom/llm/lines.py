@@ -3,11 +3,11 @@
 A line's shingles are SHINGLE characters long and begin at every word, at every STEP-th letter inside a
 longer Latin word, and at every character of other scripts; the last one ends with the line. Their hashes
 fall into BINS by their leading bits, the least of each bin is the line's signature (one-permutation
-MinHash), and the bins of a band together are a bucket key. Lines of a bucket are compared exactly with the bucket's first and last line.
-If one is like neither, the bucket's lines meet again by the rarest shingles that they share, which any two
-similar lines must, with lines of about their size: each is compared with the first, the last and the three
-nearest in size. All of this is linear in the number of lines; on the check tables it makes 99 % of the
-merges among such lines that comparing all pairs with a shared rare shingle would.
+MinHash), and the bins of a band together are a bucket key. Lines of a bucket are compared exactly with the
+bucket's first and last line. Lines of buckets that hold several components after that meet again by the
+rarest shingles that they share, which any two similar lines must: first with the first and the last that
+have the shingle, then each line with each of another component, in blocks. Pairs inside a component change
+nothing and are left out, so that a group of near copies costs a comparison or two a line.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ SHINGLE, STEP = 12, 6
 #: six bands of two bins find a pair of similarity 0.8 with probability 1 - (1 - 0.8 ** 2) ** 6 = 0.998
 #: (bins go by the four leading bits, and the last four of 16 are not used)
 BINS, BANDS = 12, 6
+#: lines of a bucket that are compared with as many others in one key of a join
+BLOCK = 256
 _EACH = rf"(?s)(?=(.{{{SHINGLE}}}))(?:[!-ɏ]{{1,{STEP}}}+|\S)\s*+"
 _SPACE = " \t\r\x0b\f"
 
@@ -83,22 +85,21 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("lid"), "key", "at", "n", *bands), "nodes")
 
     met = cut(_first_and_last(nodes.select("lid", F.explode(F.array(*bands)).alias("b")).where("b IS NOT NULL")))
-    links = None
+    roots = None
     if not met.isEmpty():
         sizes = nodes.select("lid", "n")
         pairs = cut(_of_like_size(_ordered(met.select("lid", "lead")), sizes, threshold))
         texts = written(_texts(rows, nodes, met.select("lid").distinct()), "texts")
-        links = cut(similar_pairs(pairs, texts, threshold))
-        like = links.select(F.col("u").alias("lid"), F.col("v").alias("lead")).unionByName(links.select(F.col("v").alias("lid"), F.col("u").alias("lead")))
-        settled = met.join(like.withColumn("like", F.lit(True)), ["lid", "lead"], "left").groupBy("lid", "b").agg(F.bool_or((F.col("lid") == F.col("lead")) | F.coalesce("like", F.lit(False))).alias("done"))
-        settled = cut(settled)
-        near = settled.join(settled.where("NOT done").select("b").distinct(), "b", "left_semi").select("lid").distinct()
-        found = _of_like_size(_ordered(prefix_pairs(texts.join(near, "lid", "left_semi"), threshold)), sizes, threshold)
-        found = cut(found.join(pairs, ["u", "v"], "left_anti"))
-        links = cut(links.unionByName(similar_pairs(found, texts, threshold)))
-    if links is None:
+        roots = components(similar_pairs(pairs, texts, threshold))
+        near = cut(_open(met.select("lid", "b"), roots).select("lid").distinct())
+        rare = cut(prefixes(texts.join(near, "lid", "left_semi"), threshold))
+        ends = _ordered(_first_and_last(_open(rare, roots).select("lid", "b")).select("lid", "lead"))
+        found = cut(_of_like_size(ends, sizes, threshold).join(pairs, ["u", "v"], "left_anti"))
+        roots = components(_edges(roots).unionByName(similar_pairs(found, texts, threshold)))
+        rest = block_pairs(_open(rare, roots), threshold).join(pairs.unionByName(found), ["u", "v"], "left_anti")
+        roots = components(_edges(roots).unionByName(similar_pairs(rest, texts, threshold)))
+    if roots is None:
         return lines.join(nodes.select("key", "at"), "key").select("rid", "doc_id", "pos", ((F.col("rid") == F.col("at.rid")) & (F.col("pos") == F.col("at.pos"))).alias("first"))
-    roots = components(links)
     member = nodes.join(roots, nodes["lid"] == roots["node"], "left").select("key", "at", F.coalesce("root", "lid").alias("root"))
     least = cut(member.groupBy("root").agg(F.min("at").alias("least")))
     keep = cut(member.join(least, "root").select("key", F.col("least.rid").alias("krid"), F.col("least.pos").alias("kpos")))
@@ -122,25 +123,53 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("lid", "lead").alias("u"), F.greatest("lid", "lead").alias("v")).where("u <> v").distinct()
 
 
-def prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
-    """(lid, lead) of texts (lid, norm) that may be similar.
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
+def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of buckets (lid, b, ...) of more than one component, with root and the number c of the bucket's rows."""
+    named = buckets.join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
+    several = named.groupBy("b").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return named.join(several.select("b", "c"), "b")
+
+
+def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
+    """(lid, n, r, home, b): the buckets in which texts (lid, norm) meet all that may be similar.
 
     Two sets that are similar share one of each's rarest shingles: of n of them, all but the ceiling of n
     times the threshold, and one more. Passages that many lines share are not among the rarest. Lines meet
-    under such a shingle and a class of size, each in its own class and the next, so that sizes within the
-    threshold of each other meet in one. Of those that meet, not all are paired: see the top of this module.
+    under such a shingle, the r-th of theirs, and a class of size, each in its own class (its home) and the
+    next, so that sizes within the threshold of each other meet in one.
     """
     own = texts.select("lid", F.array_distinct(shingles(F.col("norm"))).alias("h"))
     own = own.select("lid", (F.size("h") - F.ceil(F.size("h") * F.lit(threshold) - 1e-9) + 1).alias("k"), F.size("h").alias("n"), F.explode("h").alias("h"))
     often = own.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
     ranked = own.join(often, "h", "left").withColumn("r", F.row_number().over(Window.partitionBy("lid").orderBy(F.coalesce("often", F.lit(1)), "h")))
     size = F.floor(F.log("n") / -F.log(F.lit(threshold))).cast("int")
-    rare = ranked.where("r <= k AND often > 1").select("lid", "n", F.explode(F.array(F.xxhash64("h", size), F.xxhash64("h", size + 1))).alias("b"))
-    rare = cut(rare)
-    order = Window.partitionBy("b").orderBy("n", "lid")
-    near = {f"x{k}": F.lag("lid", k).over(order) for k in (1, 2, 3)}
-    beside = rare.withColumns(near).select("lid", F.explode(F.array(*near)).alias("lead")).where("lead IS NOT NULL")
-    return _first_and_last(rare.select("lid", "b")).select("lid", "lead").unionByName(beside)
+    return ranked.where("r <= k AND often > 1").select("lid", "n", "r", F.posexplode(F.array(F.xxhash64("h", size), F.xxhash64("h", size + 1))).alias("away", "b")).select("lid", "n", "r", (F.col("away") == 0).alias("home"), "b")
+
+
+def block_pairs(buckets: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (u, v), u the smaller, of all lines of different components that meet in a bucket and may be similar.
+
+    A bucket is dealt into parts of about BLOCK lines, and each two parts are a key of the join. Of two
+    similar lines, the first rare shingle that they share leaves enough shingles after it in both; the pair is
+    found there, and what leaves too few is passed over.
+    """
+    parts = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
+    dealt = buckets.withColumn("m", parts).withColumn("p", F.pmod(F.xxhash64("lid"), F.col("m")).cast("int"))
+    sides = []
+    for side, others in (("u", F.sequence("p", F.col("m") - 1)), ("v", F.sequence(F.lit(0), F.col("p")))):
+        of = dealt.select("b", "p", F.explode(others).alias("q"), *(F.col(x).alias(f"{x}_{side}") for x in ("lid", "n", "r", "home", "root")))
+        sides.append(of.select(F.xxhash64("b", *(("p", "q") if side == "u" else ("q", "p"))).alias("block"), F.col("b").alias(f"b_{side}"), (F.col("p") == F.col("q")).alias(f"one_{side}"), *(f"{x}_{side}" for x in ("lid", "n", "r", "home", "root"))))
+    left, right = (x.withColumnRenamed("block", f"block_{side}") for x, side in zip(sides, "uv", strict=True))
+    may = (F.col("block_u") == F.col("block_v")) & (F.col("b_u") == F.col("b_v")) & (~F.col("one_u") | (F.col("lid_u") < F.col("lid_v"))) & (F.col("root_u") != F.col("root_v"))
+    may &= (F.col("home_u") | F.col("home_v")) & (F.least("n_u", "n_v") >= threshold * F.greatest("n_u", "n_v"))
+    left_over = 1 + F.least(F.col("n_u") - F.col("r_u"), F.col("n_v") - F.col("r_v"))
+    may &= left_over * (1 + threshold) >= threshold * (F.col("n_u") + F.col("n_v")) - 1e-6
+    met = left.join(right, may)
+    return met.select(F.least("lid_u", "lid_v").alias("u"), F.greatest("lid_u", "lid_v").alias("v")).distinct()
 
 
 def _texts(rows: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:

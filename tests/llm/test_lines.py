@@ -81,3 +81,16 @@ def test_edges_of_the_input(spark):
     assert sorted((x.doc_id, x.n_lines, x.n_removed) for x in alone) == [(1, 3, 0), (2, 3, 0)]
     same = dedup_lines(spark.createDataFrame([(1, "one"), (1, "one"), (2, "ONE ")], schema).coalesce(1)).collect()
     assert sorted((x.doc_id, x.n_removed) for x in same) == [(1, 0), (1, 1), (2, 1)]
+
+
+def test_template_groups_against_brute_force(spark):
+    r = random.Random(5)
+    vocab = [[f"{name}{i:02d}" for i in range(n)] for name, n in (("region", 12), ("office", 12), ("status", 8), ("period", 10))]
+    docs = []
+    for d in range(400):
+        a, b, c, e = (r.choice(v) for v in vocab)
+        docs.append((d, f"the quarterly statement of {a} was sent by the {b} department with the final {c} mark for all of the accounts in {e} after review"))
+    want = brute(docs)
+    rows = sorted(dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect(), key=lambda x: x.rid)
+    assert 20 < sum(len(v) for v in want.values()) < 390
+    assert [x.removed for x in rows] == [want[i] for i in range(len(docs))]
