@@ -10,7 +10,7 @@ from ledgerloom.llm.cotrain import keep_documents
 from ledgerloom.llm.decontam import uncontaminated
 from ledgerloom.llm.lines import without_repeats
 from ledgerloom.llm.packing import pack_documents
-from ledgerloom.llm.simhash import one_of_each
+from ledgerloom.llm.similar import one_of_similar
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
-    return one_of_each(docs, shingle=3, radius=2)
+    """The first document of each group whose five-word shingles are similar to 0.8, compared exactly."""
+    return one_of_similar(docs, shingle=5, threshold=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,101 @@
+"""Near-duplicate documents by exact Jaccard similarity of word shingles, found by prefixes of their sets.
+
+At a similarity of 0.8 about 10 of 64 SimHash bits differ (standard deviation 3), which no multi-index over so
+few bits can search; sets in one order, whichever it is, need only share one of their first shingles.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerloom.llm.common import cut, written
+from ledgerloom.llm.graph import components
+from ledgerloom.llm.lines import _edges, _first_and_last, _of_like_size, _open, _ordered, block_pairs
+from ledgerloom.llm.simhash import shingle_hashes
+from ledgerloom.llm.words import as_binary, slices
+
+#: documents that have a shingle in their prefix beyond which it is ordered last, and so many such shingles at
+#: most; this decides on the work alone, as any order finds every pair
+COMMON_ABOVE, COMMON_MOST = 64, 100_000
+
+
+def _sets(docs: DataFrame, shingle: int, share: float, last: list[int]) -> DataFrame:
+    """(lid, digest, n, h) of docs (lid, text): the set's digest, its size, and of its hashes, those in ``last``
+    after the others, the first n - ceil(share * n) + 1; all of them, and no digest, if share is 0."""
+    late = np.array(sorted(last), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                digests, sizes, firsts = [], [], []
+                for x in as_binary(part.column(1)).to_pylist():
+                    own = np.unique(np.array(shingle_hashes(x, shingle, 42), np.uint64)).view(np.int64)
+                    n = len(own)
+                    digests.append(xxhash.xxh3_128_digest(own.tobytes()) if share else None)
+                    if share and n:
+                        if len(late):
+                            own = own[np.argsort(late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own, kind="stable")]
+                        own = own[: n - int(np.ceil(share * n - 1e-9)) + 1]
+                    sizes.append(n)
+                    firsts.append(own)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["lid", "digest", "n", "h"])
+
+    return docs.mapInArrow(run, "lid long, digest binary, n int, h array<long>")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("lid")).distinct()
+    sets = written(_sets(docs.join(ids, "lid", "left_semi"), shingle, 0.0, []).select("lid", "h"), "sets")
+    both = pairs.join(sets.select(F.col("lid").alias("u"), F.col("h").alias("a")), "u").join(sets.select(F.col("lid").alias("v"), F.col("h").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.select("u", "v", shared.alias("s"), (F.size("a") + F.size("b")).alias("t")).where(F.col("s") >= threshold * (F.col("t") - F.col("s")) - 1e-9).select("u", "v")
+
+
+def similar_components(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(lid, root) for every row of docs (lid, text), lid a distinct long: the smallest lid that links reach.
+
+    Documents are linked if the Jaccard similarity of their shingles reaches the threshold; those of equal sets,
+    and so all without words, are one node. Pairs inside a component are left out, as among lines.
+    """
+    common = []
+    while True:
+        sets = written(_sets(docs, shingle, threshold, common), "prefixes")
+        nodes = cut(sets.groupBy("digest").agg(F.min("lid").alias("lid")))
+        firsts = sets.join(nodes.select("lid"), "lid", "left_semi").select("lid", "n", F.posexplode("h").alias("r", "h"))
+        if common:
+            break
+        often = firsts.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > COMMON_ABOVE)
+        common = [x.h for x in often.orderBy(F.desc("c"), "h").limit(COMMON_MOST).collect()]
+        if not common:
+            break
+    size = F.floor(F.log("n") / -F.log(F.lit(threshold))).cast("int")
+    met = firsts.select("lid", "n", (F.col("r") + 1).alias("r"), F.posexplode(F.array(F.xxhash64("h", size), F.xxhash64("h", size + 1))).alias("away", "b"))
+    met = met.select("lid", "n", "r", (F.col("away") == 0).alias("home"), "b")
+    rare = cut(met.join(met.groupBy("b").agg(F.count("*").alias("k")).where("k > 1").select("b"), "b", "left_semi"))
+    sizes = sets.select("lid", "n")
+    found = cut(_of_like_size(_ordered(_first_and_last(rare.select("lid", "b")).select("lid", "lead")), sizes, threshold))
+    roots = components(_similar(found, docs, shingle, threshold))
+    rest = cut(block_pairs(_open(rare, roots), threshold).join(found, ["u", "v"], "left_anti"))
+    roots = components(_edges(roots).unionByName(_similar(rest, docs, shingle, threshold)))
+    named = nodes.join(roots, nodes["lid"] == roots["node"], "left").select("digest", F.coalesce("root", "lid").alias("root"))
+    return sets.select("lid", "digest").join(named, "digest").select("lid", "root")
+
+
+def one_of_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """One row of ``docs`` for each component, all columns unchanged: that of the smallest id. Integer ids only.
+
+    A null id comes after all others; among rows that repeat the id, any one stays.
+    """
+    own = F.coalesce(F.col(id_col).cast("long"), F.monotonically_increasing_id() + F.lit(1 << 62))
+    named = docs.withColumn("_own", own)
+    if not named.groupBy("_own").count().where("count > 1").isEmpty():
+        named = written(named.dropDuplicates(["_own"]), "distinct")
+    found = similar_components(named.select(F.col("_own").alias("lid"), F.col(text_col).alias("text")), shingle=shingle, threshold=threshold)
+    first = cut(found.where("lid = root").select(F.col("lid").alias("_own")))
+    return named.join(first, "_own", "left_semi").drop("_own")
