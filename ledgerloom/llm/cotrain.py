@@ -1,7 +1,10 @@
 """Quality by co-training: a text view and a metadata view teach each other, then score all documents.
 
-Training is bounded: MAX_LABELLED labelled and MAX_POOL unlabelled documents, those with the least hashes
-of their ids, leave their features with the driver. Scoring is one pass over all documents in place.
+The labelled sample is bounded (``max_labelled`` documents, those with the least hashes of their ids); all else
+is done where the documents are. Word features are chosen by counts that Spark sums. Every document's features
+(places of chosen words, style figures, places of metadata) are written once as a narrow table; each round reads
+it, and every task hands on its most confident unlabelled documents, of which the best of all teach the other view.
+The driver holds the features of the sample and of the documents that were chosen, no more.
 """
 
 from __future__ import annotations
@@ -16,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm.common import written
 from ledgerloom.llm.words import as_binary, buffers, slices, split_words
 
-#: labelled and unlabelled documents that training sees at most
-MAX_LABELLED, MAX_POOL = 6_000, 2_000
+#: labelled documents that training sees at most, by default
+MAX_LABELLED = 10_000
 #: rounds of co-training, and pseudo-labels of each class that a view passes on per round at most
 ROUNDS, PER_ROUND = 3, 250
 #: calibrated probability from which a pseudo-label counts as confident
@@ -29,6 +33,8 @@ CONFIDENT = 0.95
 BEGINNINGS, MIN_Z, MIN_DOCS, MAX_WORDS = (4, 5), 4.0, 4, 400
 #: ridge of the text view, of the metadata view (whose features are many and weak) and of a calibration
 RIDGE, META_RIDGE, SLOPE_RIDGE = 1.0, 20.0, 1.0
+#: bytes of text that a task describes at once, and places that a column of metadata has
+PART_BYTES, PLACES = 2 << 20, 128
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -50,10 +56,11 @@ def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     counts = np.diff(at)
     style = np.zeros((n, STYLES))
     if len(data):
+        sums = np.zeros(len(data) + 1, np.int64)
         for k in range(len(_COUNTED)):
-            sums = np.zeros(len(data) + 1, np.int64)
             np.cumsum(_CLASS[k][data], out=sums[1:])
             style[:, k] = np.diff(sums[offsets])
+        del sums
     letters = np.maximum(style[:, 1], 1)
     style[:, 0] /= letters
     chars = np.diff(offsets)
@@ -87,15 +94,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25) -> np.ndarray:
-    """Weights of a ridge logistic regression, the intercept last, by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25, begin: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a ridge logistic regression, the intercept last, by Newton's method; sums over parts of the rows."""
+    m = x.shape[1] + 1
+    w, penalty = np.zeros(m) if begin is None else begin.copy(), np.full(m, ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = _sigmoid(x @ w)
-        gradient = x.T @ (p - y) + penalty * w
-        hessian = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
+        gradient, hessian = penalty * w, np.diag(penalty)
+        for at in range(0, len(x), 2048):
+            part = np.hstack([x[at : at + 2048], np.ones((len(x[at : at + 2048]), 1))])
+            p = _sigmoid(part @ w)
+            gradient += part.T @ (p - y[at : at + 2048])
+            hessian += (part * (p * (1 - p) + 1e-9)[:, None]).T @ part
         step = np.linalg.solve(hessian, gradient)
         w -= step * min(1.0, 5 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
@@ -103,84 +113,104 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25) ->
     return w
 
 
+def meta_places(columns: list) -> np.ndarray:
+    """For each row and column of metadata the place of its value: strings by hash, numbers by their power of two."""
+    out = np.zeros((len(columns[0]) if columns else 0, len(columns)), np.int64)
+    for c, column in enumerate(columns):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        coded = column.dictionary_encode()
+        places = np.array([_place(v, c) for v in coded.dictionary.to_pylist()] + [0], np.int64)
+        out[:, c] = PLACES * c + places[coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)]
+    return out
+
+
+def _place(v: object, column: int) -> int:
+    if v is None:
+        return 0
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
+        return 1 + min(126, int(abs(v)).bit_length()) if v == v and abs(v) != float("inf") else PLACES - 1
+    return 1 + xxhash.xxh32_intdigest(str(v), column) % (PLACES - 1)
+
+
 @dataclass
-class TextView:
-    """Chosen word features and the scale of the style figures."""
+class Features:
+    """Of each document: distinct (document, place of a chosen word) pairs in order, style figures, places of metadata."""
 
-    words: np.ndarray
-    mean: np.ndarray
-    scale: np.ndarray
+    doc: np.ndarray
+    word: np.ndarray
+    style: np.ndarray
+    meta: np.ndarray
 
     @staticmethod
-    def choose(doc: np.ndarray, code: np.ndarray, style: np.ndarray, targets: list[np.ndarray]) -> TextView:
-        chosen: list[int] = []
-        all_codes, index = np.unique(code.astype(np.uint32), return_inverse=True)
-        n = np.bincount(index, minlength=len(all_codes))
-        for y in targets:
-            if not 0 < y.sum() < len(y):
-                continue
-            bad = np.bincount(index, weights=y[doc], minlength=len(all_codes))
-            a, b = bad / y.sum(), (n - bad) / (len(y) - y.sum())
-            pooled = n / len(y)
-            z = (a - b) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / y.sum() + 1 / (len(y) - y.sum())))
-            order = np.lexsort((all_codes, -np.abs(z)))
-            chosen += [int(all_codes[k]) for k in order[:MAX_WORDS] if abs(z[k]) >= MIN_Z and n[k] >= MIN_DOCS]
-        clipped = np.clip(style, None, 30)
-        return TextView(np.array(sorted(set(chosen)), np.int64), clipped.mean(axis=0), clipped.std(axis=0) + 1e-3)
-
-    def matrix(self, doc: np.ndarray, code: np.ndarray, style: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(style), len(self.words) + 2 * STYLES))
-        if len(self.words) and len(code):
-            at = np.minimum(np.searchsorted(self.words, code), len(self.words) - 1)
-            found = self.words[at] == code
-            x[doc[found], at[found]] = 1
-        z = (np.clip(style, None, 30) - self.mean) / self.scale
-        x[:, -2 * STYLES : -STYLES] = np.clip(z, -5, 5)
-        x[:, -STYLES:] = np.clip(z, -1, 1) ** 2
-        return x
+    def of(texts: pa.Array, metas: list, words: np.ndarray) -> Features:
+        """``words`` are the sorted codes of the chosen words."""
+        doc, code, style = text_features(texts)
+        at = np.minimum(np.searchsorted(words, code), max(0, len(words) - 1))
+        found = words[at] == code if len(words) else np.zeros(len(code), bool)
+        return Features(doc[found], at[found], style.astype(np.float32), meta_places(metas) if metas else np.zeros((len(style), 0), np.int64))
+
+    def arrays(self) -> list[pa.Array]:
+        """The columns ``words``, ``style`` and ``meta``."""
+        n = len(self.style)
+        rows = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), kind))
+        at = np.searchsorted(self.doc, np.arange(n + 1)).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(at), pa.array(self.word, pa.int32())), rows(self.style, pa.float32()), rows(self.meta, pa.int32())]
 
+    @staticmethod
+    def read(rows: pa.RecordBatch | pa.Table) -> Features:
+        words, style, meta = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (rows.column(n) for n in ("words", "style", "meta")))
+        n = rows.num_rows
+        doc = np.repeat(np.arange(n), words.value_lengths().to_numpy(zero_copy_only=False)) if n else np.zeros(0, np.int64)
+        flat = [c.flatten().to_numpy(zero_copy_only=False) for c in (words, style, meta)]
+        return Features(doc, flat[0].astype(np.int64), flat[1].reshape(n, STYLES) if n else np.zeros((0, STYLES), np.float32), flat[2].astype(np.int64).reshape(n, -1) if n else np.zeros((0, 0), np.int64))
 
-def meta_matrix(values: list[list]) -> np.ndarray:
-    """One-hot rows of metadata: strings by hash into 128 places each, numbers by their power of two."""
-    n = len(values[0]) if values else 0
-    x = np.zeros((n, 128 * len(values)))
-    for c, column in enumerate(values):
-        for r, v in enumerate(column):
-            if isinstance(v, (int, float)) and not isinstance(v, bool):
-                place = 1 + min(126, int(abs(v)).bit_length())
-            else:
-                place = 0 if v is None else 1 + xxhash.xxh32_intdigest(str(v), c) % 127
-            x[r, 128 * c + place] = 1
-    return x
+    def scaled(self, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        z = (np.clip(self.style, None, 30) - mean) / scale
+        return np.hstack([np.clip(z, -5, 5), np.clip(z, -1, 1) ** 2])
 
 
 @dataclass
 class Model:
-    """Both views, each with weights and a calibration (slope, intercept), and the share of rejected documents."""
+    """Both views, each with weights and a calibration (slope, intercept), and the share of rejected documents.
+    Without ``words`` (no two classes to learn from) it has the share alone."""
 
-    view: TextView | None = None
+    prior: float = 0.0
+    words: np.ndarray | None = None
+    mean: np.ndarray | None = None
+    scale: np.ndarray | None = None
     text: np.ndarray | None = None
     meta: np.ndarray | None = None
     calibration: dict[str, tuple[float, float]] = field(default_factory=dict)
-    prior: float = 0.0
 
-    def probability(self, name: str, x: np.ndarray) -> np.ndarray:
-        w = self.text if name == "text" else self.meta
+    def matrix(self, name: str, f: Features) -> np.ndarray:
+        """The view's features as rows, for training on few documents."""
+        if name == "meta":
+            x = np.zeros((len(f.meta), PLACES * f.meta.shape[1]), np.float32)
+            x[np.arange(len(f.meta))[:, None], f.meta] = 1
+            return x
+        x = np.zeros((len(f.style), len(self.words) + 2 * STYLES), np.float32)
+        x[f.doc, f.word] = 1
+        x[:, len(self.words) :] = f.scaled(self.mean, self.scale)
+        return x
+
+    def raw(self, name: str, f: Features) -> np.ndarray:
+        """The view's uncalibrated log-odds, from the few features that a document has."""
+        if name == "meta":
+            return self.meta[f.meta].sum(axis=1) + self.meta[-1]
+        k = len(self.words)
+        return np.bincount(f.doc, weights=self.text[f.word], minlength=len(f.style)) + f.scaled(self.mean, self.scale) @ self.text[k:-1] + self.text[-1]
+
+    def probability(self, name: str, f: Features) -> np.ndarray:
+        if name == "meta" and not f.meta.shape[1]:
+            return np.full(len(f.style), self.prior)
         a, b = self.calibration[name]
-        return _sigmoid(a * (x @ w[:-1] + w[-1]) + b)
+        return _sigmoid(a * self.raw(name, f) + b)
 
-    def scores(self, texts: pa.Array, metas: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, f: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities of rejection by text, by metadata and by both."""
-        if self.view is None:
-            return (np.full(len(texts), self.prior),) * 3
-        text = self.probability("text", self.view.matrix(*text_features(texts)))
-        meta = self.probability("meta", meta_matrix([c.to_pylist() for c in metas])) if metas else np.full(len(texts), self.prior)
+        text, meta = self.probability("text", f), self.probability("meta", f)
         return text, meta, self.combine(text, meta)
 
-    def keeps(self, score: np.ndarray, threshold: float) -> np.ndarray:
-        """A model without training keeps all."""
-        return np.ones(len(score), bool) if self.view is None else score < threshold
-
     def combine(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         """The views' log-odds added, the prior's counted once: they are taken as independent given the class."""
         logit = lambda p: np.log(np.clip(p, 1e-9, 1 - 1e-9) / np.clip(1 - p, 1e-9, 1))
@@ -195,42 +225,15 @@ def calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(text: tuple[np.ndarray, np.ndarray, np.ndarray], meta: np.ndarray, y: np.ndarray, kinds: list[np.ndarray]) -> Model:
-    """A model from rows of which ``y`` is 1 (rejected), 0 (kept) or -1 (no label); ``kinds`` are the reasons'
-    own targets over all rows. A third of the labelled rows calibrates, the rest trains."""
-    doc, code, style = text
-    labelled, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    model = Model(prior=float(y[labelled].mean()) if len(labelled) else 0.0)
-    if not len(labelled) or not 0 < model.prior < 1:
-        return model
-    held, own = labelled[::3], np.setdiff1d(labelled, labelled[::3])
-    if not 0 < y[own].mean() < 1 or not 0 < y[held].mean() < 1:
-        held = own = labelled
-    position = np.full(len(y), -1)
-    position[own] = np.arange(len(own))
-    mine = position[doc] >= 0
-    model.view = TextView.choose(position[doc[mine]], code[mine], style[own], [y[own].astype(float), *(k[own].astype(float) for k in kinds)])
-    matrices = {"text": model.view.matrix(doc, code, style), "meta": meta}
-    given: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
-    for round_ in range(ROUNDS + 1):
-        for name, x in matrices.items():
-            taught = list(given[name])
-            rows = np.append(own, np.array(taught, np.int64))
-            w = fit_logistic(x[rows], np.append(y[own], [given[name][i] for i in taught]).astype(float), RIDGE if name == "text" else META_RIDGE)
-            if name == "text":
-                model.text = w
-            else:
-                model.meta = w
-            model.calibration[name] = calibrate(x[held] @ w[:-1] + w[-1], y[held])
-        if round_ == ROUNDS or not len(pool):
-            break
-        for name, other in (("text", "meta"), ("meta", "text")):
-            p = model.probability(name, matrices[name][pool])
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                order = np.argsort(-sure, kind="stable")
-                fresh = [int(pool[k]) for k in order if sure[k] >= CONFIDENT and int(pool[k]) not in given[other]]
-                given[other] |= dict.fromkeys(fresh[:PER_ROUND], label)
-    return model
+def _fit_view(model: Model, name: str, own: tuple[Features, np.ndarray], held: tuple[Features, np.ndarray], taught: list[tuple[Features, np.ndarray]]) -> None:
+    """Weights from the labelled rows and the other view's pseudo-labels, calibration from the labelled rows held back."""
+    parts = [own, *taught]
+    x, y = np.vstack([model.matrix(name, f) for f, _ in parts]), np.concatenate([y for _, y in parts]).astype(float)
+    setattr(model, name, fit_logistic(x, y, RIDGE if name == "text" else META_RIDGE, begin=getattr(model, name)))
+    model.calibration[name] = calibrate(model.raw(name, held[0]), held[1])
+
+
+SCORES = ("text_score", "meta_score", "score")
 
 
 def score_documents(
@@ -243,28 +246,30 @@ def score_documents(
     quality_col: str = "quality",
     toxic_col: str = "toxic",
     threshold: float = 0.5,
+    max_labelled: int = MAX_LABELLED,
+    rounds: int = ROUNDS,
+    per_round: int = PER_ROUND,
 ) -> DataFrame:
     """(doc_id, text_score, meta_score, score, kept), a row for each document; scores are probabilities that
     a document should be rejected: quality 0 or toxic 1.
 
     Null texts count as empty, null metadata as a value of its own. A null label counts as none; of several
     labels of a document the worst counts. Labels without a document and null ids train nothing, but such
-    documents are scored like any other. If the labels do not have both classes, every score is their share of
-    rejected documents, 0 with no labels at all, and every document is kept. Repeated rows are scored each,
-    other columns are ignored, no rows give no rows.
+    documents are scored like any other; of several documents with a labelled id, one trains. If the labels do
+    not have both classes, every score is their share of rejected documents, 0 with no labels at all, and every
+    document is kept. Repeated rows are scored each, other columns are ignored, no rows give no rows.
     """
-    model = fit(docs, labels, id_col=id_col, text_col=text_col, meta_cols=meta_cols, quality_col=quality_col, toxic_col=toxic_col)
-    schema = T.StructType(
-        [T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(c, T.DoubleType()) for c in ("text_score", "meta_score", "score")), T.StructField("kept", T.BooleanType())]
-    )
+    model, features = fit(docs, labels, id_col=id_col, text_col=text_col, meta_cols=meta_cols, quality_col=quality_col, toxic_col=toxic_col, max_labelled=max_labelled, rounds=rounds, per_round=per_round)
+    if model.words is None:
+        return docs.select(docs[id_col].alias("doc_id"), *(F.lit(model.prior).alias(c) for c in SCORES), F.lit(True).alias("kept"))
+    schema = T.StructType([features.schema["doc_id"], *(T.StructField(c, T.DoubleType()) for c in SCORES), T.StructField("kept", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                text, meta, both = model.scores(part.column(1), part.columns[2:])
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, (text, meta, both, model.keeps(both, threshold)))], names=schema.names)
+            text, meta, both = model.scores(Features.read(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (text, meta, both, both < threshold))], names=schema.names)
 
-    return _columns(docs, id_col, text_col, meta_cols).mapInArrow(run, schema)
+    return features.select("doc_id", "words", "style", "meta").mapInArrow(run, schema)
 
 
 def keep_documents(
@@ -277,15 +282,21 @@ def keep_documents(
     quality_col: str = "quality",
     toxic_col: str = "toxic",
     threshold: float = 0.5,
+    max_labelled: int = MAX_LABELLED,
+    rounds: int = ROUNDS,
+    per_round: int = PER_ROUND,
 ) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, that ``score_documents`` keeps; filtered where they are read."""
-    model = fit(docs, labels, id_col=id_col, text_col=text_col, meta_cols=meta_cols, quality_col=quality_col, toxic_col=toxic_col)
+    """The rows of ``docs``, all columns unchanged, that ``score_documents`` keeps; filtered where they are read.
+    Nulls, empty texts, repeated rows and missing classes are treated as there."""
+    model, _ = fit(docs, labels, id_col=id_col, text_col=text_col, meta_cols=meta_cols, quality_col=quality_col, toxic_col=toxic_col, max_labelled=max_labelled, rounds=rounds, per_round=per_round)
+    if model.words is None:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
-                _, _, both = model.scores(part.column(text_col), [part.column(c) for c in meta_cols])
-                yield part.filter(pa.array(model.keeps(both, threshold)))
+            for part in slices(batch, text_col, PART_BYTES):
+                _, _, both = model.scores(Features.of(part.column(text_col), [part.column(c) for c in meta_cols], model.words))
+                yield part.filter(pa.array(both < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -294,37 +305,127 @@ def _columns(docs: DataFrame, id_col: str, text_col: str, meta_cols: tuple[str,
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *(docs[c].alias(f"meta{k}") for k, c in enumerate(meta_cols)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, meta_cols: tuple[str, ...], quality_col: str, toxic_col: str) -> Model:
-    """Trains on the documents of bounded sets of ids, which are joined by broadcast."""
+def describe(rows: DataFrame, words: np.ndarray) -> DataFrame:
+    """``rows`` (text, meta0, meta1 ... and others) with words, style and meta in place of text and metadata."""
+    metas = [c for c in rows.columns if c.startswith("meta")]
+    others = [c for c in rows.columns if c != "text" and c not in metas]
+    schema = T.StructType([*(rows.schema[c] for c in others), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("style", T.ArrayType(T.FloatType())), T.StructField("meta", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", PART_BYTES):
+                f = Features.of(part.column("text"), [part.column(c) for c in metas], words)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *f.arrays()], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def choose_words(sample: DataFrame, n: dict[str, int], rows: int) -> np.ndarray:
+    """Sorted codes of the words of ``sample`` (text and a 0/1 column for each target) whose share differs most
+    between the two classes of a target. ``n`` has the ones of each target among all ``rows``. Counts form in Spark;
+    the driver gets MAX_WORDS rows a target."""
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", PART_BYTES):
+                doc, code, _ = text_features(part.column("text"))
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(code), *(part.column(c).take(take) for c in n)], names=["code", *n])
+
+    found = sample.select("text", *n).mapInArrow(codes, ", ".join(["code long", *(f"{c} int" for c in n)]))
+    counts = written(found.groupBy("code").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in n)).where(F.col("n") >= MIN_DOCS), "words")
+    chosen: set[int] = set()
+    for c, ones in n.items():
+        if 0 < ones < rows:
+            a, b, pooled = F.col(c) / ones, (F.col("n") - F.col(c)) / (rows - ones), F.col("n") / rows
+            z = F.abs(a - b) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / ones + 1 / (rows - ones)))
+            chosen |= {r.code for r in counts.select("code", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "code").limit(MAX_WORDS).collect()}
+    return np.array(sorted(chosen), np.int64)
+
+
+def most_confident(features: DataFrame, model: Model, given: np.ndarray, per_round: int) -> dict[tuple[str, float], pa.Table]:
+    """For each view and label, the ``per_round`` documents of ``features`` (key, words, style, meta) of which it is
+    surest, those in ``given`` left out: each task hands on its own best, of which the best of all are taken."""
+    kinds = [(view, label) for view in ("text", "meta") for label in (1.0, 0.0)]
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("sure", T.DoubleType()), *(features.schema[c] for c in ("key", "words", "style", "meta"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, pa.Table] = {}
+        for batch in batches:
+            batch = batch.filter(pa.array(~np.isin(batch.column("key").to_numpy(), given)))
+            if not batch.num_rows:
+                continue
+            f = Features.read(batch)
+            for k, (view, label) in enumerate(kinds):
+                p = model.probability(view, f)
+                sure = p if label else 1 - p
+                at = np.flatnonzero(sure >= CONFIDENT)
+                own = pa.table([pa.array(np.full(len(at), k, np.int32)), pa.array(sure[at]), *(batch.column(c).take(pa.array(at)) for c in ("key", "words", "style", "meta"))], names=schema.names)
+                own = pa.concat_tables([best[k], own]) if k in best else own
+                order = np.lexsort((own.column("key").to_numpy(), -own.column("sure").to_numpy()))
+                best[k] = own.take(pa.array(order[:per_round])).combine_chunks()
+        for t in best.values():
+            yield from t.to_batches()
+
+    found = written(features.select("key", "words", "style", "meta").mapInArrow(run, schema).dropDuplicates(["kind", "key"]), "confident")
+    return {kind: found.where(F.col("kind") == k).orderBy(F.desc("sure"), "key").limit(per_round).toArrow() for k, kind in enumerate(kinds)}
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, meta_cols: tuple[str, ...], quality_col: str, toxic_col: str, max_labelled: int, rounds: int, per_round: int
+) -> tuple[Model, DataFrame | None]:
+    """The model, and the features (doc_id, key, words, style, meta) of all documents; none if nothing can be learnt.
+
+    A third of the labelled sample calibrates, the rest trains; if one part lacks a class, all rows do both.
+    """
     low, toxic = labels[quality_col] == 0, labels[toxic_col] == 1
     known = labels.select(labels[id_col].alias("id"), F.coalesce(low, F.lit(False)).alias("low"), F.coalesce(toxic, F.lit(False)).alias("toxic"), (low | toxic).alias("bad"))
-    known = known.where("id IS NOT NULL AND bad IS NOT NULL").groupBy("id").agg(*(F.max(F.col(c).cast("int")).alias(c) for c in ("bad", "low", "toxic")))
-    ids = docs.select(docs[id_col].alias("id")).where("id IS NOT NULL").distinct()
-    first = lambda df, n: df.orderBy(F.xxhash64("id"), "id").limit(n)
-    chosen = first(known.join(ids, "id", "left_semi"), MAX_LABELLED)
-    pool = first(ids.join(known, "id", "left_anti"), MAX_POOL).select("id", *(F.lit(-1).alias(c) for c in ("bad", "low", "toxic")))
-    sample = _columns(docs, id_col, text_col, meta_cols)
-    sample = sample.join(F.broadcast(chosen.unionByName(pool)), sample["doc_id"] == F.col("id")).drop("doc_id")
+    known = written(known.where("id IS NOT NULL AND bad IS NOT NULL").groupBy("id").agg(*(F.max(F.col(c).cast("int")).alias(c) for c in ("bad", "low", "toxic"))), "labels")
+    rows = _columns(docs, id_col, text_col, meta_cols)
+    chosen = written(known.join(rows.select(F.col("doc_id").alias("id")), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_labelled), "chosen")
+    sample = rows.join(F.broadcast(chosen), rows["doc_id"] == F.col("id")).drop("doc_id")
     metas = [f"meta{k}" for k in range(len(meta_cols))]
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                doc, code, style = text_features(part.column("text"))
-                at = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(code.astype(np.uint32).view(np.int32)))
-                styles = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * STYLES), pa.array(style.ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "bad", "low", "toxic", *metas)), lists, styles], names=["id", "bad", "low", "toxic", *metas, "codes", "style"])
-
-    sample = sample.select("id", "text", "bad", "low", "toxic", *metas)
-    schema = T.StructType([*(sample.schema[c] for c in ("id", "bad", "low", "toxic", *metas)), T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("style", T.ArrayType(T.DoubleType()))])
-    rows = sample.mapInArrow(describe, schema).toArrow()
-    names = [str(x) for x in rows.column("id").to_pylist()]
-    figures = rows.column("style").combine_chunks().flatten().to_numpy().reshape(-1, STYLES)  # repeated ids may have several texts
-    order = np.lexsort((*figures.T, np.array(names), np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64)))
-    rows = rows.take(pa.array(order))
-    codes, style = rows.column("codes").combine_chunks(), rows.column("style").combine_chunks()
-    doc = np.repeat(np.arange(rows.num_rows), codes.value_lengths().to_numpy() if rows.num_rows else [])
-    y, low_y, toxic_y = (rows.column(c).to_numpy() for c in ("bad", "low", "toxic"))
-    meta = meta_matrix([rows.column(c).to_pylist() for c in metas]) if metas else np.zeros((rows.num_rows, 0))
-    return train((doc, codes.flatten().to_numpy().view(np.uint32), style.flatten().to_numpy().reshape(-1, STYLES)), meta, y, [low_y, toxic_y])
+    first = F.struct(F.xxhash64("text", *metas), F.coalesce(F.octet_length("text"), F.lit(-1)))
+    sample = written(sample.groupBy("id").agg(F.min_by(F.struct("text", *metas, "bad", "low", "toxic"), first).alias("r")).select("id", "r.*").withColumn("held", F.pmod(F.xxhash64("id"), F.lit(3)) == 0), "sample")
+
+    parts = {r.held: r for r in sample.groupBy("held").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("bad", "low", "toxic"))).collect()}
+    n, bad = sum(r.n for r in parts.values()), sum(r.bad for r in parts.values())
+    model = Model(prior=bad / n if n else 0.0)
+    if not 0 < model.prior < 1:
+        return model, None
+    split = all(h in parts and 0 < parts[h].bad < parts[h].n for h in (True, False))
+    mine = sample.where("NOT held") if split else sample
+    ones = {c: sum(getattr(r, c) for h, r in parts.items() if not (split and h)) for c in ("bad", "low", "toxic")}
+    model.words = choose_words(mine, ones, parts[False].n if split else n)
+
+    table = describe(rows, model.words)
+    features = written(table.select("doc_id", F.xxhash64(*table.columns).alias("key"), "words", "style", "meta"), "features")
+    taught = describe(sample.select("id", "bad", "held", "text", *metas), model.words).orderBy(F.xxhash64("id"), "id").toArrow()
+    held = taught.column("held").to_numpy() if split else np.zeros(taught.num_rows, bool)
+    pick = lambda at: (Features.read(t := taught.filter(pa.array(at))), t.column("bad").to_numpy().astype(float))
+    own, back = pick(~held), pick(held if split else ~held)
+    clipped = np.clip(own[0].style.astype(np.float64), None, 30)
+    model.mean, model.scale = clipped.mean(axis=0), clipped.std(axis=0) + 1e-3
+
+    views = ("text", "meta") if meta_cols else ("text",)
+    lessons: dict[str, list[tuple[Features, np.ndarray]]] = {v: [] for v in views}
+    given = {v: np.zeros(0, np.int64) for v in views}
+    pool = features.where("doc_id IS NOT NULL").join(known.select(F.col("id").alias("doc_id")), "doc_id", "left_anti") if len(views) > 1 and rounds else None
+    if pool is not None:
+        pool = written(pool.select("key", "words", "style", "meta"), "pool")
+    for round_ in range(rounds + 1):
+        for v in views:
+            _fit_view(model, v, own, back, lessons[v])
+        if round_ == rounds or pool is None:
+            break
+        learnt = False
+        for (view, label), t in most_confident(pool, model, np.unique(np.concatenate(list(given.values()))), per_round).items():
+            other = "meta" if view == "text" else "text"
+            t = t.filter(pa.array(~np.isin(t.column("key").to_numpy(), given[other])))
+            if t.num_rows:
+                learnt = True
+                given[other] = np.append(given[other], t.column("key").to_numpy())
+                lessons[other].append((Features.read(t), np.full(t.num_rows, label)))
+        if not learnt:
+            break
+    return model, features

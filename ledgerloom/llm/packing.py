@@ -137,7 +137,7 @@ def pack_documents(
             return pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 ids, at = t.ids(part.column(1))
                 n = np.diff(at) + 1
                 own = np.full(len(ids) + len(n), end_id, dtype="<u4")

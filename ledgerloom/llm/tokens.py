@@ -24,8 +24,8 @@ _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in "'<|>"]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-#: distinct pieces that a worker remembers at most; beyond it, it starts afresh
-MEMO_PIECES = 1_500_000
+#: distinct pieces that a worker remembers at most, and bytes of them; beyond either, it starts afresh
+MEMO_PIECES, MEMO_BYTES = 400_000, 16 << 20
 
 
 def default_path() -> str:
@@ -71,6 +71,7 @@ class PieceTokenizer:
 
     def _fresh(self) -> None:
         self.memo.clear()
+        self.memo_bytes = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.n = np.zeros(1 << 14, np.int64), 0  # one longer than the pieces known
 
@@ -106,12 +107,13 @@ class PieceTokenizer:
         self.starts[self.n + 1 : self.n + 1 + len(pieces)] = ends
         for k, (p, _) in enumerate([*plain, *odd], self.n):
             self.memo[p] = k
+            self.memo_bytes += len(p)
         self.used += len(new)
         self.n += len(pieces)
 
     def _known(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each piece its place in ``flat`` and its number of ids; the piece offsets of the texts."""
-        if len(self.memo) > MEMO_PIECES:
+        if len(self.memo) > MEMO_PIECES or self.memo_bytes > MEMO_BYTES:
             self._fresh()
         pieces, at = split_pieces(column)
         if len(pieces) == 0:

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from ledgerloom.llm.cotrain import STYLES, _codes, calibrate, fit_logistic, meta_matrix, score_documents, text_features
+from ledgerloom.llm.cotrain import STYLES, _codes, calibrate, fit_logistic, meta_places, score_documents, text_features
 
 
 def test_text_features_against_plain_python():
@@ -27,7 +27,8 @@ def test_logistic_and_calibration():
     assert abs(w[0] - 2) < 0.2 and abs(w[1]) < 0.1 and abs(w[2] + 1) < 0.2
     a, b = calibrate(3 * (2 * x[:, 0] - 1), y)
     assert abs(a - 1 / 3) < 0.05 and abs(b) < 0.1
-    assert meta_matrix([["a", None, "a"], [5, 6, None]]).sum() == 6
+    places = meta_places([pa.array(["a", None, "a"]), pa.array([5, 6, None])])
+    assert places[0, 0] == places[2, 0] != places[1, 0] == 0 and places[:, 1].tolist() == [132, 132, 128]
 
 
 def test_held_out_accuracy(spark):
