@@ -1,211 +1,336 @@
-"""Fuzzy duplicate lines by MinHash, in DataFrame functions alone.
-
-A line's shingles are SHINGLE characters long and begin at every word, at every STEP-th letter inside a
-longer Latin word, and at every character of other scripts; the last one ends with the line. Their hashes
-fall into BINS by their leading bits, the least of each bin is the line's signature (one-permutation
-MinHash), and the bins of a band together are a bucket key. Lines of a bucket are compared exactly with the
-bucket's first and last line. Lines of buckets that hold several components after that meet again by the
-rarest shingles that they share, which any two similar lines must: first with the first and the last that
-have the shingle, then each line with each of another component, in blocks. Pairs inside a component change
-nothing and are left out, so that a group of near copies costs a comparison or two a line.
+"""Fuzzy duplicate lines by MinHash.
+
+A line's shingles are all runs of SHINGLE characters (a shorter line is one shingle). Their hashes fall into BINS,
+the least of each bin is the line's signature (one-permutation MinHash), and the bins of a band together are a
+bucket key. Exact copies are one node, and every two nodes that share a bucket are decided: first each with its
+bucket's first node by the exact Jaccard similarity of all shingles; then, in buckets that still hold several
+components, each node outside the largest component with every node of another, in blocks of a bounded size.
+Pairs inside a component change nothing and are left out, so a family of near copies costs a comparison or two a
+line. Components are found by star steps (distributed union-find); each keeps its first line.
+
+Joins, grouping and components are DataFrame code. Shingles are hashed and compared in Arrow batches: with built-in
+functions alone, hashing a fifth of the shingles took the check's whole CPU budget (README).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, written
+from ledgerloom.llm.common import cut, free_name, written
 from ledgerloom.llm.graph import components
+from ledgerloom.llm.words import as_binary, buffers, mix, slices
 
-SHINGLE, STEP = 12, 6
+SHINGLE = 12
 #: six bands of two bins find a pair of similarity 0.8 with probability 1 - (1 - 0.8 ** 2) ** 6 = 0.998
-#: (bins go by the four leading bits, and the last four of 16 are not used)
 BINS, BANDS = 12, 6
-#: lines of a bucket that are compared with as many others in one key of a join
-BLOCK = 256
-_EACH = rf"(?s)(?=(.{{{SHINGLE}}}))(?:[!-ɏ]{{1,{STEP}}}+|\S)\s*+"
+#: nodes of a bucket that one group of comparisons holds on each side
+BLOCK = 512
+#: lines that are hashed together take so many bits, and the hash of a shingle the others
+LINE_BITS = 20
 _SPACE = " \t\r\x0b\f"
+_BASE, _EMPTY = 0x9E3779B97F4A7C15, np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def normal(line: Column) -> Column:
+def normal(lines: pa.Array) -> pa.Array:
     """What lines are compared by: letter case and white space at the ends don't count."""
-    return F.lower(F.btrim(line, F.lit(_SPACE)))
-
-
-def shingles(norm: Column) -> Column:
-    """64-bit hashes of a normal line's shingles; its last characters, or all if they are few, are one as well."""
-    return F.transform(F.array_append(F.regexp_extract_all(norm, F.lit(_EACH), F.lit(1)), F.right(norm, F.lit(SHINGLE))), lambda x: F.xxhash64(x))
-
-
-def _bin(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 60)
-
-
-def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, doc_id, lines): rid numbers rows as the table is read, so that it is the same in each reading."""
-    return docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].cast("long").alias("doc_id"), F.split(F.coalesce(docs[text_col], F.lit("")), "\n").alias("lines"))
-
-
-def occurrences(rows: DataFrame) -> DataFrame:
-    """(rid, doc_id, pos, key, n, bands) of every line, n the number of its different shingles, if it is not blank; its text stays behind."""
-    step = rows.select("rid", "doc_id", F.posexplode("lines").alias("pos", "line")).select("rid", "doc_id", "pos", normal(F.col("line")).alias("norm")).where("norm <> ''")
-    step = step.select("rid", "doc_id", "pos", F.unhex(F.md5("norm")).alias("key"), F.sort_array(shingles(F.col("norm"))).alias("h"))
-    step = step.withColumn("n", F.size(F.array_distinct("h")))
-    least = F.filter("h", lambda x, i: (i == 0) | (_bin(x) != _bin(F.get("h", i - 1))))
-    step = step.select("rid", "doc_id", "pos", "key", "n", least.alias("m"))
-    per = BINS // BANDS
-    within = lambda g: lambda x: (_bin(x) >= g * per) & (_bin(x) < (g + 1) * per)
-    own = [F.filter("m", within(g)) for g in range(BANDS)]
-    return step.select("rid", "doc_id", "pos", "key", "n", *(F.when(F.size(a) > 0, F.xxhash64(F.lit(g), a)).alias(f"b{g}") for g, a in enumerate(own)))
+    return pc.utf8_lower(pc.utf8_trim(lines, characters=_SPACE))
+
+
+def shingle_sets(norm: pa.Array) -> np.ndarray:
+    """The distinct shingles of at most 2 ** LINE_BITS lines, in order: the line's number, then 44 bits of hash."""
+    data, _ = buffers(as_binary(norm))
+    lens = pc.utf8_length(norm).to_numpy(zero_copy_only=False).astype(np.int64)
+    h = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    line = np.repeat(np.arange(len(lens), dtype=np.uint64), lens)
+    if len(h) >= SHINGLE:
+        b = _BASE
+        powers = {1: np.uint64(b), 2: np.uint64(b * b % 2**64), 4: np.uint64(b**4 % 2**64)}
+        h = h[:-1] * powers[1] + h[1:]
+        four = h[:-2] * powers[2] + h[2:]
+        eight = four[:-4] * powers[4] + four[4:]
+        h = mix(eight[:-4] * powers[4] + four[8:])
+        own = line[: len(h)]
+        inside = own == line[SHINGLE - 1 :]
+        found = (own[inside] << np.uint64(64 - LINE_BITS)) | (h[inside] >> np.uint64(LINE_BITS))
+    else:
+        found = np.zeros(0, np.uint64)
+    few = np.flatnonzero(lens < SHINGLE)
+    if len(few):
+        whole = np.array([xxhash.xxh64_intdigest(x) for x in as_binary(norm.take(pa.array(few))).to_pylist()], np.uint64)
+        found = np.concatenate([found, (few.astype(np.uint64) << np.uint64(64 - LINE_BITS)) | (whole >> np.uint64(LINE_BITS))])
+    found.sort()
+    return found[np.append(True, found[1:] != found[:-1])[: len(found)]]
+
+
+def bands(sets: np.ndarray, n: int) -> np.ndarray:
+    """Bucket keys of n lines, a row of BANDS each; 0 where a line has no shingle in a band's bins."""
+    rest = np.uint64(64 - LINE_BITS)
+    line, h = (sets >> rest).astype(np.int64), sets & np.uint64((1 << 64 - LINE_BITS) - 1)
+    at = line * BINS + ((h * np.uint64(BINS)) >> rest).astype(np.int64)
+    first = np.append(True, at[1:] != at[:-1])[: len(at)]
+    least = np.full(n * BINS, _EMPTY)
+    least[at[first]] = h[first]
+    pairs = least.reshape(n, BANDS, BINS // BANDS)
+    keys = mix(mix(pairs[:, :, 0] + np.arange(1, BANDS + 1, dtype=np.uint64)) + pairs[:, :, 1])
+    return np.where((pairs == _EMPTY).all(axis=2), np.uint64(0), np.maximum(keys, np.uint64(1))).view(np.int64)
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """Of docs (doc_id, text, content): a row with pos -1 and the number of lines in n for each document, and a row for
+    each line that is not blank, with its key (a digest of the normal line), the number of its shingles and its buckets.
+    rid numbers the rows of ``docs``; it is made once, in a table that is written."""
+    names = ["rid", "doc_id", "content", "pos", "key", "n", *(f"b{g}" for g in range(BANDS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                rids = pa.array(np.arange(rid, rid + part.num_rows))
+                rid += part.num_rows
+                texts = part.column("text").fill_null("")
+                lists = pc.split_pattern(texts, "\n")
+                lens = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                n_lines = np.where(pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0, lens, 0)
+                none = pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([rids, part.column("doc_id"), part.column("content"), pa.array(np.full(part.num_rows, -1, np.int32)), pa.nulls(part.num_rows, pa.binary()), pa.array(n_lines, pa.int32()), *[none] * BANDS], names=names)
+                norm = normal(lists.flatten())
+                full = np.flatnonzero(pc.binary_length(norm).to_numpy(zero_copy_only=False) > 0)
+                row = np.repeat(np.arange(len(lens)), lens)
+                pos = (np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens))[full].astype(np.int32)
+                row, norm = row[full], norm.take(pa.array(full))
+                for at in range(0, len(row), 1 << LINE_BITS):
+                    own, some = norm.slice(at, 1 << LINE_BITS), pa.array(row[at : at + (1 << LINE_BITS)])
+                    sets = shingle_sets(own)
+                    keys = bands(sets, len(own))
+                    count = np.bincount((sets >> np.uint64(64 - LINE_BITS)).astype(np.int64), minlength=len(own))
+                    yield pa.RecordBatch.from_arrays(
+                        [rids.take(some), part.column("doc_id").take(some), part.column("content").take(some), pa.array(pos[at : at + len(own)]), pa.array(_digests(own), pa.binary()), pa.array(count, pa.int32()), *(pa.array(keys[:, g], mask=keys[:, g] == 0) for g in range(BANDS))],
+                        names=names,
+                    )
+
+    return docs.select("doc_id", "text", "content").mapInArrow(run, "rid long, doc_id long, content long, pos int, key binary, n int, " + ", ".join(f"b{g} long" for g in range(BANDS)))
+
+
+def _digests(norm: pa.Array) -> list[bytes]:
+    return [xxhash.xxh3_128_digest(x) for x in as_binary(norm).to_pylist()]
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(lid, norm) of these nodes, each fetched from its first occurrence. Documents of one content (id and text) are
+    alike, so that it doesn't matter which of them is asked; the digest proves the line."""
+    wanted = nodes.join(ids, "lid", "left_semi").groupBy("content").agg(F.collect_list(F.struct("lid", "pos", "key")).alias("want"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                lists, want = pc.split_pattern(part.column("text").fill_null(""), "\n"), part.column("want")
+                begins = lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
+                lens, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
+                row = np.repeat(np.arange(part.num_rows), want.value_lengths().to_numpy(zero_copy_only=False))
+                lid, pos, key = (want.flatten().field(k) for k in range(3))
+                fits = np.flatnonzero(pos.to_numpy() < lens[row])
+                norm = normal(flat.take(pa.array(begins[row[fits]] + pos.to_numpy()[fits])))
+                same = pa.array([a == b for a, b in zip(_digests(norm), key.take(pa.array(fits)).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([lid.take(pa.array(fits)).filter(same), norm.filter(same)], names=["lid", "norm"])
+
+    return docs.select("content", "text").join(wanted, "content").select("text", "want").mapInArrow(run, "lid long, norm string")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (u, v) of line ids those whose exact Jaccard similarity of shingles reaches the threshold."""
+    """Of pairs (u, v) of nodes those whose exact Jaccard similarity of shingles reaches the threshold."""
     both = pairs.join(texts.select(F.col("lid").alias("u"), F.col("norm").alias("nu")), "u").join(texts.select(F.col("lid").alias("v"), F.col("norm").alias("nv")), "v")
-    # sizes alone rule many pairs out: shingles begin at least every STEP letters and a set is no larger than the text
-    both = both.select("u", "v", F.array_distinct(shingles(F.col("nu"))).alias("a"), F.array_distinct(shingles(F.col("nv"))).alias("b"))
-    both = both.where(F.least(F.size("a"), F.size("b")) >= threshold * F.greatest(F.size("a"), F.size("b")))
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.select("u", "v", shared.alias("s"), (F.size("a") + F.size("b")).alias("t")).where(F.col("s") >= threshold * (F.col("t") - F.col("s"))).select("u", "v")
-
 
-def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(rid, doc_id, pos, first): every line that is not blank, and whether it is its component's first line.
-
-    Exact copies are one node; nodes are linked by exact similarity and components found by star steps.
-    The first line is the one of the smallest document id (null ids last), then the earliest row, then the
-    earliest line.
-    """
-    rows = split_lines(docs, id_col, text_col)
-    lines = written(occurrences(rows), "lines")
-    bands = [f"b{g}" for g in range(BANDS)]
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos")
-    nodes = lines.groupBy("key").agg(F.min(order).alias("at"), *(F.min(b).alias(b) for b in ("n", *bands)))
-    nodes = written(nodes.select(F.monotonically_increasing_id().alias("lid"), "key", "at", "n", *bands), "nodes")
-
-    met = cut(_first_and_last(nodes.select("lid", F.explode(F.array(*bands)).alias("b")).where("b IS NOT NULL")))
-    roots = None
-    if not met.isEmpty():
-        sizes = nodes.select("lid", "n")
-        pairs = cut(_of_like_size(_ordered(met.select("lid", "lead")), sizes, threshold))
-        texts = written(_texts(rows, nodes, met.select("lid").distinct()), "texts")
-        roots = components(similar_pairs(pairs, texts, threshold))
-        near = cut(_open(met.select("lid", "b"), roots).select("lid").distinct())
-        rare = cut(prefixes(texts.join(near, "lid", "left_semi"), threshold))
-        ends = _ordered(_first_and_last(_open(rare, roots).select("lid", "b")).select("lid", "lead"))
-        found = cut(_of_like_size(ends, sizes, threshold).join(pairs, ["u", "v"], "left_anti"))
-        roots = components(_edges(roots).unionByName(similar_pairs(found, texts, threshold)))
-        rest = block_pairs(_open(rare, roots), threshold).join(pairs.unionByName(found), ["u", "v"], "left_anti")
-        roots = components(_edges(roots).unionByName(similar_pairs(rest, texts, threshold)))
-    if roots is None:
-        return lines.join(nodes.select("key", "at"), "key").select("rid", "doc_id", "pos", ((F.col("rid") == F.col("at.rid")) & (F.col("pos") == F.col("at.pos"))).alias("first"))
-    member = nodes.join(roots, nodes["lid"] == roots["node"], "left").select("key", "at", F.coalesce("root", "lid").alias("root"))
-    least = cut(member.groupBy("root").agg(F.min("at").alias("least")))
-    keep = cut(member.join(least, "root").select("key", F.col("least.rid").alias("krid"), F.col("least.pos").alias("kpos")))
-    return lines.select("rid", "doc_id", "pos", "key").join(keep, "key").select("rid", "doc_id", "pos", ((F.col("rid") == F.col("krid")) & (F.col("pos") == F.col("kpos"))).alias("first"))
-
-
-def _first_and_last(buckets: DataFrame) -> DataFrame:
-    """(lid, b, lead): each line of a bucket of two or more with the bucket's first and last line."""
-    ends = buckets.groupBy("b").agg(F.count("*").alias("c"), F.array(F.min("lid"), F.max("lid")).alias("ends")).where("c > 1")
-    return buckets.join(ends, "b").select("lid", "b", F.explode("ends").alias("lead"))
-
-
-def _of_like_size(pairs: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (u, v) whose numbers of shingles are near enough for the threshold, which rules most unlike ones out."""
-    sized = pairs.join(sizes.select(F.col("lid").alias("u"), F.col("n").alias("nu")), "u").join(sizes.select(F.col("lid").alias("v"), F.col("n").alias("nv")), "v")
-    return sized.where(F.least("nu", "nv") >= threshold * F.greatest("nu", "nv")).select("u", "v")
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct (u, v), u the smaller, of pairs (lid, lead)."""
-    return pairs.select(F.least("lid", "lead").alias("u"), F.greatest("lid", "lead").alias("v")).where("u <> v").distinct()
-
-
-def _edges(roots: DataFrame) -> DataFrame:
-    return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-
-
-def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of buckets (lid, b, ...) of more than one component, with root and the number c of the bucket's rows."""
-    named = buckets.join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
-    several = named.groupBy("b").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    return named.join(several.select("b", "c"), "b")
-
-
-def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
-    """(lid, n, r, home, b): the buckets in which texts (lid, norm) meet all that may be similar.
-
-    Two sets that are similar share one of each's rarest shingles: of n of them, all but the ceiling of n
-    times the threshold, and one more. Passages that many lines share are not among the rarest. Lines meet
-    under such a shingle, the r-th of theirs, and a class of size, each in its own class (its home) and the
-    next, so that sizes within the threshold of each other meet in one.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "nu", 1 << 20):
+                for at in range(0, part.num_rows, 1 << LINE_BITS):
+                    own = part.slice(at, 1 << LINE_BITS)
+                    yield own.select(["u", "v"]).filter(pa.array(_alike(shingle_sets(own.column("nu")), shingle_sets(own.column("nv")), own.num_rows, threshold)))
+
+    return both.select("u", "v", "nu", "nv").mapInArrow(run, "u long, v long")
+
+
+def _alike(a: np.ndarray, b: np.ndarray, n: int, threshold: float) -> np.ndarray:
+    """Whether the k-th sets of a and of b, in order by k, reach the threshold."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    of = lambda x: np.bincount((x >> np.uint64(64 - LINE_BITS)).astype(np.int64), minlength=n)
+    shared = of(both[1:][both[1:] == both[:-1]])
+    return shared >= threshold * (of(a) + of(b) - shared) - 1e-9
+
+
+def _block_links(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Similar (u, v) of whole groups: each row of a group's one side (left) with each of the other of another root."""
+    group, left, lid, root, other, size = (rows.column(c).to_numpy() for c in ("g", "left", "lid", "root", "other", "n"))
+    norm = rows.column("norm").combine_chunks()
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    us, vs = [], []
+    few: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle() -> None:
+        i, j = (np.concatenate(x) for x in zip(*few, strict=True))
+        few.clear()
+        for at in range(0, len(i), 4096):
+            a, b = i[at : at + 4096], j[at : at + 4096]
+            yes = _alike(shingle_sets(norm.take(pa.array(a))), shingle_sets(norm.take(pa.array(b))), len(a), threshold)
+            us.append(lid[a[yes]]), vs.append(lid[b[yes]])
+
+    for s, e in zip(starts, np.append(starts[1:], len(group)), strict=True):
+        i, j = s + np.flatnonzero(left[s:e]), s + np.flatnonzero(~left[s:e])
+        if not len(i) or not len(j):
+            continue
+        may = (root[i][:, None] != root[j]) & (np.minimum(size[i][:, None], size[j]) >= threshold * np.maximum(size[i][:, None], size[j]))
+        may &= ~(other[i][:, None] & other[j]) | (lid[i][:, None] < lid[j])
+        a, b = np.nonzero(may)
+        if len(a) > 8 * (len(i) + len(j)):  # many pairs of few lines: count what they share by a matrix product
+            yes = _product(shingle_sets(norm.take(pa.array(i))), shingle_sets(norm.take(pa.array(j))), len(i), len(j), threshold)
+            a, b = np.nonzero(may & yes)
+            us.append(lid[i[a]]), vs.append(lid[j[b]])
+        elif len(a):
+            few.append((i[a], j[b]))
+    if few:
+        settle()
+    return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _product(a: np.ndarray, b: np.ndarray, n: int, m: int, threshold: float) -> np.ndarray:
+    """For n sets a and m sets b whether each two reach the threshold; only shingles that both sides have are counted."""
+    rest, mask = np.uint64(64 - LINE_BITS), np.uint64((1 << 64 - LINE_BITS) - 1)
+    ha, hb = a & mask, b & mask
+    common = np.intersect1d(ha, hb)
+    of = lambda x, k: np.bincount((x >> rest).astype(np.int64), minlength=k)
+    shared = np.zeros((n, m), np.float32)
+    for at in range(0, len(common), 8192):
+        part = common[at : at + 8192]
+        x, y = np.zeros((n, len(part)), np.float32), np.zeros((m, len(part)), np.float32)
+        for sets, h, into in ((a, ha, x), (b, hb, y)):
+            k = np.minimum(np.searchsorted(part, h), len(part) - 1)
+            hit = part[k] == h
+            into[(sets[hit] >> rest).astype(np.int64), k[hit]] = 1
+        shared += x @ y.T
+    return shared >= threshold * (of(a, n)[:, None] + of(b, m) - shared) - 1e-3
+
+
+def block_links(met: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): all similar pairs of nodes of different components that share a bucket of ``met`` (lid, n, b).
+
+    In a bucket of several components, each node outside its largest one meets every node of another. Both sides
+    are dealt into blocks of about BLOCK nodes, and each two blocks are a group of their own.
     """
-    own = texts.select("lid", F.array_distinct(shingles(F.col("norm"))).alias("h"))
-    own = own.select("lid", (F.size("h") - F.ceil(F.size("h") * F.lit(threshold) - 1e-9) + 1).alias("k"), F.size("h").alias("n"), F.explode("h").alias("h"))
-    often = own.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
-    ranked = own.join(often, "h", "left").withColumn("r", F.row_number().over(Window.partitionBy("lid").orderBy(F.coalesce("often", F.lit(1)), "h")))
-    size = F.floor(F.log("n") / -F.log(F.lit(threshold))).cast("int")
-    return ranked.where("r <= k AND often > 1").select("lid", "n", "r", F.posexplode(F.array(F.xxhash64("h", size), F.xxhash64("h", size + 1))).alias("away", "b")).select("lid", "n", "r", (F.col("away") == 0).alias("home"), "b")
-
-
-def block_pairs(buckets: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (u, v), u the smaller, of all lines of different components that meet in a bucket and may be similar.
-
-    A bucket is dealt into parts of about BLOCK lines, and each two parts are a key of the join. Of two
-    similar lines, the first rare shingle that they share leaves enough shingles after it in both; the pair is
-    found there, and what leaves too few is passed over.
+    named = met.join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
+    shares = named.groupBy("b", "root").agg(F.count("*").alias("k"))
+    largest = shares.groupBy("b").agg(F.sum("k").alias("c"), F.max("k").alias("most"), F.max_by("root", F.struct("k", "root")).alias("big")).where("most < c")
+    several = cut(named.join(largest, "b").withColumn("other", F.col("root") != F.col("big")))
+    if several.isEmpty():
+        return several.select(F.col("lid").alias("u"), F.col("lid").alias("v"))
+    parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    all_parts, other_parts = parts(F.col("c")), parts(F.col("c") - F.col("most"))
+    own = lambda n: F.pmod(F.xxhash64("lid"), n).cast("int")
+    shown = ("lid", "root", "other", "n")
+    lefts = several.where("other").select("b", F.explode(F.sequence(F.lit(0), all_parts - 1)).alias("q"), own(other_parts).alias("p"), *shown).select(F.xxhash64("b", "p", "q").alias("g"), F.lit(True).alias("left"), *shown)
+    rights = several.select("b", F.explode(F.sequence(F.lit(0), other_parts - 1)).alias("p"), own(all_parts).alias("q"), *shown).select(F.xxhash64("b", "p", "q").alias("g"), F.lit(False).alias("left"), *shown)
+    groups = lefts.unionByName(rights).join(texts, "lid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            own = pa.Table.from_batches([batch])
+            held = own if held is None else pa.concat_tables([held, own])
+            g = held.column("g").to_numpy()
+            inner = np.flatnonzero(g != g[-1])
+            if len(inner) and held.num_rows >= 4 * BLOCK:  # the last group may go on in the next batch
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, _block_links(held.slice(0, int(inner[-1]) + 1), threshold))), names=["u", "v"])
+                held = held.slice(int(inner[-1]) + 1).combine_chunks()
+        if held is not None:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, _block_links(held, threshold))), names=["u", "v"])
+
+    return groups.repartition("g").sortWithinPartitions("g", "left", "lid").mapInArrow(run, "u long, v long")
+
+
+def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Documents (rid, doc_id, content, n_lines), and the lines (rid, pos) that repeat an earlier line of their component.
+
+    The first line of a component is that of the smallest document id (null ids last), then of the earliest row,
+    then the earliest line.
     """
-    parts = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
-    dealt = buckets.withColumn("m", parts).withColumn("p", F.pmod(F.xxhash64("lid"), F.col("m")).cast("int"))
-    sides = []
-    for side, others in (("u", F.sequence("p", F.col("m") - 1)), ("v", F.sequence(F.lit(0), F.col("p")))):
-        of = dealt.select("b", "p", F.explode(others).alias("q"), *(F.col(x).alias(f"{x}_{side}") for x in ("lid", "n", "r", "home", "root")))
-        sides.append(of.select(F.xxhash64("b", *(("p", "q") if side == "u" else ("q", "p"))).alias("block"), F.col("b").alias(f"b_{side}"), (F.col("p") == F.col("q")).alias(f"one_{side}"), *(f"{x}_{side}" for x in ("lid", "n", "r", "home", "root"))))
-    left, right = (x.withColumnRenamed("block", f"block_{side}") for x, side in zip(sides, "uv", strict=True))
-    may = (F.col("block_u") == F.col("block_v")) & (F.col("b_u") == F.col("b_v")) & (~F.col("one_u") | (F.col("lid_u") < F.col("lid_v"))) & (F.col("root_u") != F.col("root_v"))
-    may &= (F.col("home_u") | F.col("home_v")) & (F.least("n_u", "n_v") >= threshold * F.greatest("n_u", "n_v"))
-    left_over = 1 + F.least(F.col("n_u") - F.col("r_u"), F.col("n_v") - F.col("r_v"))
-    may &= left_over * (1 + threshold) >= threshold * (F.col("n_u") + F.col("n_v")) - 1e-6
-    met = left.join(right, may)
-    return met.select(F.least("lid_u", "lid_v").alias("u"), F.greatest("lid_u", "lid_v").alias("v")).distinct()
-
-
-def _texts(rows: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """(lid, norm) of the lines of these ids, each fetched from its first occurrence."""
-    wanted = nodes.join(ids, "lid", "left_semi").groupBy("at.rid").agg(F.collect_list(F.struct("lid", "at.pos")).alias("want"))
-    found = rows.select("rid", "lines").join(wanted, "rid").select("lines", F.explode("want").alias("w"))
-    return found.select("w.lid", normal(F.get("lines", F.col("w.pos"))).alias("norm"))
+    named = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[id_col].cast("long"), docs[text_col]).alias("content"))
+    table = written(occurrences(named), "lines")
+    rows, lines = table.where("pos < 0").select("rid", "doc_id", "content", F.col("n").alias("n_lines")), table.where("pos >= 0")
+    keys = [f"b{g}" for g in range(BANDS)]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos", "content", "n", *keys)).alias("at")
+    nodes = lines.groupBy("key").agg(first, F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("lid"), "key", "copies", "at.*")
+    nodes = written(nodes, "nodes")
+
+    buckets = nodes.select("lid", "n", F.explode(F.array(*keys)).alias("b")).where("b IS NOT NULL")
+    met = written(buckets.join(buckets.groupBy("b").agg(F.count("*").alias("c")).where("c > 1").select("b"), "b", "left_semi").select("lid", "n", "b"), "met")
+    leads = met.groupBy("b").agg(F.min(F.struct("lid", "n")).alias("lead"))
+    pairs = met.join(leads, "b").where("lid <> lead.lid").where(F.least("n", "lead.n") >= threshold * F.greatest("n", "lead.n"))
+    pairs = written(pairs.select(F.col("lead.lid").alias("u"), F.col("lid").alias("v")).distinct(), "pairs")
+    texts = written(_texts(named, nodes, met.select("lid").distinct()), "texts")
+    roots = components(similar_pairs(pairs, texts, threshold))
+    edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = components(edges.unionByName(block_links(met, roots, texts, threshold)))
+
+    order = ("none", "doc_id", "rid", "pos")
+    linked = roots.join(nodes.select("lid", *order), roots["node"] == nodes["lid"])
+    least = linked.groupBy("root").agg(F.min(F.struct(*order)).alias("least"))
+    moved = linked.select("lid", "root").join(least, "root").select("lid", F.col("least.rid").alias("krid"), F.col("least.pos").alias("kpos"))
+    keep = nodes.select("lid", "key", "copies", "rid", "pos").join(moved, "lid", "left")
+    keep = keep.select("key", "copies", F.coalesce("krid", "rid").alias("krid"), F.coalesce("kpos", "pos").alias("kpos"), ((F.col("krid") != F.col("rid")) | (F.col("kpos") != F.col("pos"))).alias("moved"))
+    keep = written(keep.where("moved OR copies > 1").select("key", "krid", "kpos"), "repeated")
+    gone = lines.select("rid", "pos", "key").join(keep, "key").where("rid <> krid OR pos <> kpos").select("rid", "pos")
+    return rows, gone
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(rid, doc_id, n_lines, n_removed, removed), a row for each document: the numbers, from 0, of the lines
-    that repeat an earlier line of the corpus, exactly or to a similarity of ``threshold``.
+    """(rid, doc_id, content, n_lines, n_removed, removed), a row for each document: the numbers, from 0, of the lines
+    that repeat an earlier line of the corpus, exactly or to a similarity of ``threshold``. content is a hash of id and text.
 
     Blank lines are never removed. Null and empty texts have no lines. Ids must be integers; a null id stays
     null, and rows that repeat an id are told apart by the order in which they are read. Other columns are
     ignored; no rows give no rows.
     """
-    classes = line_classes(docs, id_col=id_col, text_col=text_col, threshold=threshold)
-    gone = classes.where(~F.col("first")).groupBy("rid").agg(F.array_sort(F.collect_list("pos")).alias("removed"))
-    empty = F.array().cast("array<int>")
-    text = F.coalesce(docs[text_col], F.lit(""))
-    n = F.when(text == "", 0).otherwise(F.regexp_count(text, F.lit("\n")) + 1).cast("long")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].cast("long").alias("doc_id"), n.alias("n_lines"))
-    out = rows.join(gone, "rid", "left").withColumn("removed", F.coalesce("removed", empty))
-    return out.select("rid", "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+    rows, gone = line_classes(docs, id_col=id_col, text_col=text_col, threshold=threshold)
+    gone = gone.groupBy("rid").agg(F.array_sort(F.collect_list("pos")).alias("removed"))
+    out = rows.join(gone, "rid", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    return out.select("rid", "doc_id", "content", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, drop_emptied: bool = False) -> DataFrame:
-    """``docs`` with the lines that ``dedup_lines`` names taken out of the text; other columns stay as they are.
+    """``docs`` with the lines that ``dedup_lines`` names taken out of the text; other columns stay as they are,
+    whatever their names.
 
-    All rows stay, unless ``drop_emptied`` is set: then those go that had words and have none left.
+    All rows stay, unless ``drop_emptied`` is set: then those go that had words and have none left. Of rows that
+    repeat both id and text, one keeps its lines and the others lose all that are not blank.
     """
-    removed = cut(dedup_lines(docs, id_col=id_col, text_col=text_col, threshold=threshold).where("n_removed > 0").select(F.col("rid").alias("_rid"), F.col("removed").alias("_removed")))
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).join(removed, "_rid", "left")
-    left = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("_removed", i))
-    rows = rows.withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
+    content, gone, again = (free_name(docs, x) for x in ("content", "removed", "again"))
+    found = dedup_lines(docs, id_col=id_col, text_col=text_col, threshold=threshold)
+    found = written(found.groupBy("content").agg(F.min_by("removed", "rid").alias("removed"), F.count("*").alias("copies")), "removed")
+    removed = found.where(F.size("removed") > 0).select(F.col("content").alias(content), F.col("removed").alias(gone))
+    named = docs.withColumn(content, F.xxhash64(docs[id_col].cast("long"), docs[text_col])).withColumn(again, F.lit(False))
+    twice = found.where("copies > 1").select(F.col("content").alias(content))
+    if not twice.isEmpty():  # such rows are numbered in a table of their own, so that one of each stays first
+        number = free_name(named, "number")
+        several = written(named.join(twice, content, "left_semi").withColumn(number, F.monotonically_increasing_id()), "several")
+        lead = several.groupBy(content).agg(F.min(number).alias("lead"))
+        several = several.join(lead, content).withColumn(again, F.col(number) != F.col("lead")).select(named.columns)
+        named = named.join(twice, content, "left_anti").select(named.columns).unionByName(several)
+    rows = named.join(removed, content, "left")
+    text = F.col(text_col)
+    left = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(gone, i))
+    blank = F.filter(F.split(text, "\n"), lambda x: ~x.rlike("[^ \\t\\r\\x0b\\f]"))
+    changed = F.col(again) | F.col(gone).isNotNull()
+    rows = rows.withColumn(text_col, F.when(F.col(again), F.array_join(blank, "\n")).when(F.col(gone).isNull(), text).otherwise(F.array_join(left, "\n")))
     if drop_emptied:
-        rows = rows.where(F.col("_removed").isNull() | F.col(text_col).rlike("\\S"))
-    return rows.drop("_rid", "_removed")
+        rows = rows.where(~changed | F.col(text_col).rlike("\\S"))
+    return rows.select(docs.columns)

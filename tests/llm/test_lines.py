@@ -1,9 +1,7 @@
 import random
-import re
 
 from ledgerloom.llm.lines import dedup_lines, without_repeats
 
-EACH = re.compile(r"(?s)(?=(.{12}))(?:[!-ɏ]{1,6}|\S)\s*")
 
 
 def norm(line):
@@ -11,7 +9,7 @@ def norm(line):
 
 
 def grams(line):
-    return {*EACH.findall(line), line[-12:]}
+    return {line[i : i + 12] for i in range(max(1, len(line) - 11))}
 
 
 def brute(docs, threshold=0.8):
@@ -67,7 +65,7 @@ def test_against_brute_force(spark):
         assert [x.doc_id for x in rows] == [d for d, _ in docs]
         wrong = [i for i in want if got[i] != want[i]]
         assert sum(len(v) for v in want.values()) > 60
-        assert len(wrong) <= 1, [(docs[i], got[i], want[i]) for i in wrong[:3]]  # banding misses a pair at the threshold with probability 0.002
+        assert not wrong, [(docs[i], got[i], want[i]) for i in wrong[:3]]
         assert all(x.n_removed == len(x.removed) and x.n_lines == (len(t.split("\n")) if t else 0) for x, (_, t) in zip(rows, docs, strict=True))
         left = [t if not got[i] else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in got[i]) for i, (_, t) in enumerate(docs)]
         kept = [(k.doc_id, k.text, k.rid, k.removed) for k in without_repeats(df).collect()]
@@ -92,5 +90,56 @@ def test_template_groups_against_brute_force(spark):
         docs.append((d, f"the quarterly statement of {a} was sent by the {b} department with the final {c} mark for all of the accounts in {e} after review"))
     want = brute(docs)
     rows = sorted(dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect(), key=lambda x: x.rid)
-    assert 20 < sum(len(v) for v in want.values()) < 390
-    assert [x.removed for x in rows] == [want[i] for i in range(len(docs))]
+    wanted = sum(len(v) for v in want.values())
+    assert 20 < wanted < 390
+    # banding misses a pair at the threshold with probability 0.002, and here most pairs are just above it
+    assert sum(x.removed != want[i] for i, x in enumerate(rows)) <= 0.01 * len(docs)
+    assert 0.99 * wanted <= sum(x.n_removed for x in rows) <= wanted
+
+
+def family(r, n, edits, length):
+    """n lines, each with some words of one line changed."""
+    vocab = [f"w{r.randrange(10**6)}" for _ in range(3000)]
+    base = [r.choice(vocab) for _ in range(length)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for at in r.sample(range(length), edits):
+            w[at] = r.choice(vocab)
+        out.append(" ".join(w))
+    return out
+
+
+def test_families_lose_no_link(spark):
+    """Many lines a few words apart, of which no one line is like all others."""
+    r = random.Random(11)
+    for edits, families, n in ((1, 4, 60), (2, 4, 100)):
+        docs = [(k, "\n".join(x)) for k, x in enumerate(family(r, n, edits, r.randrange(30, 41)) for _ in range(families))]
+        want = brute(docs)
+        rows = sorted(dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect(), key=lambda x: x.rid)
+        wanted, got = sum(map(len, want.values())), sum(x.n_removed for x in rows)
+        assert wanted > 0 and 0.99 * wanted <= got <= wanted, (edits, wanted, got)
+
+
+def test_blocks_of_a_bucket(spark, monkeypatch):
+    """Buckets of several blocks on both sides give the same as one."""
+    from ledgerloom.llm import lines
+
+    r = random.Random(3)
+    docs = [(k, x) for k, x in enumerate(family(r, 150, 3, 30))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    whole = sorted((x.doc_id, x.n_removed) for x in dedup_lines(df).collect())
+    monkeypatch.setattr(lines, "BLOCK", 16)
+    assert sorted((x.doc_id, x.n_removed) for x in dedup_lines(df).collect()) == whole
+    assert sum(n for _, n in whole) > 0
+
+
+def test_rows_dealt_otherwise_and_clashing_names(spark):
+    r = random.Random(8)
+    docs = [(d, "\n".join(family(r, 4, 1, 30))) for d in range(40)]
+    docs += [docs[3], docs[3], (3, "another text of the same id"), (None, docs[5][1]), (None, docs[5][1])]
+    df = spark.createDataFrame([(d, t, "a", "b", "c", "d") for d, t in docs], "doc_id long, text string, _rid string, _removed string, content string, number string")
+    one, many = (sorted(map(str, without_repeats(x).collect())) for x in (df.coalesce(1), df.repartition(7)))
+    assert one == many and len(one) == len(docs)
+    kept = [x.text for x in without_repeats(df).collect() if x.doc_id == 3]
+    assert sorted(map(bool, kept)) == [False, False, True, True]
