@@ -1,4 +1,7 @@
-"""SimHash near-duplicates: fingerprints, multi-index buckets, bit-sliced comparison, components."""
+"""SimHash near-duplicates: fingerprints, multi-index buckets, bit-sliced comparison, components.
+
+For radii beyond 2, as word similarity needs, see ``simhash_wide``.
+"""
 
 from __future__ import annotations
 
@@ -280,17 +283,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
-    """One row of ``docs`` for each component, all columns unchanged: that of the smallest id. Integer ids only.
-
-    A null id comes after all others; among rows that repeat the id, any one stays.
-    """
-    own = F.coalesce(F.col(id_col).cast("long"), F.monotonically_increasing_id() + F.lit(1 << 62))
-    named = docs.withColumn("_own", own)
-    found = near_duplicates(named, id_col="_own", text_col=text_col, shingle=shingle, seed=seed, radius=radius)
-    first = cut(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_own")).distinct())
-    return named.join(first, "_own", "left_semi").dropDuplicates(["_own"]).drop("_own")
-
-
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from ledgerloom.llm.common import written
 from tests.llm.test_lines import brute as brute_lines
-from tests.llm.test_simhash import plain_components, plain_fp
+from tests.llm.test_simhash_wide import brute as brute_documents
 
 DIR = "/root/testdata/sf0.001"
 
@@ -48,8 +48,8 @@ def test_line_dedup(tables):
 
 def test_simhash_dedup(tables):
     rows = tables[2].collect()
-    roots = plain_components([(r.doc_id, plain_fp(r.text)) for r in rows])
-    assert sorted(map(tuple, tables[3].collect())) == sorted(tuple(r) for r in rows if roots[r.doc_id] == r.doc_id)
+    kept = brute_documents([(r.doc_id, r.text) for r in rows])
+    assert sorted(map(tuple, tables[3].collect())) == sorted(tuple(r) for r in rows if r.doc_id in kept)
 
 
 def test_decontamination(spark, tables):

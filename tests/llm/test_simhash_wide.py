@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from ledgerloom.llm import similar
+from ledgerloom.llm import simhash_wide as similar
 
 
 def grams(text):
@@ -46,3 +46,16 @@ def test_the_stage_keeps_one_of_each_similar_group(spark, monkeypatch):
     assert {x.doc_id for x in corpus_pipeline.simhash_dedup(spark, df, "").collect()} == want
     monkeypatch.setattr(similar, "COMMON_ABOVE", 5)
     assert {x.doc_id for x in similar.one_of_similar(df).collect()} == want
+    monkeypatch.setattr(similar, "BLOCK", 4)
+    assert {x.doc_id for x in similar.one_of_similar(df).collect()} == want
+    # the comparison of fingerprints decides: at a radius of 0 only sets of equal fingerprints are linked
+    assert len({x.doc_id for x in similar.one_of_similar(df, radius=0).collect()}) > len(want)
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a, "x"), (1, b, "y"), (1, b, "y"), (2, b + " more", "z"), (None, a, "w"), (None, None, "v"), (3, "", "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, content string")
+    got = [tuple(x) for x in similar.one_of_similar(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, a, "x"), (1, b, "y"), (3, "", "u")], key=str)
+    assert similar.one_of_similar(df.limit(0)).count() == 0
