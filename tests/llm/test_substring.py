@@ -58,13 +58,28 @@ def test_against_brute_force(spark, monkeypatch, seed, chunk):
     assert sorted([(x.doc_id, x.n_words, x.n_removed, x.kept_sha256, x.kept) for x in got], key=str) == want
     words = {d: (t or "").split() for d, t in rows}
     for x in got:
-        covered = set()
-        for f in x.factors:
-            assert f.length >= 13 and f.ref_doc_id < x.doc_id
-            covered |= set(range(f.start, f.start + f.length))
-            for i in range(f.start, f.start + f.length - 12):
-                assert " ".join(words[x.doc_id][i : i + 13]) in " ".join(words[f.ref_doc_id])
-        assert len(covered) == x.n_removed
+        own, end = words[x.doc_id], 0
+        for f in sorted(x.factors, key=lambda f: f.start):
+            assert f.length >= 13 and f.ref_doc_id < x.doc_id and f.start >= end
+            end = f.start + f.length
+            assert own[f.start : end] == words[f.ref_doc_id][f.ref_start : f.ref_start + f.length]
+        assert sum(f.length for f in x.factors) <= x.n_removed <= sum(f.length + 24 for f in x.factors)
+
+
+def test_factors_are_greedy_and_borders_are_looked_up():
+    # windows 0-4 copy document 1 from word 7; 5 and 6 are held by document 2; the factor ends at word 17
+    start, ref, place = np.array([0, 1, 2, 3, 4, 5, 6, 17, 18]), np.array([1, 1, 1, 1, 1, 2, 2, 1, 1]), np.array([7, 8, 9, 10, 11, 0, 1, 50, 90])
+    found, border = substring.factors(start, ref, place, 13)
+    assert found == [(0, 17, 1, 7), (17, 13, 1, 50)]
+    assert border.tolist() == [5, 6, 8]
+    assert substring.factors(start[:0], ref[:0], place[:0], 13)[0] == []
+
+
+def test_rows_that_repeat_an_id(spark):
+    t, u = (" ".join(f"{c}{i}" for i in range(20)) for c in "tu")
+    rows = [(1, t), (5, t), (5, u), (6, u)]
+    got = sorted((x.doc_id, x.n_removed) for x in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0), (5, 0), (5, 20), (6, 20)]
 
 
 def test_edges_of_the_input(spark):
