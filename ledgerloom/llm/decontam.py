@@ -1,4 +1,10 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact similarity."""
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact similarity.
+
+A sieve that loses nothing comes first: a window similar to an item to the threshold has at least a known share of
+its shingles in common with it, so windows with fewer shingles of any item are passed over. The others are
+fingerprinted; the fingerprint's blocks name items in the multi-index, which alone proposes items; those within the
+radius are compared exactly.
+"""
 
 from __future__ import annotations
 
@@ -46,7 +52,8 @@ def fingerprint_bits(first: np.ndarray, second: np.ndarray, width: int) -> np.nd
 
 class MultiIndex:
     """Items by each of 16 blocks of 8 bits. A fingerprint within RADIUS of an item's agrees with it in some
-    block to 2 bits; the items of all block values so near are kept as a bit mask, made when first asked for."""
+    block to 2 bits; the items of all block values so near are kept as a bit mask, made when first asked for.
+    At so wide a radius unrelated fingerprints often meet in a block too; the Hamming distance rules them out."""
 
     def __init__(self, fingerprints: np.ndarray):
         self.items: list[dict[int, int]] = [defaultdict(int) for _ in range(BLOCKS)]
@@ -91,10 +98,11 @@ class Benchmark:
                 prints[k] = fingerprint_bits(a, b, len(a))[0]
         self.prints, self.index = prints, MultiIndex(prints)
         self.by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.owners: dict[int, list[int]] = defaultdict(list)
-        for k, c in enumerate(self.shingles):
-            for s in c:
-                self.owners[s].append(k)
+        #: items of a width of shingles and a size in words, as a bit mask
+        self.of_size: dict[tuple[int, int], int] = defaultdict(int)
+        for k in range(len(texts)):
+            if self.sizes[k]:
+                self.of_size[int(self.widths[k]), int(self.sizes[k])] |= 1 << k
         for w in set(self.widths.tolist()) - {0}:
             known = np.array(sorted({s for k, c in enumerate(self.shingles) if self.widths[k] == w for s in c}), np.uint64)
             sieve = np.zeros(1 << 20, bool)
@@ -104,61 +112,79 @@ class Benchmark:
     def search(self, texts: pa.Array, threshold: float) -> list[tuple[int, int, int, float]]:
         """(text, item, first word, similarity) of each text's most similar window for each item, if similar enough.
 
-        A window as long as its item in words is looked at if it shares a shingle with it: with none the
-        similarity is zero. It goes on if the index names the item and at most RADIUS bits differ, and
-        counts if its exact similarity, of shingles weighted by their occurrences (the sum of minima over
-        the sum of maxima), reaches the threshold (ties: the first window).
+        Windows are as long as the item in words; of a text shorter than the item, the whole text is the window. The
+        similarity is that of shingles weighted by their occurrences, the sum of minima over the sum of maxima (ties:
+        the first window).
         """
         words, at = normal_words(texts)
         first, second = hash_words(words)
-        out = []
+        best: dict[tuple[int, int], tuple[int, float]] = {}
         for w, (known, sieve) in self.by_width.items():
             grams = windows(first, w)
             hits = np.flatnonzero(sieve[grams & np.uint64((1 << 20) - 1)])
             hits = hits[np.isin(grams[hits], known)]
-            if len(hits) == 0:
-                continue
             doc = np.searchsorted(at, hits, side="right") - 1
             inside = hits + w <= at[doc + 1]
             hits, doc = hits[inside], doc[inside]
+            if len(hits) == 0:
+                continue
             other = windows(second, w)
-            pairs: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for d, p in zip(doc.tolist(), hits.tolist(), strict=True):
-                for k in self.owners[int(grams[p])]:
-                    if self.widths[k] == w and self.sizes[k] <= at[d + 1] - at[d]:
-                        pairs[d, k].append(p)
-            for (d, k), places in pairs.items():
-                best = self._best(grams, other, k, places, int(at[d]), int(at[d + 1]), threshold)
-                if best is not None:
-                    out.append((d, k, best[0] - int(at[d]), best[1]))
+            short = [(d, int(at[d]), int(at[d + 1]) - int(at[d])) for d in np.unique(doc[at[doc + 1] - at[doc] < max(n for x, n in self.of_size if x == w)]).tolist()]
+            for (width, size), items in self.of_size.items():
+                if width != w:
+                    continue
+                span = size - w + 1
+                need = int(np.ceil(2 * span * threshold / (1 + threshold) - 1e-9))
+                for a, b in self._runs(hits, doc, at, size, span, need):
+                    d = int(np.searchsorted(at, a, side="right")) - 1
+                    for lo in range(a, b + 1, 4096):  # bounds memory where a text repeats an item for long
+                        self._compare(grams, other, d, int(at[d]), lo, min(b, lo + 4095), span, items, threshold, best)
+                for d, begin, n in short:
+                    own = n - w + 1
+                    if n < size and own >= threshold * span - 1e-9:
+                        shared = np.searchsorted(hits, begin + own) - np.searchsorted(hits, begin)
+                        if shared >= (own + span) * threshold / (1 + threshold) - 1e-9:
+                            self._compare(grams, other, d, begin, begin, begin, own, items, threshold, best)
+        return [(d, k, start, similarity) for (d, k), (start, similarity) in best.items()]
+
+    @staticmethod
+    def _runs(hits: np.ndarray, doc: np.ndarray, at: np.ndarray, size: int, span: int, need: int) -> list[tuple[int, int]]:
+        """First and last start of each run of windows that hold at least ``need`` shingles of items. The first
+        such shingle of a window is among its first ``span - need + 1``."""
+        back = np.arange(max(0, span - need) + 1)
+        starts = hits[:, None] - back
+        fits = (starts >= at[doc][:, None]) & (starts + size <= at[doc + 1][:, None])
+        starts = np.unique(starts[fits])
+        starts = starts[np.searchsorted(hits, starts + span) - np.searchsorted(hits, starts) >= need]
+        if not len(starts):
+            return []
+        breaks = np.flatnonzero(np.diff(starts) != 1)
+        begins, ends = starts[np.append(0, breaks + 1)], starts[np.append(breaks, len(starts) - 1)]
+        # a run may go on from one text into the next
+        out = []
+        for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+            while a <= b:
+                stop = min(b, int(at[np.searchsorted(at, a, side="right")]) - 1)
+                out.append((a, stop))
+                a = stop + 1
         return out
 
-    def _best(self, grams: np.ndarray, other: np.ndarray, k: int, places: list[int], begin: int, end: int, threshold: float) -> tuple[int, float] | None:
-        size, w = int(self.sizes[k]), int(self.widths[k])
-        span, best = size - w + 1, None
-        runs: list[list[int]] = []  # starts of windows that hold a hit, as disjoint ranges
-        for p in places:
-            a, b = max(begin, p - span + 1), min(p, end - size)
-            if a > b:
-                continue
-            if runs and a <= runs[-1][1] + 1:
-                runs[-1][1] = max(runs[-1][1], b)
-            else:
-                runs.append([a, b])
-        for a, b in runs:
-            for lo in range(a, b + 1, 4096):  # bounds memory where a text repeats an item for long
-                hi = min(b, lo + 4095)
-                own = [int(s) for s in grams[lo : hi + span]]
-                prints = fingerprint_bits(grams[lo : hi + span], other[lo : hi + span], span)
-                near = np.flatnonzero(_POPCOUNT[prints ^ self.prints[k]].sum(axis=1) <= RADIUS)
-                for s in near.tolist():
-                    if not self.index.candidates(prints[s].tolist()) >> k & 1:
-                        continue
-                    shared = (Counter(own[s : s + span]) & self.shingles[k]).total()
-                    similarity = shared / (self.totals[k] + span - shared)
-                    if similarity >= threshold and (best is None or similarity > best[1]):
-                        best = lo + s, similarity
-        return best
+    def _compare(self, grams: np.ndarray, other: np.ndarray, d: int, begin: int, lo: int, hi: int, span: int, items: int, threshold: float, best: dict[tuple[int, int], tuple[int, float]]) -> None:
+        """Looks the windows that start at ``lo`` to ``hi`` up in the index; those of the items named are compared."""
+        own = grams[lo : hi + span].tolist()
+        prints = fingerprint_bits(grams[lo : hi + span], other[lo : hi + span], span)
+        for s, f in enumerate(prints.tolist()):
+            named, counts = self.index.candidates(f) & items, None
+            while named:
+                k = (named & -named).bit_length() - 1
+                named &= named - 1
+                if _POPCOUNT[prints[s] ^ self.prints[k]].sum() > RADIUS:
+                    continue
+                counts = counts or Counter(own[s : s + span])
+                shared = (counts & self.shingles[k]).total()
+                similarity = shared / (self.totals[k] + span - shared)
+                if similarity >= threshold and ((d, k) not in best or similarity > best[d, k][1]):
+                    best[d, k] = lo + s - begin, similarity
 
 
 def contaminated(
@@ -174,8 +200,8 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, start_word, similarity): a row for each document and item that a window of it resembles.
 
-    The benchmark goes to every task, PART_BYTES at a time; documents are read in place, without shuffle.
-    Null and empty texts match nothing, nor do items without words. Repeated documents and repeated
+    The benchmark goes to every task, PART_BYTES at a time; documents are read in place, without shuffle, once a part.
+    A document shorter than an item is compared as a whole. Null and empty texts match nothing, nor do items without words. Repeated documents and repeated
     items give rows of their own, null ids stay null, other columns are ignored. An empty table on
     either side gives no rows.
     """

@@ -24,7 +24,7 @@ def brute(docs, items, threshold=0.8):
         w = plain_words(t)
         for i, iw, g in sets:
             best = 0.0
-            for s in range(len(w) - len(iw) + 1):
+            for s in range(max(1, len(w) - len(iw) + 1)):
                 x = grams(w[s : s + len(iw)], min(5, len(iw)))
                 both = sum(min(n, g[k]) for k, n in x.items())
                 every = sum(x.values()) + sum(g.values())
@@ -50,6 +50,7 @@ def make(seed=4):
             w[5:5] = x
         text = "".join(c + r.choice([" ", ", ", "\n", "! "]) for c in w)
         docs.append((d, text.upper() if d % 5 == 0 else text))
+    docs += [(300 + i, " ".join(x[1].split()[a : len(x[1].split()) - b])) for i, (x, a, b) in enumerate([(items[k], a, b) for k in range(20) for a, b in ((0, 2), (3, 0), (0, 1), (9, 0))])]
     docs += [(200, None), (201, ""), (202, " ".join(["again"] * 9000)), (203, items[6][1])]
     return docs, items
 
@@ -86,3 +87,19 @@ def test_tables(spark):
     want = {(a, b) for a, x in docs.items() for b, y in items.items() if y in x}
     got = {(r.doc_id, r.item_id) for r in QUERIES["op7_decontamination"](spark, d).collect()}
     assert want and want == got
+
+
+def test_the_index_proposes_the_items(monkeypatch):
+    """Without the block tables nothing is found, and a radius of 0 leaves only exact copies."""
+    import pyarrow as pa
+
+    docs, items = make()
+    texts = pa.array([t for _, t in docs])
+    b = decontam.Benchmark([t for _, t in items])
+    found = b.search(texts, 0.8)
+    assert any(x[3] < 1 for x in found) and any(x[3] == 1 for x in found)
+    monkeypatch.setattr(decontam.MultiIndex, "candidates", lambda self, f: 0)
+    assert b.search(texts, 0.8) == []
+    monkeypatch.undo()
+    monkeypatch.setattr(decontam, "RADIUS", 0)
+    assert {x[3] for x in decontam.Benchmark([t for _, t in items]).search(texts, 0.8)} == {1.0}
