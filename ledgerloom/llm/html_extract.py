@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html as references
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,7 +49,13 @@ NEGATIVE = frozenset(
 )
 POSITIVE = frozenset("article articles body content entry hentry main page post story text".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd div section article main figcaption body center".split())
+#: paragraphs of these kinds pass their points to the parent, others hold them themselves
+PASSING = frozenset("p pre td blockquote li dd figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: of these the parts of a name ("cookie-notice") count as well as the whole; a paragraph of class "verb-form" is none
+CONTAINERS = frozenset("div section article ul ol dl table tr tbody main figure details center".split())
+#: an end tag of a paragraph or list item ends nothing beyond these
+BARRIERS = ("article", "section", "table", "body", "td", "ul", "ol", "div")
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -82,21 +89,66 @@ def _unwanted(tag: str, attributes: str) -> bool:
     names = [*found.get("class", "").split(), *found.get("id", "").split()]
     if any(n.lower() in POSITIVE for n in names):
         return False
+    if tag not in CONTAINERS:
+        return any(n.lower() in NEGATIVE for n in names)
     return any(p.lower() in NEGATIVE for n in names for p in _PARTS.findall(n))
 
 
+class _Open:
+    """The open elements, with the places of each tag and of all blocks, so that no tag is looked for in vain."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.blocks = [root], defaultdict(list), []
+
+    @property
+    def node(self) -> Node:
+        return self.stack[-1]
+
+    def push(self, node: Node) -> None:
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.places[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Where the innermost open element of these tags is; 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def close(self, place: int) -> None:
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def close_implied(self, tags: Iterable[str], limits: Iterable[str]) -> None:
+        place = self.last(tags)
+        if place and place > self.last(limits):
+            self.close(place)
+
+    def end(self, tag: str) -> None:
+        """After an end tag: inline ones don't close blocks, and an element that isn't open ends nothing."""
+        place = self.last((tag,))
+        if not place or tag not in BLOCK and self.blocks and place < self.blocks[-1]:
+            return
+        if tag in ("p", "li") and place < self.last(BARRIERS):
+            return
+        self.close(place)
+
+
 def parse(page: str) -> Node:
     """The tree of a page. Markup that is not well formed is read as browsers do in the common cases:
     implied end tags, stray end tags, unquoted or unclosed attributes; never an error."""
-    root = node = Node("#root", None, False)
+    root = Node("#root", None, False)
+    opened = _Open(root)
     at, size = 0, len(page)
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
-            node.children.append(references.unescape(page[at:]))
+            opened.node.children.append(references.unescape(page[at:]))
             break
         if lt > at:
-            node.children.append(references.unescape(page[at:lt]))
+            opened.node.children.append(references.unescape(page[at:lt]))
         nxt = page[lt + 1 : lt + 2]
         if nxt == "!" or nxt == "?":
             if page.startswith("<!--", lt):
@@ -115,22 +167,22 @@ def parse(page: str) -> Node:
                 end = page.find(">", lt)
                 at = end + 1 if end >= 0 else size
             else:
-                node.children.append("<")
+                opened.node.children.append("<")
                 at = lt + 1
             continue
         at = m.end()
         tag = m[2].lower()
         if m[1]:
-            node = _end(node, tag)
+            opened.end(tag)
             continue
         if tag in CLOSES_P:
-            node = _close(node, {"p"}, {"td", "th", "table", "button", "object"})
-            if tag in HEADINGS and node.tag in HEADINGS:
-                node = node.parent or node
+            opened.close_implied(("p",), ("td", "th", "table", "button", "object"))
+            if tag in HEADINGS and opened.node.tag in HEADINGS:
+                opened.close(len(opened.stack) - 1)
         if tag in IMPLIED_END:
-            node = _close(node, *IMPLIED_END[tag])
-        new = Node(tag, node, _unwanted(tag, m[3]))
-        node.children.append(new)
+            opened.close_implied(*IMPLIED_END[tag])
+        new = Node(tag, opened.node, _unwanted(tag, m[3]))
+        opened.node.children.append(new)
         if tag in RAW:
             end = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
             if end is None:
@@ -138,34 +190,10 @@ def parse(page: str) -> Node:
             close = page.find(">", end.start())
             at = close + 1 if close >= 0 else size
         elif tag not in VOID and not m[3].endswith("/") or tag in ("p", "div", "b", "i", "a", "span"):
-            node = new
+            opened.push(new)
     return root
 
 
-def _close(node: Node, tags: set[str], limits: set[str]) -> Node:
-    x: Node | None = node
-    while x is not None and x.tag not in limits:
-        if x.tag in tags:
-            return x.parent or x
-        x = x.parent
-    return node
-
-
-def _end(node: Node, tag: str) -> Node:
-    """After an end tag: inline ones don't close blocks, and an element that isn't open ends nothing."""
-    x: Node | None = node
-    inline = tag not in BLOCK
-    while x is not None and x.parent is not None:
-        if x.tag == tag:
-            return x.parent
-        if inline and x.tag in BLOCK:
-            return node
-        if tag in ("p", "li") and x.tag in ("article", "section", "table", "body", "td", "ul", "ol", "div"):
-            return node
-        x = x.parent
-    return node
-
-
 def _walk(root: Node) -> Iterator[Node]:
     stack = [root]
     while stack:
@@ -221,58 +249,58 @@ def _sizes(root: Node) -> dict[int, tuple[int, int, int]]:
     return sizes
 
 
+def _scores(root: Node, density: Callable[[Node], float]) -> None:
+    """Points that paragraphs pass to their parents, of which each further ancestor gets half, in one pass upwards."""
+    for n in reversed(list(_walk(root))):
+        if n.tag in PARAGRAPHS and len(text := _own_text(n)) >= MIN_PARAGRAPH:
+            points = (1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)) * (1 - density(n))
+            to = n.parent if n.tag in PASSING and n.parent is not None else n
+            to.score += points
+        if n.parent is not None:
+            n.parent.score += n.score / 2
+
+
 def main_text(page: str | None) -> str:
-    """The article's text of a page, its blocks joined by one space; empty if there is none."""
+    """The article's text of a page, its blocks joined by one space; empty if there is none.
+
+    The container of the best score is kept whole, or the article or else the main element that encloses it, with its
+    siblings; what ``_unwanted`` names goes, as do link lists outside an article.
+    """
     if not page:
         return ""
     root = parse(page)
-    for n in _walk(root):  # a page's header is no part of the article; an article's own header is
-        if n.tag == "header":
-            p = n.parent
-            while p is not None and p.tag not in ("article", "main"):
-                p = p.parent
-            n.dropped = p is None
+    inside: set[int] = set()  # elements in an article or main
+    for n in _walk(root):
+        if n.tag in ("article", "main") or id(n.parent) in inside:
+            inside.add(id(n))
+        elif n.tag == "header":  # a page's header is no part of the article; an article's own header is
+            n.dropped = True
     sizes = _sizes(root)
     density = lambda n: sizes[id(n)][1] / max(1, sizes[id(n)][0])
-    scored: list[Node] = []
-    for n in _walk(root):
-        if n.tag not in PARAGRAPHS:
-            continue
-        text = _own_text(n)
-        if len(text) < MIN_PARAGRAPH:
-            continue
-        points = (1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)) * (1 - density(n))
-        p, level = n.parent if n.tag in ("p", "pre", "td", "blockquote", "li", "dd", "figcaption") else n, 0
-        while p is not None and level < 5:
-            if p.tag not in ("html", "#root") or p.parent is None and level == 0:
-                if not p.score:
-                    scored.append(p)
-                p.score += points / (1, 2, 6, 9, 12)[level]
-            p, level = p.parent, level + 1
+    _scores(root, density)
+    scored = [n for n in _walk(root) if n.score and n.tag not in ("html", "#root")] or [n for n in (root,) if n.score]
     best = max(scored, key=lambda n: n.score * (1 - density(n)), default=None)
     if best is None:
         best = next((n for tag in ("article", "main", "body") for n in _walk(root) if n.tag == tag), root)
-    top = best
-    while top.parent is not None:  # an enclosing article is the container that its author named
+    around, top = {}, best
+    while top is not None:  # the outermost enclosing element that its author named so
+        around[top.tag] = top
         top = top.parent
-        if top.tag == "article":
-            best = top
-    keep = [best]
-    if best.parent is not None and best.tag not in ("article", "body"):
-        least = max(10.0, 0.2 * best.score * (1 - density(best)))
-        keep = []
-        for n in best.parent.children:
-            if n is best:
-                keep.append(n)
-            elif type(n) is Node and not n.dropped:
-                if n.score * (1 - density(n)) >= least or n.tag == "h1":
-                    keep.append(n)
-                elif n.tag in ("p", "pre", "blockquote", "h2", "h3"):
-                    text = _own_text(n)
-                    if density(n) < 0.25 and (len(text) > 80 or n.tag in HEADINGS or re.search(r"[.!?]( |$)", text) and not sizes[id(n)][2]):
-                        keep.append(n)
-    menus = {id(n) for k in keep for n in _walk(k) if n.tag in ("ul", "ol", "div", "table") and sizes[id(n)][2] >= 3 and density(n) >= 0.8 and n not in keep}
-    return " ".join(" ".join("".join(_text(k, menus)) for k in keep).split())
+    best = around.get("article") or around.get("main") or best
+    while best.tag not in ("article", "main", "body") and best.parent is not None and best.parent.tag in CONTAINERS and sizes[id(best.parent)][0] == sizes[id(best)][0]:
+        best = best.parent  # a wrapper without text of its own
+    keep: list[Node | str] = [best]
+    if best.parent is not None and best.tag not in ("main", "body"):
+        keep = [n for n in best.parent.children if n is best or type(n) is str or not n.dropped and not (sizes[id(n)][2] and density(n) >= 0.5)]
+    menus: set[int] = set()
+    stack = [(n, n.tag == "article") for n in keep if type(n) is Node]
+    while stack:
+        n, named = stack.pop()
+        if not named and n is not best and n.tag in ("ul", "ol", "div", "table") and sizes[id(n)][2] >= 3 and density(n) >= 0.8:
+            menus.add(id(n))
+        else:
+            stack += [(c, named or c.tag == "article") for c in n.children if type(c) is Node and not c.dropped]
+    return " ".join(" ".join(n if type(n) is str else "".join(_text(n, menus)) for n in keep).split())
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

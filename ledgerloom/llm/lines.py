@@ -168,12 +168,19 @@ def _alike(a: np.ndarray, b: np.ndarray, n: int, threshold: float) -> np.ndarray
 
 
 def _block_links(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Similar (u, v) of whole groups: each row of a group's one side (left) with each of the other of another root."""
+    """Similar (u, v) of whole groups: each row of a group's one side (left) is compared with each of the other of another
+    root; of the similar pairs, a forest that connects the same roots."""
     group, left, lid, root, other, size = (rows.column(c).to_numpy() for c in ("g", "left", "lid", "root", "other", "n"))
     norm = rows.column("norm").combine_chunks()
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     us, vs = [], []
     few: list[tuple[np.ndarray, np.ndarray]] = []
+    joined: dict[int, int] = {}
+
+    def link(i: np.ndarray, j: np.ndarray) -> None:
+        """Hands on those of the similar pairs that join components which the earlier ones have not joined."""
+        new = _joining(root[i].tolist(), root[j].tolist(), joined)
+        us.append(lid[i[new]]), vs.append(lid[j[new]])
 
     def settle() -> None:
         i, j = (np.concatenate(x) for x in zip(*few, strict=True))
@@ -181,7 +188,7 @@ def _block_links(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarr
         for at in range(0, len(i), 4096):
             a, b = i[at : at + 4096], j[at : at + 4096]
             yes = _alike(shingle_sets(norm.take(pa.array(a))), shingle_sets(norm.take(pa.array(b))), len(a), threshold)
-            us.append(lid[a[yes]]), vs.append(lid[b[yes]])
+            link(a[yes], b[yes])
 
     for s, e in zip(starts, np.append(starts[1:], len(group)), strict=True):
         i, j = s + np.flatnonzero(left[s:e]), s + np.flatnonzero(~left[s:e])
@@ -193,7 +200,7 @@ def _block_links(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarr
         if len(a) > 8 * (len(i) + len(j)):  # many pairs of few lines: count what they share by a matrix product
             yes = _product(shingle_sets(norm.take(pa.array(i))), shingle_sets(norm.take(pa.array(j))), len(i), len(j), threshold)
             a, b = np.nonzero(may & yes)
-            us.append(lid[i[a]]), vs.append(lid[j[b]])
+            link(i[a], j[b])
         elif len(a):
             few.append((i[a], j[b]))
     if few:
@@ -201,6 +208,22 @@ def _block_links(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _joining(a: list[int], b: list[int], joined: dict[int, int]) -> list[int]:
+    """Places k at which a[k] and b[k] are not connected yet, by ``joined`` (a forest of parents) or earlier places."""
+    out = []
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        while (p := joined.get(x, x)) != x:
+            joined[x] = joined.get(p, p)
+            x = p
+        while (p := joined.get(y, y)) != y:
+            joined[y] = joined.get(p, p)
+            y = p
+        if x != y:
+            joined[max(x, y)] = min(x, y)
+            out.append(k)
+    return out
+
+
 def _product(a: np.ndarray, b: np.ndarray, n: int, m: int, threshold: float) -> np.ndarray:
     """For n sets a and m sets b whether each two reach the threshold; only shingles that both sides have are counted."""
     rest, mask = np.uint64(64 - LINE_BITS), np.uint64((1 << 64 - LINE_BITS) - 1)
@@ -220,7 +243,7 @@ def _product(a: np.ndarray, b: np.ndarray, n: int, m: int, threshold: float) ->
 
 
 def block_links(met: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): all similar pairs of nodes of different components that share a bucket of ``met`` (lid, n, b).
+    """(u, v): links that connect all similar nodes of different components that share a bucket of ``met`` (lid, n, b).
 
     In a bucket of several components, each node outside its largest one meets every node of another. Both sides
     are dealt into blocks of about BLOCK nodes, and each two blocks are a group of their own.

@@ -37,6 +37,40 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "sibling, text",
+    [
+        ("<ul><li>one</li><li>two</li></ul>", "one two"),
+        ("<p>Short, no stop</p>", "Short, no stop"),
+        ("<div>a</div><h4>Head</h4>", "a Head"),
+        ("<table><tr><td>1</td><td>2</td></tr></table>", "1 2"),
+        ("<section>Brief.</section>", "Brief."),
+        ("<figure><figcaption>A picture</figcaption></figure>", "A picture"),
+        ("bare words", "bare words"),
+        (f"<div><div>{PS}</div></div>", ALL),
+    ],
+)
+def test_siblings_stay(sibling, text):
+    assert main_text(f"<main><div><p>{S1}</p><p>{S2}</p></div>{sibling}</main>") == f"{S1} {S2} {text}"
+    assert main_text(f"<body><nav>x</nav><div><div><p>{S1}</p><p>{S2}</p></div>{sibling}</div></body>").startswith(f"{S1} {S2} {text}")
+
+
+def test_inside_an_article_only_what_is_named_goes():
+    assert main_text(f"<article>{PS}<ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul></article>") == f"{ALL} one two three"
+    assert main_text(f"<article>{PS}<p class='verb-form'>I am, you are.</p></article>") == f"{ALL} I am, you are."
+    assert main_text(f"<article>{PS}<p class='advert'>Buy, buy.</p><div class='share-buttons'>Share</div></article>") == ALL
+    assert main_text(f"<main><article>{PS}</article><article><p>{S1}</p></article><div class='related'>{PS}</div></main>") == f"{ALL} {S1}"
+
+
+def test_many_nested_or_stray_tags_take_linear_time():
+    import time
+
+    for page in ("<div>" * 100_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<li><div>" + "<b>" * 100_000 + "</li>" * 100_000, "<header>" * 100_000, "</p>" * 100_000, "<td>" * 100_000):
+        began = time.perf_counter()
+        main_text(page + PS)
+        assert time.perf_counter() - began < 4, page[:20]
+
+
 def test_depth_and_length():
     deep = "<div>" * 20_000 + PS + "</div>" * 20_000
     assert main_text(deep) == ALL
