@@ -146,22 +146,22 @@ def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches: all documents; deletion of those labelled toxic; recounts of the rest for an end token, under
-    which every document has one token more. The first two are delivered twice."""
+    """Three batches: all documents; deletion of those labelled toxic; recounts of the rest under a version with an end
+    token, to which they move, each with one token more. The first two are delivered twice. Compacted after two."""
     from pyspark.sql import functions as F
 
     from ledgerloom.llm.common import written
-    from ledgerloom.llm.rollup import Rollup, count_tokens
+    from ledgerloom.llm.rollup import DIMENSIONS, Rollup, count_tokens
 
     counts = written(count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k"), "counts")
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
-    none = F.lit(None).cast("long")
-    rollup = Rollup(spark)
-    insert = counts.select(F.lit("insert").alias("op"), *counts.columns, none.alias("old_tokens"))
-    gone = counts.join(toxic, "doc_id", "left_semi")
-    delete = gone.select(F.lit("delete").alias("op"), *gone.columns, F.col("n_tokens").alias("old_tokens"))
+    none = F.lit(None).cast("long").alias("old_tokens")
+    rollup = Rollup(spark, compact_every=2)
+    insert = counts.select(F.lit("insert").alias("op"), *DIMENSIONS, "n_tokens", none)
+    delete = counts.join(toxic, "doc_id", "left_semi").select(F.lit("delete").alias("op"), *DIMENSIONS, "n_tokens", F.col("n_tokens").alias("old_tokens"))
     rest = counts.join(toxic, "doc_id", "left_anti")
-    revise = rest.select(F.lit("revise").alias("op"), "doc_id", "source", "lang", "tokenizer_version", (F.col("n_tokens") + 1).alias("n_tokens"), F.col("n_tokens").alias("old_tokens"))
+    old = [F.col(d).alias(f"old_{d}") for d in DIMENSIONS]
+    revise = rest.select(F.lit("revise").alias("op"), "source", "lang", F.lit("word_bpe_49k+end").alias("tokenizer_version"), (F.col("n_tokens") + 1).alias("n_tokens"), F.col("n_tokens").alias("old_tokens"), *old)
     for batch_id, changes in (("load", insert), ("load", insert), ("toxic", delete), ("end-token", revise), ("toxic", delete)):
         rollup.commit(batch_id, changes)
     return rollup.totals()

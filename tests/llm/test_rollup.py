@@ -11,10 +11,10 @@ COLUMNS = "op string, source string, lang string, tokenizer_version string, n_to
 
 def test_batches_against_recount(spark, tmp_path):
     r = random.Random(1)
-    rollup = Rollup(spark, f"file://{tmp_path}/r")
+    rollup = Rollup(spark, f"file://{tmp_path}/r", compact_every=2)
     assert rollup.totals().count() == 0
     live = {}
-    for batch in range(4):
+    for batch in range(7):
         changes = []
         for _ in range(60):
             k = (r.choice(["a", None, "b"]), r.choice(["en", None]), r.choice(["v1", "v2"]))
@@ -38,7 +38,9 @@ def test_batches_against_recount(spark, tmp_path):
             tokens[k] += n
         got = {tuple(x)[:3]: tuple(x)[3:] for x in rollup.totals().collect()}
         assert got == {k: (docs[k], tokens[k]) for k in docs}
-    assert rollup.batches() == {"b0", "b1", "b2", "b3"} == Rollup(spark, f"file://{tmp_path}/r").batches()
+    assert rollup.batches() == {f"b{k}" for k in range(7)} == Rollup(spark, f"file://{tmp_path}/r").batches()
+    # three snapshots so far, of which the last two are kept, with the batches that the older one lacks
+    assert sorted(n for n in rollup._names()) == ["batch=b4", "batch=b5", "batch=b6", "snapshot=2", "snapshot=3"]
 
 
 def test_a_batch_that_fails_leaves_no_trace(spark, tmp_path):
@@ -57,6 +59,21 @@ def test_a_batch_that_fails_leaves_no_trace(spark, tmp_path):
     assert deltas(good.limit(0)).count() == 0
 
 
+def test_documents_move_and_repeats_count_once(spark):
+    schema = COLUMNS.replace(", n_docs int", "") + ", old_source string, old_lang string, old_tokenizer_version string, doc_id long"
+    rows = [
+        ("insert", "a", "en", "v1", 5, None, None, None, None, 1),
+        ("insert", "a", "en", "v1", 5, None, None, None, None, 1),
+        ("revise", "b", None, "v2", 7, 4, "a", "en", "v1", 2),
+        ("insert", "a", "en", "v1", 1, None, None, None, None, None),
+        ("insert", "a", "en", "v1", 1, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    sums = lambda key: {tuple(x)[:3]: tuple(x)[3:] for x in deltas(df, key).collect()}
+    assert sums(("op", "doc_id")) == {("a", "en", "v1"): (2, 3), ("b", None, "v2"): (1, 7)}
+    assert sums(()) == {("a", "en", "v1"): (3, 8), ("b", None, "v2"): (1, 7)}
+
+
 def test_counts(spark):
     from tokenizers import Tokenizer
 
@@ -81,5 +98,5 @@ def test_query_against_brute_force(spark):
         if r.doc_id not in toxic:
             docs[r.source, r.lang] += 1
             tokens[r.source, r.lang] += len(hf.encode(r.text or "", add_special_tokens=False).ids) + 1
-    got = {(x.source, x.lang): (x.n_docs, x.n_tokens) for x in QUERIES["op9_token_rollup"](spark, d).collect()}
-    assert got == {k: (docs[k], tokens[k]) for k in docs}
+    got = {(x.source, x.lang, x.tokenizer_version): (x.n_docs, x.n_tokens) for x in QUERIES["op9_token_rollup"](spark, d).collect()}
+    assert got == {(*k, "word_bpe_49k+end"): (docs[k], tokens[k]) for k in docs}
