@@ -47,8 +47,8 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _uuid(kind: str, page_id: Column, row: Column) -> Column:
-    h = F.md5(F.concat_ws(":", F.lit(kind), page_id.cast("string"), row.cast("string")))
+def _uuid(kind: str, page_id: Column, row: Column, number: Column) -> Column:
+    h = F.md5(F.concat_ws(":", F.lit(kind), page_id.cast("string"), row.cast("string"), number.cast("string")))
     cuts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cuts), F.lit(">"))
 
@@ -76,21 +76,26 @@ def write_captures(
     """Writes a request, a response or revisit, and a metadata record for each row of ``pages``.
 
     Of rows with equal payloads of at least ``min_bytes`` bytes, the one with the smallest id becomes the
-    response (a null id counts as largest; among repeated ids, the first row read) and the others revisit
-    it. A null payload is empty. A null URL is written as about:blank; line breaks in URLs are escaped.
+    response (a null id counts as largest; among repeated ids, that of the least hash of id, URL and payload, and of rows
+    that agree in all three, any one) and the others revisit it. No row is numbered by the place where it is read,
+    which may differ when a task runs again; rows that agree in all three are numbered in a table of their own. A null payload is empty. A null URL is written as about:blank; line breaks in URLs are escaped.
     Payloads cross the network once, to meet the digest's first row; a digest that very many rows share is
     one key of an equi-join, which adaptive execution splits.
     """
     uri = F.regexp_replace(F.regexp_replace(pages[url_col].cast("string"), "\r", "%0D"), "\n", "%0A")
-    rows = pages.select(
-        pages[id_col].alias("id"), F.coalesce(uri, F.lit(NO_URI)).alias("uri"), F.coalesce(pages[payload_col], F.lit("")).alias("payload"), F.monotonically_increasing_id().alias("n")
-    )
-    rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload"))
-    lead = rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n", "uri")).alias("lead"))
+    rows = pages.select(pages[id_col].alias("id"), F.coalesce(uri, F.lit(NO_URI)).alias("uri"), F.coalesce(pages[payload_col], F.lit("")).alias("payload"))
+    rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload")).withColumn("row", F.xxhash64("id", "uri", "digest"))
+    narrow = written(rows.drop("payload"), "digests")
+    again = cut(narrow.groupBy("row").agg(F.count("*").alias("c")).where("c > 1").select("row"))
+    rows, narrow = (x.withColumn("n", F.lit(0).cast("long")) for x in (rows, narrow))
+    if not again.isEmpty():
+        several = written(rows.join(again, "row", "left_semi").withColumn("n", F.monotonically_increasing_id()), "several")
+        rows, narrow = (x.join(again, "row", "left_anti").select(x.columns).unionByName(several.select(x.columns)) for x in (rows, narrow))
+    lead = narrow.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "n", "uri")).alias("lead"))
     lead = cut(lead)  # a table of its own, so that both sides of the join are dealt out for it
     rows = rows.join(lead, "digest", "left")
-    revisit = F.col("lead").isNotNull() & (F.col("bytes") >= min_bytes) & (F.col("n") != F.col("lead.n"))
-    own = {k: _uuid(k, F.col("id"), F.col("n")) for k in ("request", "response", "metadata")}
+    revisit = F.col("lead").isNotNull() & (F.col("bytes") >= min_bytes) & ((F.col("row") != F.col("lead.row")) | (F.col("n") != F.col("lead.n")))
+    own = {k: _uuid(k, F.col("id"), F.col("row"), F.col("n")) for k in ("request", "response", "metadata")}
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     common = [("WARC-Date", date), ("WARC-Target-URI", F.col("uri"))]
     host, target = F.regexp_extract("uri", r"^\w+://([^/?#]*)", 1), F.regexp_replace("uri", r"^\w+://[^/?#]*|#.*$", "")
@@ -103,7 +108,7 @@ def write_captures(
             ("WARC-Record-ID", own["response"]),
             *common,
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-            ("WARC-Refers-To", F.when(revisit, _uuid("response", F.col("lead.id"), F.col("lead.n")))),
+            ("WARC-Refers-To", F.when(revisit, _uuid("response", F.col("lead.id"), F.col("lead.row"), F.col("lead.n")))),
             ("WARC-Refers-To-Target-URI", F.when(revisit, F.col("lead.uri"))),
             ("WARC-Refers-To-Date", F.when(revisit, F.lit(date))),
             ("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
