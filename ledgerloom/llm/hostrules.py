@@ -58,28 +58,35 @@ def base_rules() -> dict[str, Column]:
     }
 
 
-def shrunk_rates(hosts: DataFrame, failed: str) -> DataFrame:
-    """``hosts`` (host, n, ``failed``) with the posterior mean failure rate in ``<failed>_rate``.
+def host_rules() -> dict[str, Column]:
+    """Rules that speak of hosts only: their failures are counted by host, and no document goes for its own."""
+    return {
+        "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
+        "repeated_lines": 20 * F.col("n_dup_lines") > F.col("n_words"),
+        "word_length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 12 * F.col("n_words")),
+    }
+
+
+def shrunk_rates(hosts: DataFrame, rules: list[str]) -> DataFrame:
+    """``hosts`` (host, n, a count for each rule) with the posterior mean failure rate of each in ``<rule>_rate``.
 
-    The beta prior is fitted over all hosts by moments, hosts weighted by their documents: its mean is the
+    A rule's beta prior is fitted over all hosts by moments, hosts weighted by their documents: its mean is the
     pooled rate, its precision what the rates' spread beyond binomial noise leaves. With no such spread
-    (or one host) all hosts get the pooled rate. One row of sums is joined to all hosts.
+    (or one host) all hosts get the pooled rate. One row with the sums of all rules is joined to all hosts.
     """
-    rate = F.col(failed) / F.col("n")
-    sums = hosts.agg(
-        F.sum("n").alias("_n"),
-        F.sum(failed).alias("_f"),
-        F.count("*").alias("_k"),
-        F.sum(F.col("n") * rate * rate).alias("_ss"),
-        F.sum(F.col("n").cast("double") * F.col("n")).alias("_nn"),
-    )
-    mean = F.col("_f") / F.col("_n")
-    noise = mean * (1 - mean)
-    spread = F.col("_ss") / F.col("_n") - mean * mean - noise * (F.col("_k") - 1) / F.col("_n")
-    between = spread / F.nullif(1 - F.col("_nn") / F.col("_n") / F.col("_n"), F.lit(0.0))
-    precision = F.greatest(noise / between - 1, F.lit(0.0))
-    shrunk = F.when((between > 0) & (noise > 0), (F.col(failed) + mean * precision) / (F.col("n") + precision)).otherwise(mean)
-    return hosts.crossJoin(F.broadcast(sums)).select(*hosts.columns, shrunk.alias(f"{failed}_rate"))
+    n = F.col("n").cast("double")
+    sums = [F.sum("n").alias("_n"), F.count("*").alias("_k"), F.sum(n * F.col("n")).alias("_nn")]
+    for r in rules:
+        sums += [F.sum(r).alias(f"_f_{r}"), F.sum(n * (F.col(r) / n) * (F.col(r) / n)).alias(f"_ss_{r}")]
+    rates = []
+    for r in rules:
+        mean = F.col(f"_f_{r}") / F.col("_n")
+        noise = mean * (1 - mean)
+        spread = F.col(f"_ss_{r}") / F.col("_n") - mean * mean - noise * (F.col("_k") - 1) / F.col("_n")
+        between = spread / F.nullif(1 - F.col("_nn") / F.col("_n") / F.col("_n"), F.lit(0.0))
+        precision = F.greatest(noise / between - 1, F.lit(0.0))
+        rates.append(F.when((between > 0) & (noise > 0), (F.col(r) + mean * precision) / (F.col("n") + precision)).otherwise(mean).alias(f"{r}_rate"))
+    return hosts.crossJoin(F.broadcast(hosts.agg(*sums))).select(*hosts.columns, *rates)
 
 
 def host_verdicts(flags: DataFrame, rules: list[str], max_rate: float = 0.5) -> DataFrame:
@@ -89,23 +96,23 @@ def host_verdicts(flags: DataFrame, rules: list[str], max_rate: float = 0.5) ->
     rejected if a shrunk rate is over ``max_rate``. Rows without a host have no verdict.
     """
     hosts = flags.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), *(F.count_if(r).alias(r) for r in rules))
-    for r in rules:
-        hosts = shrunk_rates(hosts, r)
+    hosts = shrunk_rates(cut(hosts), rules)
     return hosts.withColumn("host_rejected", F.greatest(*(F.col(f"{r}_rate") for r in rules), F.lit(0.0)) > max_rate)
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
     """The figures of ``base_metrics``, base_failed, host_rejected and kept, a row for each document.
 
-    A document is kept unless it fails a base rule itself or its host is rejected. Without a host (null)
+    A document is kept unless it fails a base rule itself or its host is rejected, for the rate of its documents that
+    fail any base rule, one of them, or one of ``host_rules``. Without a host (null)
     only the base rules count. Null ids and repeated rows are kept as rows of their own; other columns
     are ignored; no rows give no rows. The figures, a few numbers a row, are computed once and read from a
     checkpoint; the join of verdicts, one row a host, is an equi-join that adaptive execution can split.
     """
     metrics = cut(base_metrics(docs, id_col=id_col, text_col=text_col, host_col=host_col))
     rules = base_rules()
-    flags = metrics.select("*", *(c.alias(r) for r, c in rules.items()))
-    verdicts = host_verdicts(flags.withColumn("base_failed", F.greatest(*rules)), ["base_failed", *rules], max_rate).select("host", "host_rejected")
+    flags = metrics.select("*", *(c.alias(r) for r, c in (rules | host_rules()).items()))
+    verdicts = host_verdicts(flags.withColumn("base_failed", F.greatest(*rules)), ["base_failed", *rules, *host_rules()], max_rate).select("host", "host_rejected")
     verdicts = cut(verdicts)  # a table of its own, so that both sides of the join are dealt out for it and a hot host can be split
     joined = flags.join(verdicts, "host", "left").withColumn("base_failed", F.greatest(*rules))
     rejected = F.coalesce("host_rejected", F.lit(False))

@@ -60,9 +60,11 @@ WITH d AS (
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM s LEFT JOIN rep USING (r)
 ), f AS (
-  SELECT *, n_words < 20 AS short, 100 * n_repeat_words > 30 * n_words AS repetitive FROM m
+  SELECT *, n_words < 20 AS short, 100 * n_repeat_words > 30 * n_words AS repetitive, 10 * n_symbols > n_words AS symbols,
+         20 * n_dup_lines > n_words AS repeated_lines, word_chars < 2 * n_words OR word_chars > 12 * n_words AS word_length FROM m
 ), h AS (
-  SELECT host, count(*) AS n, unnest([{'rule': 1, 'f': count_if(short OR repetitive)}, {'rule': 2, 'f': count_if(short)}, {'rule': 3, 'f': count_if(repetitive)}], recursive := true)
+  SELECT host, count(*) AS n, unnest([{'rule': 1, 'f': count_if(short OR repetitive)}, {'rule': 2, 'f': count_if(short)}, {'rule': 3, 'f': count_if(repetitive)},
+    {'rule': 4, 'f': count_if(symbols)}, {'rule': 5, 'f': count_if(repeated_lines)}, {'rule': 6, 'f': count_if(word_length)}], recursive := true)
   FROM f WHERE host IS NOT NULL GROUP BY host
 ), p AS (
   SELECT rule, sum(n)::DOUBLE AS nn, sum(f) / sum(n)::DOUBLE AS mean, count(*) AS k, sum(n * (f / n::DOUBLE) ** 2) AS ss, sum(n::DOUBLE * n) AS n2 FROM h GROUP BY rule

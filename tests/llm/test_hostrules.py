@@ -45,6 +45,14 @@ def test_hosts(spark):
     assert quality_rules(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_host_rules_speak_of_hosts_only(spark):
+    good, marked = " ".join(f"w{i}" for i in range(30)), " ".join(f"w{i}#" for i in range(30))
+    rows = [(i, marked if i % 5 else good, "shop") for i in range(100)] + [(1000 + i, good if i % 5 else marked, "fine") for i in range(100)]
+    by = {x.doc_id: x for x in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not by[0].kept and by[0].host_rejected and not by[0].base_failed
+    assert by[1000].kept and by[1001].kept
+
+
 def test_oracle(spark):
     from ledgerloom.llm.queries import ORACLES, QUERIES
     from tests.llm.oracle import same
