@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.common import written
-from ledgerloom.llm.words import as_binary, buffers, slices, split_words
+from ledgerloom.llm.words import as_binary, buffers, mix, slices, split_words
 
 #: labelled documents that training sees at most, by default
 MAX_LABELLED = 10_000
@@ -34,10 +34,13 @@ BEGINNINGS, MIN_Z, MIN_DOCS, MAX_WORDS = (4, 5), 4.0, 4, 400
 #: ridge of the text view, of the metadata view (whose features are many and weak) and of a calibration
 RIDGE, META_RIDGE, SLOPE_RIDGE = 1.0, 20.0, 1.0
 #: bytes of text that a task describes at once, and places that a column of metadata has
-PART_BYTES, PLACES = 2 << 20, 128
+PART_BYTES, PLACES = 1 << 20, 128
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_STRIPPED = np.zeros(256, bool)
+_STRIPPED[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 # Characters that the style figures count.
 _COUNTED = [("upper", range(0x41, 0x5B)), ("letter", [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]), ("digit", range(0x30, 0x3A)), ("bang", b"!?"), ("pipe", b"|"), ("symbol", b"#*$%&<>^~@"), ("stop", b".,;:"), ("line", b"\n")]
 _CLASS = np.zeros((len(_COUNTED), 256), bool)
@@ -46,8 +49,54 @@ for _row, (_, _bytes) in enumerate(_COUNTED):
 STYLES = 11
 
 
-def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, 32-bit word feature) pairs of whole texts, in order, and a row of style figures for each."""
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number modulo 2 ** 64, and of its inverse."""
+    global _POWERS
+    if len(_POWERS[0]) < n:
+        size = max(n, PART_BYTES)
+        out = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            out.append(np.cumprod(x))
+        if size > 8 * PART_BYTES:
+            return out[0], out[1]
+        _POWERS = (out[0], out[1])
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def word_codes(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Three 32-bit codes of each word without the punctuation at its ends (all of it, and its beginnings of BEGINNINGS
+    bytes, or all of it again where it is shorter), and a 64-bit hash of the word as it is. A hash is the difference of
+    two sums over the text, so that no statement runs once a word."""
+    data, at = buffers(words)
+    power, inverse = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
+    whole = lambda s, e: mix((sums[e] - sums[s]) * inverse[s])
+    begin, end = at[:-1].copy(), at[1:].copy()
+    raw = whole(begin, end)
+    for side, step in ((end, -1), (begin, 1)):
+        some = np.arange(len(begin))
+        while len(some := some[begin[some] < end[some]]):
+            some = some[_STRIPPED[data[side[some] - (step < 0)]]]
+            side[some] += step
+    none = begin == end
+    begin[none], end[none] = at[:-1][none], at[1:][none]
+    codes = np.empty((len(begin), 1 + len(BEGINNINGS)), np.uint32)
+    codes[:, 0] = whole(begin, end) >> np.uint64(32)
+    for column, k in enumerate(BEGINNINGS, 1):
+        codes[:, column] = codes[:, 0]
+        long = np.flatnonzero(end - begin >= k)
+        value = np.full(len(long), k, np.uint64)
+        for j in range(k):
+            value = (value << np.uint64(8)) | data[begin[long] + j].astype(np.uint64)
+        codes[long, column] = mix(value) >> np.uint64(32)
+    return codes, raw
+
+
+def _words_and_style(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of whole texts, lower-cased, its document and its codes; and a row of style figures for each document."""
     column = as_binary(texts)
     data, offsets = buffers(column)
     n = len(column)
@@ -69,25 +118,34 @@ def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     style[:, 2:8] /= per[:, None]
     style[:, 9] = np.log1p(counts)
     style[:, 10] = chars / per
-    pairs = np.zeros(0, np.uint64)
-    if len(words):
-        coded = words.dictionary_encode()
-        index = coded.indices.to_numpy()
-        doc = np.repeat(np.arange(n), counts)
-        again = np.zeros(len(index) + 1, np.int64)
-        np.cumsum(np.append(False, (index[1:] == index[:-1]) & (doc[1:] == doc[:-1])), out=again[1:])
-        style[:, 8] = np.diff(again[at]) / per
-        codes = np.array([_codes(w) for w in coded.dictionary.to_pylist()], np.uint64)
-        seen = np.unique(doc.astype(np.uint64) * np.uint64(len(codes)) + index.astype(np.uint64))
-        own, word = seen // np.uint64(len(codes)), (seen % np.uint64(len(codes))).astype(np.int64)
-        pairs = np.unique(((own[:, None] << np.uint64(32)) | codes[word]).ravel())
+    doc = np.repeat(np.arange(n), counts)
+    codes, raw = word_codes(words)
+    again = np.zeros(len(doc) + 1, np.int64)
+    np.cumsum(np.append(False, (raw[1:] == raw[:-1]) & (doc[1:] == doc[:-1]))[: len(doc)], out=again[1:])
+    style[:, 8] = np.diff(again[at]) / per
+    return doc, codes, style
+
+
+def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, 32-bit word feature) pairs of whole texts, in order, and a row of style figures for each."""
+    doc, codes, style = _words_and_style(texts)
+    pairs = np.unique(((doc.astype(np.uint64)[:, None] << np.uint64(32)) | codes.astype(np.uint64)).ravel())
     return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), style
 
 
-def _codes(word: bytes) -> list[int]:
-    w = word.strip(_STRIP) or word
-    h = xxhash.xxh32_intdigest
-    return [h(w, 0), *(h(w[:k], k) if len(w) >= k else h(w, 0) for k in BEGINNINGS)]
+def chosen_features(texts: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``text_features``, but only the features whose codes are in ``chosen`` (sorted), given by their places there."""
+    doc, codes, style = _words_and_style(texts)
+    if not len(chosen):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), style
+    sieve = np.zeros(1 << 20, bool)  # most words are not chosen
+    sieve[chosen & 0xFFFFF] = True
+    row, column = np.nonzero(sieve[codes & np.uint32(0xFFFFF)])
+    code = codes[row, column].astype(np.int64)
+    place = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
+    hit = chosen[place] == code
+    pairs = np.unique(doc[row[hit]] * len(chosen) + place[hit])
+    return pairs // len(chosen), pairs % len(chosen), style
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -144,10 +202,8 @@ class Features:
     @staticmethod
     def of(texts: pa.Array, metas: list, words: np.ndarray) -> Features:
         """``words`` are the sorted codes of the chosen words."""
-        doc, code, style = text_features(texts)
-        at = np.minimum(np.searchsorted(words, code), max(0, len(words) - 1))
-        found = words[at] == code if len(words) else np.zeros(len(code), bool)
-        return Features(doc[found], at[found], style.astype(np.float32), meta_places(metas) if metas else np.zeros((len(style), 0), np.int64))
+        doc, word, style = chosen_features(texts, words)
+        return Features(doc, word, style.astype(np.float32), meta_places(metas) if metas else np.zeros((len(style), 0), np.int64))
 
     def arrays(self) -> list[pa.Array]:
         """The columns ``words``, ``style`` and ``meta``."""

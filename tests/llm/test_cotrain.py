@@ -4,19 +4,25 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from ledgerloom.llm.cotrain import STYLES, _codes, calibrate, fit_logistic, meta_places, score_documents, text_features
+from ledgerloom.llm.cotrain import STYLES, calibrate, chosen_features, fit_logistic, meta_places, score_documents, text_features, word_codes
 
 
 def test_text_features_against_plain_python():
-    texts = ["A b, b B!! é|é\nx#1", None, "", " \n", "Word word WORDS words."]
+    texts = ["A b, b B!! é|é\nx#1", None, "", " \n", "Word word WORDS words.", "!!! (wordy) wor"]
+    one = lambda w: set(word_codes(pa.array([w], pa.large_binary()))[0][0].tolist())
+    assert one(b"(wordy)!") == one(b"wordy") != one(b"wordz") and one(b"!!!") and one(b"wordy") & one(b"words") and not one(b"ward") & one(b"word")
     doc, code, style = text_features(pa.array(texts))
     for k, t in enumerate(texts):
         words = (t or "").lower().split()
-        assert set(code[doc == k].tolist()) == {c for w in words for c in _codes(w.encode())}
+        assert set(code[doc == k].tolist()) == {c for w in words for c in one(w.encode())}
         assert style[k, 9] == np.log1p(len(words))
         assert round(style[k, 8] * max(1, len(words))) == sum(a == b for a, b in zip(words, words[1:], strict=False))
         assert round(style[k, 3] * max(1, len(words))) == (t or "").count("!")
-    assert style.shape == (5, STYLES)
+    assert style.shape == (6, STYLES)
+    chosen = np.unique(code)[::2]
+    own, place, again = chosen_features(pa.array(texts), chosen)
+    assert sorted(zip(own, chosen[place], strict=True)) == sorted((d, c) for d, c in zip(doc, code, strict=True) if c in set(chosen.tolist()))
+    assert (again == style).all()
 
 
 def test_logistic_and_calibration():
