@@ -23,3 +23,8 @@ def name_uuid(name: Column) -> Column:
     h = F.md5(name)
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("long").bitwiseAND(F.lit(3).cast("long")) + F.lit(8).cast("long")))
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-3"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
+def random_id() -> Column:
+    """A version 4 UUID, another one each time that it is computed."""
+    return F.uuid()

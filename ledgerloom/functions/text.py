@@ -19,6 +19,13 @@ REDACTIONS = [
 ]
 REDACTED_BLANK = "External operation failed"
 BREAK = r"(?i)<br\s*/?>"
+MACHINE_TOKENS = [(r"(?i)(?:candidateIds|groupAnchorId|documentId|unitId)\s*=\s*[^;\r\n<]*(?:;\s*)?", ""), (r"(?:<br>|\R)\s*(?=<br>|\R|$)", "")]
+_SECRET = r"(?:authorization|proxy-authorization|x-api-key|api[ _-]?key|token|secret|password)"
+DIAGNOSTICS = [
+    (rf"""(?i)((?:\\)?"{_SECRET}(?:\\)?"\s*:\s*(?:\\)?")(?:\\.|[^"\\])*((?:\\)?")""", "$1<credential-redacted>$2"),
+    (rf"""(?i)\b({_SECRET}\s*[:=]\s*)(?:bearer\s+)?(?:"[^"]*"|'[^']*'|[^\s,;\r\n}}]+)""", "$1<credential-redacted>"),
+    (r"\bsk-[A-Za-z0-9_-]{8,}", "<credential-redacted>"),
+]
 NUMBERED = r"^(\d+)\.\s+\S.*$"
 
 
@@ -148,3 +155,65 @@ def markdown_cells(row: Column) -> Column:
 
 def is_separator(cell: Column) -> Column:
     return cell.rlike("^:?-{3,}:?$")
+
+
+def _each(c: Column, patterns: list[tuple[str, str]]) -> Column:
+    for pattern, to in patterns:
+        c = F.regexp_replace(c, pattern, to)
+    return c
+
+
+def without_machine_tokens(c: Column) -> Column:
+    """What readers see of evidence: binding tokens and the empty lines that they leave are gone; null is empty."""
+    return F.coalesce(strip(_each(c, MACHINE_TOKENS)), F.lit(""))
+
+
+def sanitize(c: Column) -> Column:
+    """Credentials in diagnostics replaced, quoted in JSON, inline and raw ones; null is empty."""
+    return F.coalesce(_each(c, DIAGNOSTICS), F.lit(""))
+
+
+def has_coordinate_pair(c: Column, document_id: Column, unit_id: Column) -> Column:
+    """Whether some documentId token with this value is followed at once by the unitId token with this value."""
+    tokens = F.transform(F.split(c, ";", -1), lambda t: F.regexp_replace(t, r"^[\x00-\x20]+|[\x00-\x20]+$", ""))
+    pair = F.zip_with(tokens, F.slice(tokens, 2, F.size(tokens)), lambda a, b: (a == F.concat(F.lit("documentId="), document_id)) & (b == F.concat(F.lit("unitId="), unit_id)))
+    return F.array_contains(pair, True)
+
+
+def first_text(json: Column, *paths: str) -> Column:
+    """The first of the fields that is a string with more than white space; numbers and objects are no strings."""
+    v = F.try_parse_json(json)
+    each = [F.when(F.schema_of_variant(F.try_variant_get(v, p, "variant")) == "STRING", F.try_variant_get(v, p, "string")) for p in paths]
+    return F.coalesce(*(F.when(~is_blank(x), x) for x in each))
+
+
+def one_or_many(json: Column, *names: str) -> Column:
+    """An array field of a JSON object that older texts give as a single value, or under another name; the first name counts."""
+    each = [F.get_json_object(json, f"$.{n}") for n in names]
+    return F.coalesce(*(F.when(x.startswith("["), F.from_json(x, "array<string>")).when(x.isNotNull(), F.array(x)) for x in each))
+
+
+def left_utf16(c: Column, units: int) -> Column:
+    """The longest beginning of whole characters of at most so many UTF-16 units."""
+    step = lambda a, x: F.struct((a["n"] + F.when(F.octet_length(x) > 3, 2).otherwise(1)).alias("n"), F.when(a["n"] + F.when(F.octet_length(x) > 3, 2).otherwise(1) <= units, a["k"] + 1).otherwise(a["k"]).alias("k"))
+    k = F.aggregate(F.split(F.left(c, F.lit(units)), ""), F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")), step)["k"]
+    return F.when(utf16_length(c) <= units, c).otherwise(F.left(c, k))
+
+
+def template(text: str, **values: Column) -> Column:
+    """The text with each {name} replaced by its value; a null value is empty."""
+    out = F.lit(text)
+    for name, value in values.items():
+        out = F.replace(out, F.lit(f"{{{name}}}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def notes_only(lines: Column) -> Column:
+    """Whether lines after a table are plain notes: no heading, table or JSON among them."""
+    return ~F.exists(lines, lambda x: (strip(x) != "") & (x.startswith("#") | x.startswith("|") | x.endswith("|") | x.startswith("{") | x.startswith("[")))
+
+
+def positive_integer(c: Column) -> Column:
+    """The number that the text states; null unless it is digits alone and 1 or more."""
+    n = F.when(c.rlike("^[0-9]{1,10}$"), c.cast("bigint"))
+    return F.when((n > 0) & (n <= 2147483647), n.cast("int"))

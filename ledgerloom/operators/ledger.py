@@ -103,9 +103,11 @@ def compare_and_set(df: DataFrame, condition: Column, **updates: Column) -> Data
 
 
 def claim(tasks: DataFrame, running: DataFrame, slots: int, order: list[Column]) -> DataFrame:
-    """The queued tasks that free slots take, first come first served. A top-k: no sort of the whole queue."""
-    free = slots - running.count()
-    return tasks.where("status = 'QUEUED'").orderBy(*order).limit(max(0, free))
+    """The queued tasks that free slots take, first come first served. A top-k: no sort of the whole queue, and nothing
+    is run while the plan is built; the number of running ones is one row that is joined."""
+    heads = tasks.where("status = 'QUEUED'").orderBy(*order).limit(slots).withColumn("_place", F.row_number().over(Window.orderBy(*order)))
+    used = F.broadcast(running.agg(F.count("*").alias("_used")))
+    return heads.crossJoin(used).where(F.col("_place") <= slots - F.col("_used")).select(tasks.columns)
 
 
 def after_lease(work: DataFrame, now: Column, max_attempts: int = 3) -> DataFrame:

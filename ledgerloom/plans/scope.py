@@ -87,3 +87,20 @@ def open_work(units: DataFrame) -> DataFrame:
     rows = units.select("task_id", "document_id", "unit_id", stage.alias("audit_stage"), F.explode(F.sequence(F.lit(1), F.when(is_list, 1).otherwise(2))).alias("audit_pass"))
     name = F.concat_ws(":", "task_id", "document_id", "unit_id", F.col("audit_pass").cast("string"), "audit_stage")
     return rows.select(name_uuid(name).alias("id"), "*", F.lit("QUEUED").alias("status"))
+
+
+def allows(scope: dict[str, Column], evidence: dict[str, Column]) -> Column:
+    """Whether evidence lies in a scope: equal base, system, version and category, the scope's project or any if it has
+    none, and one of the scope's documents. Keys: the names of COORDINATE, document_ids (scope), document_id (evidence)."""
+    same = F.lit(True)
+    for name in COORDINATE:
+        equal = scope[name] == evidence[name]
+        same &= (scope[name].isNull() | equal) if name == "project_id" else equal
+    return F.coalesce(same & F.array_contains(scope["document_ids"], evidence["document_id"]), F.lit(False))
+
+
+def usable_examples(chosen: DataFrame, documents: DataFrame) -> DataFrame:
+    """``chosen`` (knowledge_base_id, document_id) with usable: whether the document exists there, parsed and enabled."""
+    good = (F.col("parse_status") == "completed") & (F.col("enable_status") == "enabled")
+    known = documents.where(good).select("knowledge_base_id", F.col("id").alias("document_id"), F.lit(True).alias("usable")).distinct()
+    return chosen.join(known, ["knowledge_base_id", "document_id"], "left").withColumn("usable", F.coalesce("usable", F.lit(False)))

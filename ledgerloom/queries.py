@@ -216,10 +216,10 @@ def catalog_tree(t: Tables) -> DataFrame:
     return out.select("r_name", "n_name", F.coalesce("s", F.lit(0)).cast("bigint").alias("suppliers"))
 
 
-@query("SELECT r_regionkey, count(DISTINCT n_nationkey) AS nations, count(DISTINCT n_regionkey) = 1 AS same_coordinate FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+@query("SELECT source, count(*) AS documents, count(DISTINCT (lang, quality, toxic)) AS coordinates, count(DISTINCT (lang, quality, toxic)) = 1 AS same_coordinate FROM documents JOIN labels USING (doc_id) GROUP BY source, doc_id % 40")
 def same_coordinate(t: Tables) -> DataFrame:
-    out = t("nation").join(t("region"), c("n_regionkey") == c("r_regionkey")).groupBy("r_regionkey")
-    return out.agg(F.countDistinct("n_nationkey").alias("nations"), (F.min("n_regionkey") == F.max("n_regionkey")).alias("same_coordinate"))
+    rows = t("documents").join(t("labels"), "doc_id").groupBy("source", c("doc_id") % 40)
+    return rows.agg(F.count("*").alias("documents"), F.countDistinct(F.struct("lang", "quality", "toxic")).alias("coordinates")).select("source", "documents", "coordinates", (c("coordinates") == 1).alias("same_coordinate"))
 
 
 @query("SELECT (SELECT count(*) FROM orders) - (SELECT count(*) FROM customer) AS difference, (SELECT max(o_orderkey) FROM orders) AS top")
@@ -250,10 +250,10 @@ def delete_join(t: Tables) -> DataFrame:
     return t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").join(gone, "l_orderkey", "left_anti")
 
 
-@query("SELECT conv_id, turn, source, target FROM (SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS source, role AS target FROM conversations) WHERE source IS NOT NULL AND NOT (source || '>' || target IN ('system>user', 'user>assistant', 'assistant>user'))")
+@query("SELECT event_id, source, target FROM (SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS source, event_type AS target FROM events) WHERE source IS NOT NULL AND NOT (source || '>' || target IN ('view>click', 'click>purchase', 'click>view', 'purchase>view'))")
 def state_transitions(t: Tables) -> DataFrame:
-    changes = L.previous(t("conversations"), ["conv_id"], [c("turn")], "role", "source").where("source IS NOT NULL").withColumnRenamed("role", "target")
-    return L.illegal_transitions(changes, {"system": ["user"], "user": ["assistant"], "assistant": ["user"]}).select("conv_id", "turn", "source", "target")
+    changes = L.previous(t("events"), ["user_id"], [c("ts"), c("event_id")], "event_type", "source").where("source IS NOT NULL").withColumnRenamed("event_type", "target")
+    return L.illegal_transitions(changes, {"view": ["click"], "click": ["purchase", "view"], "purchase": ["view"]}).select("event_id", "source", "target")
 
 
 @query("SELECT event_id FROM events ORDER BY ts, event_id LIMIT 5")
@@ -314,6 +314,14 @@ def redact_secrets(t: Tables) -> DataFrame:
     return t("documents").where(c("text").rlike(r"sk-[A-Za-z0-9_-]{8,}|(?i)(api[_-]?key|token|secret|password)\s*[=:]")).select("doc_id", F.md5(out).alias("digest"))
 
 
+@query(None)
+def normalized_lines(t: Tables) -> DataFrame:
+    """Lines of documents by their normal form, which no SQL function has, those that several documents hold."""
+    lines = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(~X.is_blank(c("line")))
+    groups = lines.groupBy(X.normal_path(c("line")).alias("normal")).agg(F.countDistinct("doc_id").alias("documents"), F.min("line").alias("first"))
+    return groups.where("documents > 1").select(F.md5("normal").alias("normal"), "documents", F.md5("first").alias("first"))
+
+
 @query(None)
 def redact_all(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", F.md5(X.redact(c("text"))).alias("digest"))

@@ -23,28 +23,32 @@ def classify(events: DataFrame, data_col: str = "data") -> DataFrame:
 def fold(events: DataFrame, limit: int = MAX_CHARACTERS) -> DataFrame:
     """(stream_id, answer, status): the contents in order of seq up to the first terminal event.
 
-    status is complete, error, unterminated or oversized. An answer is one row, so a stream's events meet in
-    one row; those after its end are left out before.
+    status is complete, error, unterminated or oversized. An answer is one row; events after a stream's end, and streams
+    whose contents are longer than ``limit`` together, are left out before their contents meet in one row.
     """
     ends = events.where(F.col("kind").isin("complete", "error")).groupBy("stream_id").agg(F.min(F.struct("seq", "kind")).alias("end"))
     live = events.join(ends, "stream_id", "left").where("end IS NULL OR seq <= end.seq")
-    out = live.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda e: e["content"]), "").alias("answer"), F.first("end").alias("end"))
-    status = F.when(F.length("answer") > limit, "oversized").otherwise(F.coalesce("end.kind", F.lit("unterminated")))
-    return out.select("stream_id", F.when(status == "complete", F.col("answer")).alias("answer"), status.alias("status"))
+    sizes = live.groupBy("stream_id").agg(F.sum(F.length("content")).alias("size"), F.first("end").alias("ended"))
+    small = live.join(sizes.where(F.col("size") <= limit).select("stream_id"), "stream_id", "left_semi")
+    texts = small.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda e: e["content"]), "").alias("answer"))
+    status = F.when(F.col("size") > limit, "oversized").otherwise(F.coalesce("ended.kind", F.lit("unterminated")))
+    return sizes.join(texts, "stream_id", "left").select("stream_id", F.when(status == "complete", F.col("answer")).alias("answer"), status.alias("status"))
 
 
 def fold_stream(events: DataFrame, limit: int = MAX_CHARACTERS, timeout_ms: int = 300_000) -> DataFrame:
     """The same over a stream of classified events that arrive in order: a row when a stream ends or falls silent.
 
-    The state of a stream is its answer so far, bounded by ``limit``; it is dropped when the stream ends.
+    The state of a stream is its answer so far, bounded by ``limit``; when the stream ends, only that it has ended is kept,
+    until the timeout. Events of a stream are ordered within a micro-batch; across batches they must arrive in order.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        answer, ended = state.get if state.exists else ("", False)
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame({"stream_id": [key[0]], "answer": [None], "status": ["unterminated"]})
+            if not ended:
+                yield pd.DataFrame({"stream_id": [key[0]], "answer": [None], "status": ["unterminated"]})
             return
-        answer, ended = state.get if state.exists else ("", False)
         status = None
         for batch in batches:
             for kind, content in batch.sort_values("seq")[["kind", "content"]].itertuples(index=False):
