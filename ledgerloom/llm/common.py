@@ -12,6 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: rows of an Arrow batch that holds whole texts
+TEXT_ROWS = 2000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """The same frame, for a function over its texts. Rows with whole texts are wide, so that batches of them are made
+    smaller, in the session, than the default of 10,000 rows; a number that the session names itself stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where the session has it,
     else (a local session, as in tests) one of our own."""

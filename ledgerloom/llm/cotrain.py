@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import written
+from ledgerloom.llm.common import text_batches, written
 from ledgerloom.llm.words import as_binary, buffers, mix, slices, split_words
 
 #: labelled documents that training sees at most, by default
@@ -34,7 +34,7 @@ BEGINNINGS, MIN_Z, MIN_DOCS, MAX_WORDS = (4, 5), 4.0, 4, 400
 #: ridge of the text view, of the metadata view (whose features are many and weak) and of a calibration
 RIDGE, META_RIDGE, SLOPE_RIDGE = 1.0, 20.0, 1.0
 #: bytes of text that a task describes at once, and places that a column of metadata has
-PART_BYTES, PLACES = 1 << 20, 128
+PART_BYTES, PLACES = 1 << 19, 128
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _STRIPPED = np.zeros(256, bool)
@@ -354,7 +354,7 @@ def keep_documents(
                 _, _, both = model.scores(Features.of(part.column(text_col), [part.column(c) for c in meta_cols], model.words))
                 yield part.filter(pa.array(both < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)
 
 
 def _columns(docs: DataFrame, id_col: str, text_col: str, meta_cols: tuple[str, ...]) -> DataFrame:
@@ -373,7 +373,7 @@ def describe(rows: DataFrame, words: np.ndarray) -> DataFrame:
                 f = Features.of(part.column("text"), [part.column(c) for c in metas], words)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *f.arrays()], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return text_batches(rows).mapInArrow(run, schema)
 
 
 def choose_words(sample: DataFrame, n: dict[str, int], rows: int) -> np.ndarray:
@@ -388,7 +388,7 @@ def choose_words(sample: DataFrame, n: dict[str, int], rows: int) -> np.ndarray:
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(code), *(part.column(c).take(take) for c in n)], names=["code", *n])
 
-    found = sample.select("text", *n).mapInArrow(codes, ", ".join(["code long", *(f"{c} int" for c in n)]))
+    found = text_batches(sample.select("text", *n)).mapInArrow(codes, ", ".join(["code long", *(f"{c} int" for c in n)]))
     counts = written(found.groupBy("code").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in n)).where(F.col("n") >= MIN_DOCS), "words")
     chosen: set[int] = set()
     for c, ones in n.items():

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm.common import text_batches
 from ledgerloom.llm.words import as_binary, buffers, hash_words, slices, split_words, windows
 
 #: bytes of benchmark text that are held and sent to the tasks at once; a larger benchmark is searched in
@@ -237,7 +238,7 @@ def uncontaminated(
                     keep[[d for d, _, _, _ in prepared.search(x.column(text_col), threshold)]] = False
                     yield x.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = text_batches(docs).mapInArrow(run, schema)
     return docs
 
 
@@ -267,4 +268,4 @@ def _search(source: DataFrame, schema: T.StructType, ids: list, texts: list[str
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_kind = to_arrow_type(schema["item_id"].dataType)
-    return source.mapInArrow(run, schema)
+    return text_batches(source).mapInArrow(run, schema)

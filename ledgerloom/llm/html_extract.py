@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ledgerloom.llm.common import text_batches
 from ledgerloom.llm.words import slices
 
 # Element kinds of the HTML standard, and names that pages give to what is no article.
@@ -320,4 +321,5 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 texts = [main_text(x) for x in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=schema.names)
 
-    return pages.select(pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].alias("html")).mapInArrow(run, schema)
+    named = pages.select(pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].alias("html"))
+    return text_batches(named).mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, free_name, written
+from ledgerloom.llm.common import cut, free_name, text_batches, written
 from ledgerloom.llm.graph import components
 from ledgerloom.llm.words import as_binary, buffers, mix, slices
 
@@ -92,7 +92,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 rids = pa.array(np.arange(rid, rid + part.num_rows))
                 rid += part.num_rows
                 texts = part.column("text").fill_null("")
@@ -116,7 +116,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                         names=names,
                     )
 
-    return docs.select("doc_id", "text", "content").mapInArrow(run, "rid long, doc_id long, content long, pos int, key binary, n int, " + ", ".join(f"b{g} long" for g in range(BANDS)))
+    return text_batches(docs.select("doc_id", "text", "content")).mapInArrow(run, "rid long, doc_id long, content long, pos int, key binary, n int, " + ", ".join(f"b{g} long" for g in range(BANDS)))
 
 
 def _digests(norm: pa.Array) -> list[bytes]:
@@ -150,7 +150,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "nu", 1 << 20):
+            for part in slices(batch, "nu", 1 << 19):
                 for at in range(0, part.num_rows, 1 << LINE_BITS):
                     own = part.slice(at, 1 << LINE_BITS)
                     yield own.select(["u", "v"]).filter(pa.array(_alike(shingle_sets(own.column("nu")), shingle_sets(own.column("nv")), own.num_rows, threshold)))

@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ledgerloom.llm.common import text_batches
 from ledgerloom.llm.tokens import default_path, tokenizer
 from ledgerloom.llm.words import slices
 
@@ -155,4 +156,4 @@ def pack_documents(
             yield flush()
 
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return source.mapInArrow(pack, T.StructType(fields))
+    return text_batches(source).mapInArrow(pack, T.StructType(fields))

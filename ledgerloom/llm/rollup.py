@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import shared_dir
+from ledgerloom.llm.common import shared_dir, text_batches
 from ledgerloom.llm.tokens import default_path, tokenizer
 from ledgerloom.llm.words import slices
 
@@ -41,7 +41,7 @@ def count_tokens(docs: DataFrame, version: str, *, path: str | None = None, extr
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(t.counts(part.column(3)) + extra, pa.int64())], names=schema.names)
 
     named = docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"))
-    return named.mapInArrow(run, schema).withColumn("tokenizer_version", F.lit(version))
+    return text_batches(named).mapInArrow(run, schema).withColumn("tokenizer_version", F.lit(version))
 
 
 OLD = tuple(f"old_{d}" for d in DIMENSIONS)

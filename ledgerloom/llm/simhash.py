@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut
+from ledgerloom.llm.common import cut, text_batches
 from ledgerloom.llm.graph import components
 from ledgerloom.llm.words import as_binary, slices
 
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bit_majority(flat, sizes).view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(fold, f"doc_id {kind}, fp long")
+    return text_batches(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))).mapInArrow(fold, f"doc_id {kind}, fp long")
 
 
 class BitPlanes:

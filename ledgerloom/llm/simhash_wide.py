@@ -1,10 +1,11 @@
 """SimHash at the radius that a similarity of word shingles needs: blocks, bit-sliced comparison, exact verification.
 
 At a Jaccard similarity of 0.8 about 10 of 64 fingerprint bits differ (standard deviation 3), more than a multi-index
-over so few bits can search. The blocks that are compared come from the shingles instead: two sets similar to the
-threshold share one of the first few in any fixed order (prefix filtering), so that none is lost. Inside a block the
-fingerprints' bit planes are compared at once by carry-save counters, and words of lanes that have all passed the
-radius are abandoned; the pairs that are left are decided by their exact similarity.
+over so few bits can search. The blocks that are compared come from the shingles instead: the least hashes of BINS
+bins, BANDS of two bins each, bring a pair of that similarity together with probability 1 - (1 - 0.8 ** 2) ** 10 =
+0.99996. Inside a block the fingerprints' bit planes are compared at once by carry-save counters, and words of lanes
+that have all passed the radius are abandoned; the pairs that are left are decided by their exact similarity. Every
+two documents of a block that other links have not joined are compared.
 """
 
 from __future__ import annotations
@@ -17,54 +18,68 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, free_name, written
+from ledgerloom.llm.common import cut, free_name, text_batches, written
 from ledgerloom.llm.graph import components
 from ledgerloom.llm.simhash import BitPlanes, bit_majority, shingle_hashes
-from ledgerloom.llm.words import as_binary, slices
+from ledgerloom.llm.words import as_binary, mix, slices
 
 #: of pairs at similarity 0.8 about 3 in ten million differ in more bits; of unrelated pairs 92 of 100 do
 RADIUS = 26
-#: documents that have a shingle in their prefix beyond which it is ordered last, and so many such shingles at
-#: most; this decides on the work alone, as any order finds every pair
-COMMON_ABOVE, COMMON_MOST = 64, 100_000
+BINS, BANDS = 20, 10
 #: documents of a bucket that are compared with as many others in one group
 BLOCK = 512
 
 
-def _sets(docs: DataFrame, shingle: int, share: float, last: list[int]) -> DataFrame:
-    """``docs`` with digest, n, fp and h in place of text: the shingle set's digest, size and fingerprint, and of its
-    hashes, those in ``last`` after the others, the first n - ceil(share * n) + 1; all of them if share is 0."""
-    late = np.array(sorted(last), np.int64)
+def _each(column: pa.Array, shingle: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sorted distinct shingle hashes of each text, and how many."""
+    each = [np.unique(np.array(shingle_hashes(x, shingle, 42), np.uint64)) for x in as_binary(column).to_pylist()]
+    return each, np.array([len(x) for x in each], np.int64)
+
+
+def _described(docs: DataFrame, shingle: int) -> DataFrame:
+    """``docs`` with digest, n, fp and bands in place of text: the shingle set's digest, size, fingerprint and block keys."""
     others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                each = [np.unique(np.array(shingle_hashes(x, shingle, 42), np.uint64)) for x in as_binary(part.column("text")).to_pylist()]
-                sizes = np.array([len(x) for x in each], np.int64)
-                prints = bit_majority(np.concatenate(each) if each else np.zeros(0, np.uint64), sizes)
-                digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in each]
-                firsts = []
-                for own in (x.view(np.int64) for x in each):
-                    if share and len(own):
-                        if len(late):
-                            own = own[np.argsort(late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own, kind="stable")]
-                        own = own[: len(own) - int(np.ceil(share * len(own) - 1e-9)) + 1]
-                    firsts.append(own)
+            for part in slices(batch, "text", 1 << 20):
+                each, sizes = _each(part.column("text"), shingle)
+                flat = np.concatenate(each) if each else np.zeros(0, np.uint64)
+                at = np.repeat(np.arange(len(each)), sizes) * BINS + (((flat >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
+                first = np.append(True, at[1:] != at[:-1])[: len(at)]
+                least = np.zeros(len(each) * BINS, np.uint64)
+                least[at[first]] = np.maximum(flat[first], np.uint64(1))
+                pairs = least.reshape(len(each), BANDS, BINS // BANDS)
+                keys = mix(mix(pairs[:, :, 0] + np.arange(1, BANDS + 1, dtype=np.uint64)) + pairs[:, :, 1]).view(np.int64)
+                some = (pairs > 0).any(axis=2)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some.sum(axis=1))).astype(np.int32)), pa.array(keys[some]))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in others), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints.view(np.int64)), pa.array(firsts, pa.list_(pa.int64()))],
-                    names=[*others, "digest", "n", "fp", "h"],
+                    [*(part.column(c) for c in others), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in each], pa.binary()), pa.array(sizes, pa.int32()), pa.array(bit_majority(flat, sizes).view(np.int64)), lists],
+                    names=[*others, "digest", "n", "fp", "bands"],
                 )
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in others)
-    return docs.select(*others, "text").mapInArrow(run, f"{kinds}, digest binary, n int, fp long, h array<long>")
+    return text_batches(docs.select(*others, "text")).mapInArrow(run, f"{kinds}, digest binary, n int, fp long, bands array<long>")
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(lid, h) of texts (lid, text): the whole set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                each, _ = _each(part.column("text"), shingle)
+                yield pa.RecordBatch.from_arrays([part.column("lid"), pa.array([x.view(np.int64) for x in each], pa.list_(pa.int64()))], names=["lid", "h"])
+
+    return text_batches(texts.select("lid", "text")).mapInArrow(run, "lid long, h array<long>")
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """Of pairs (u, v) those whose exact similarity reaches the threshold."""
     ids = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("lid")).distinct(), "lid", "left_semi").select("lid", "content")
-    texts = docs.select("content", "text").join(ids, "content").select("lid", "text")
-    sets = written(_sets(texts, shingle, 0.0, []).groupBy("lid").agg(F.first("h").alias("h")), "sets")  # rows of one content are alike
+    one = docs.select("content", "text").join(ids, "content").groupBy("lid").agg(F.first("text").alias("text"))  # rows of one content are alike
+    texts = one.select("lid", "text")
+    sets = written(_sets(texts, shingle), "sets")
     both = pairs.join(sets.select(F.col("lid").alias("u"), F.col("h").alias("a")), "u").join(sets.select(F.col("lid").alias("v"), F.col("h").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.select("u", "v", shared.alias("s"), (F.size("a") + F.size("b")).alias("t")).where(F.col("s") >= threshold * (F.col("t") - F.col("s")) - 1e-9).select("u", "v")
@@ -82,8 +97,7 @@ def _block_pairs(met: DataFrame, roots: DataFrame, threshold: float, radius: int
     """Distinct (u, v), u the smaller, of all rows of different components that meet in a bucket and may be similar.
 
     In a bucket of several components, each row outside the largest meets every row of another, in blocks of about
-    BLOCK on each side. Of two similar sets, the first shingle of the prefix that they share leaves enough shingles
-    after it in both; the pair is found there, and what leaves too few is passed over.
+    BLOCK on each side.
     """
     named = met.join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
     shares = named.groupBy("b", "root").agg(F.count("*").alias("k"))
@@ -92,13 +106,13 @@ def _block_pairs(met: DataFrame, roots: DataFrame, threshold: float, radius: int
     parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     all_parts, other_parts = parts(F.col("c")), parts(F.col("c") - F.col("most"))
     own = lambda n: F.pmod(F.xxhash64("lid"), n).cast("int")
-    shown = ("lid", "root", "other", "n", "r", "home", "fp")
+    shown = ("lid", "root", "other", "n", "fp")
     lefts = several.where("other").select("b", F.explode(F.sequence(F.lit(0), all_parts - 1)).alias("q"), own(other_parts).alias("p"), *shown)
     rights = several.select("b", F.explode(F.sequence(F.lit(0), other_parts - 1)).alias("p"), own(all_parts).alias("q"), *shown)
     groups = [x.select(F.xxhash64("b", "p", "q").alias("g"), F.lit(side).alias("left"), *shown) for x, side in ((lefts, True), (rights, False))]
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
-        g, left, lid, root, other, n, r, home, fp = (rows.column(c).to_numpy() for c in ("g", "left", *shown))
+        g, left, lid, root, other, n, fp = (rows.column(c).to_numpy() for c in ("g", "left", *shown))
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         for s, e in zip(starts, np.append(starts[1:], len(g)), strict=True):
@@ -112,8 +126,7 @@ def _block_pairs(met: DataFrame, roots: DataFrame, threshold: float, radius: int
                 near = np.bitwise_count((fp[i][:, None] ^ fp[j]).view(np.uint64)) <= radius
             a, b = np.nonzero(near)
             x, y = i[a], j[b]
-            may = (root[x] != root[y]) & (home[x] | home[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])) & (~(other[x] & other[y]) | (lid[x] < lid[y]))
-            may &= (1 + np.minimum(n[x] - r[x], n[y] - r[y])) * (1 + threshold) >= threshold * (n[x] + n[y]) - 1e-6
+            may = (root[x] != root[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])) & (~(other[x] & other[y]) | (lid[x] < lid[y]))
             us.append(np.minimum(lid[x[may]], lid[y[may]])), vs.append(np.maximum(lid[x[may]], lid[y[may]]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
@@ -142,24 +155,12 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, ra
     Documents are linked if the Jaccard similarity of their shingle sets reaches the threshold; those of equal sets,
     and so all without words, are one node.
     """
-    common: list[int] = []
-    while True:
-        sets = written(_sets(docs, shingle, threshold, common), "prefixes")
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("at")
-        nodes = written(sets.groupBy("digest").agg(first).select(F.monotonically_increasing_id().alias("lid"), "digest", F.col("at"), F.col("at.content").alias("content")), "nodes")
-        own = sets.join(nodes.select("lid", "content"), "content").groupBy("lid").agg(*(F.first(c).alias(c) for c in ("n", "fp", "h")))
-        firsts = own.select("lid", "n", "fp", F.posexplode("h").alias("r", "h"))
-        if common:
-            break
-        often = firsts.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > COMMON_ABOVE)
-        common = [x.h for x in often.orderBy(F.desc("c"), "h").limit(COMMON_MOST).collect()]
-        if not common:
-            break
-    # sets meet in the class of their size and in the next one, so that sizes within the threshold meet somewhere
-    size = F.floor(F.log("n") / -F.log(F.lit(threshold))).cast("int")
-    met = firsts.select("lid", "n", "fp", (F.col("r") + 1).alias("r"), F.posexplode(F.array(F.xxhash64("h", size), F.xxhash64("h", size + 1))).alias("away", "b"))
-    met = met.select("lid", "n", "fp", "r", (F.col("away") == 0).alias("home"), "b")
-    met = written(met.join(met.groupBy("b").agg(F.count("*").alias("k")).where("k > 1").select("b"), "b", "left_semi").select(met.columns), "met")
+    described = written(_described(docs, shingle), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content", "n", "fp", "bands")).alias("at")
+    nodes = described.groupBy("digest").agg(first).select(F.monotonically_increasing_id().alias("lid"), "digest", F.struct("at.none", "at.doc_id", "at.content").alias("at"), "at.content", "at.n", "at.fp", "at.bands")
+    nodes = written(nodes, "nodes")
+    buckets = nodes.select("lid", "n", "fp", F.explode("bands").alias("b"))
+    met = written(buckets.join(buckets.groupBy("b").agg(F.count("*").alias("k")).where("k > 1").select("b"), "b", "left_semi").select(buckets.columns), "met")
     pairs = cut(_lead_pairs(met, threshold, radius))
     roots = components(_similar(pairs, nodes, docs, shingle, threshold))
     rest = cut(_block_pairs(met, roots, threshold, radius).join(pairs, ["u", "v"], "left_anti"))
@@ -169,7 +170,7 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, ra
     named = nodes.join(roots, nodes["lid"] == roots["node"], "left").select("digest", "at", F.coalesce("root", "lid").alias("root"))
     least = named.groupBy("root").agg(F.min("at").alias("at"))
     kept = cut(least.select(F.col("at.content").alias("content"), F.lit(True).alias("kept")))
-    return sets.select("content").distinct().join(kept, "content", "left").select("content", F.coalesce("kept", F.lit(False)).alias("first"))
+    return described.select("content").distinct().join(kept, "content", "left").select("content", F.coalesce("kept", F.lit(False)).alias("first"))
 
 
 def one_of_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, radius: int = RADIUS) -> DataFrame:

@@ -44,8 +44,6 @@ def test_the_stage_keeps_one_of_each_similar_group(spark, monkeypatch):
     assert 40 < len(want) < len(rows) - 60
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {x.doc_id for x in corpus_pipeline.simhash_dedup(spark, df, "").collect()} == want
-    monkeypatch.setattr(similar, "COMMON_ABOVE", 5)
-    assert {x.doc_id for x in similar.one_of_similar(df).collect()} == want
     monkeypatch.setattr(similar, "BLOCK", 4)
     assert {x.doc_id for x in similar.one_of_similar(df).collect()} == want
     # the comparison of fingerprints decides: at a radius of 0 only sets of equal fingerprints are linked
