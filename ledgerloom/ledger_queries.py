@@ -458,18 +458,46 @@ def optional_filters(t: Tables) -> DataFrame:
     return rows.select("page_id", big(F.length("url")).alias("n"), K.page_count(c("page_id"), 20).alias("pages"))
 
 
-@query("SELECT n_regionkey, count(*) AS members, count(DISTINCT n_nationkey % 2) > 1 AS mixed, min(n_name) AS first FROM nation GROUP BY 1", frames=False)
-def coordinate_violations(t: Tables) -> DataFrame:
-    out = t("nation").groupBy("n_regionkey").agg(F.count("*").alias("members"), F.countDistinct(c("n_nationkey") % 2).alias("kinds"), F.min("n_name").alias("first"))
-    return out.select("n_regionkey", "members", (c("kinds") > 1).alias("mixed"), "first")
-
-
 @query(", ch AS (SELECT id, lag(status) OVER (PARTITION BY batch_id ORDER BY attempt_number) AS s, status AS t FROM attempts) SELECT id, s AS source, t AS target FROM ch WHERE s IS NOT NULL AND NOT (s = 'RUNNING' AND t IN ('ACCEPTED', 'FAILED', 'CANCELLED'))")
 def illegal_batch_changes(t: Tables) -> DataFrame:
     changes = L.previous(t("attempts"), ["batch_id"], [c("attempt_number")], "status", "source").where("source IS NOT NULL").withColumnRenamed("status", "target")
     return L.illegal_transitions(changes, L.BATCH_TRANSITIONS).select("id", "source", "target")
 
 
-@query(", r AS (SELECT 'B' || l_orderkey AS batch_id, l_linenumber FROM lines) SELECT id, 'k-' || substr(sha256(id || chr(10) || status), 1, 24) AS opaque FROM batches")
+@query(" SELECT id, 'k-' || substr(sha256(id || chr(10) || status), 1, 24) AS opaque FROM batches")
 def opaque_batch_ids(t: Tables) -> DataFrame:
     return t("batches").select("id", I.opaque_id("k-", c("id"), c("status")).alias("opaque"))
+
+
+# Constraints and writes
+
+
+@query(""", b AS (SELECT 'B' || (o_orderkey // 2) AS id, task_id, feature_id, CASE WHEN o_orderkey % 50 = 0 THEN 0 ELSE batch_sequence END AS batch_sequence, CASE WHEN o_orderkey % 70 > 0 THEN status END AS status, o_orderkey FROM batches JOIN units USING (task_id) WHERE feature_id = 'F' || o_orderkey), p AS (SELECT task_id FROM tasks WHERE created % 10 > 0)
+  SELECT 'not null status' AS rule, id AS key, 'false' AS detail FROM b WHERE status IS NULL UNION ALL SELECT 'unique id', id, CAST(count(*) AS VARCHAR) FROM b GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'unique task_id, batch_sequence', task_id || '|' || batch_sequence, CAST(count(*) AS VARCHAR) FROM b GROUP BY task_id, batch_sequence HAVING count(*) > 1
+  UNION ALL SELECT 'check batch_sequence > 0', id, 'false' FROM b WHERE NOT batch_sequence > 0 UNION ALL SELECT 'foreign task_id', task_id, 'no parent' FROM b WHERE task_id NOT IN (SELECT task_id FROM p)""")
+def batch_constraints(t: Tables) -> DataFrame:
+    from ledgerloom.plans import schemas
+
+    k = F.substring("id", 2, 20).cast("bigint")
+    rows = t("batches").withColumns({"id": F.concat(F.lit("B"), F.floor(k / 2)), "batch_sequence": F.when(k % 50 == 0, 0).otherwise(c("batch_sequence")), "status": F.when(k % 70 > 0, c("status"))})
+    return schemas.violations("generation_batch", {"generation_batch": rows.select("id", "task_id", "feature_id", "batch_sequence", "status"), "generation_task": t("tasks").where("created % 10 > 0").select(c("task_id").alias("id"))})
+
+
+@query(" SELECT id, CAST(attempt_number AS BIGINT) AS attempt_number, coalesce(CASE WHEN attempt_number > 3 THEN failure_reason END, 'none') AS failure_reason, CAST(attempt_number <= 3 AS VARCHAR) AS kept FROM attempts WHERE attempt_number < 6")
+def overlaid_attempts(t: Tables) -> DataFrame:
+    rows = t("attempts").where("attempt_number < 6").select("id", big(c("attempt_number")).alias("attempt_number"), "failure_reason")
+    first, later = rows.where("attempt_number <= 3").withColumn("failure_reason", F.lit("none")), rows.where("attempt_number > 3")
+    both = first.unionByName(later)  # pages accumulate
+    return both.select("id", "attempt_number", F.coalesce("failure_reason", F.lit("none")).alias("failure_reason"), (c("attempt_number") <= 3).cast("string").alias("kept"))
+
+
+@query(" SELECT task_id, string_agg(flag, ',' ORDER BY first) AS flags, count(*) AS kinds FROM (SELECT task_id, category AS flag, min(position) AS first FROM candidates GROUP BY 1, 2) GROUP BY 1")
+def ordered_distinct(t: Tables) -> DataFrame:
+    firsts = t("candidates").groupBy("task_id", "category").agg(F.min("position").alias("first"))  # first-seen order by partial aggregates
+    out = firsts.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("first", "category"))).alias("m"))
+    return out.select("task_id", F.array_join(F.transform("m", lambda x: x["category"]), ",").alias("flags"), F.size("m").cast("bigint").alias("kinds"))
+
+
+@query(" SELECT task_id, artifact_id FROM tasks WHERE status IN ('COMPLETED', 'PARTIAL') AND artifact_id IS NOT NULL")
+def ready_artifacts(t: Tables) -> DataFrame:
+    return t("tasks").where(c("status").isin("COMPLETED", "PARTIAL") & c("artifact_id").isNotNull()).select("task_id", "artifact_id")
