@@ -253,3 +253,57 @@ def test_answers(spark, tmp_path):
     q = answers.fold_stream(stream).writeStream.format("memory").queryName("answers_out").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert {r.stream_id: (r.answer, r.status) for r in spark.table("answers_out").collect()} == {k: v for k, v in want.items() if k != "u"}
+
+
+def test_a_stream_that_ended_does_not_time_out(spark, tmp_path):
+    """A stream that has ended, and one that has not, both fall silent: only the second one is unterminated."""
+    schema = "stream_id string, seq bigint, kind string, content string"
+    rows = [[("done", 1, "answer", "a"), ("done", 2, "complete", ""), ("open", 1, "answer", "b")], [("other", 1, "answer", "c")], [("other", 2, "complete", "")]]
+    for k, r in enumerate(rows):
+        spark.createDataFrame(r, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{k}")
+    import shutil
+    import time
+
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    q = answers.fold_stream(stream, timeout_ms=1000).writeStream.format("memory").queryName("answers_timeout").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start()
+    found = lambda: sorted((r.stream_id, r.status) for r in spark.table("answers_timeout").collect())
+    try:
+        for k, until in ((0, ("done", "complete")), (1, ("open", "unterminated")), (2, ("other", "complete"))):
+            for f in (tmp_path / str(k)).glob("*.parquet"):
+                shutil.copy(f, tmp_path / "in" / f"{k}-{f.name}")
+            deadline = time.time() + 20
+            while time.time() < deadline and until not in found():
+                time.sleep(1)
+        got = found()
+    finally:
+        q.stop()
+    assert [x for x in got if x[0] != "other"] == [("done", "complete"), ("open", "unterminated")]
+
+
+def test_evidence_and_json_texts(spark):
+    pair = lambda text: one(spark, X.has_coordinate_pair(F.col("t"), F.lit("d"), F.lit("u")), t=text)
+    assert pair("x; documentId=d; unitId=u; y") and pair("documentId=e; documentId=d;unitId=u")
+    assert not pair("documentId=d; note; unitId=u") and not pair("unitId=u; documentId=d") and not pair("documentId=d; unitId=v")
+    cut = lambda text, n: one(spark, X.left_utf16(F.col("t"), n), t=text)
+    assert (cut("abc", 5), cut("a\U0001f600b", 3), cut("a\U0001f600b", 2), cut("", 2)) == ("abc", "a\U0001f600", "a", "")
+    first = lambda text: one(spark, X.first_text(F.col("t"), "$.a", "$.b", "$.in.c"), t=text)
+    assert [first(x) for x in ('{"a": " ", "b": 3, "in": {"c": "z"}}', '{"a": "x"}', "[]", "not json")] == ["z", "x", None, None]
+    many = lambda text: one(spark, X.one_or_many(F.col("t"), "keys", "key"), t=text)
+    assert (many('{"keys": ["a", "b"]}'), many('{"key": "a"}'), many("{}")) == (["a", "b"], ["a"], None)
+    notes = lambda *lines: one(spark, X.notes_only(F.array(*map(F.lit, lines))))
+    assert notes("fine", " ", "more") and not notes("# head") and not notes("a |") and not notes("{}")
+    assert [one(spark, X.positive_integer(F.col("t")), t=x) for x in ("12", "0", "-1", "1.5", "99999999999")] == [12, None, None, None, None]
+    assert one(spark, X.without_machine_tokens(F.col("t")), t="documentId=a; unitId=b; read <br>candidateIds=c<br>") == "read"
+    assert one(spark, X.sanitize(F.col("t")), t='{"token": "a\\"b"} api_key=xyz; sk-abcdefgh1') == '{"token": "<credential-redacted>"} api_key=<credential-redacted>; <credential-redacted>'
+    assert one(spark, X.template("{a}-{b}", a=F.lit(1), b=F.lit(None))) == "1-"
+
+
+def test_one_row_or_an_error(spark):
+    from ledgerloom.plans.tasks import lookup
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "id long, v string")
+    assert [tuple(r) for r in lookup(df, F.col("id") == 1, "row").collect()] == [(1, "a")]
+    for k in (2, 3):
+        with pytest.raises(Exception, match="rows found"):
+            lookup(df, F.col("id") == k, "row").collect()
