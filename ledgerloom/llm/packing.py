@@ -104,14 +104,13 @@ def pack_documents(
     Null and empty texts are documents of ``end_id`` alone. A null id stays null. Repeated rows are packed
     each by itself. Columns but the two named are ignored, so that no name can clash. No rows give no rows.
     """
-    path = tokenizer_path or default_path()
     kind = docs.schema[id_col].dataType
     fields = [T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType(), False)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        t = tokenizer(tokenizer_path or default_path())  # looked up where it is read
         next_id = TaskContext.get().partitionId() << 40
         names, parts, lengths, held = [], [], [], 0
 

@@ -24,7 +24,6 @@ def count_tokens(docs: DataFrame, version: str, *, path: str | None = None, extr
     ``extra`` tokens a document are added for ids that a tokenizer version appends. A null text counts as
     empty; null sources and languages are values of their own; other columns are ignored.
     """
-    path = path or default_path()
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema[id_col].dataType),
@@ -35,7 +34,7 @@ def count_tokens(docs: DataFrame, version: str, *, path: str | None = None, extr
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        t = tokenizer(path or default_path())  # looked up where it is read
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(t.counts(part.column(3)) + extra, pa.int64())], names=schema.names)
