@@ -501,3 +501,90 @@ def ordered_distinct(t: Tables) -> DataFrame:
 @query(" SELECT task_id, artifact_id FROM tasks WHERE status IN ('COMPLETED', 'PARTIAL') AND artifact_id IS NOT NULL")
 def ready_artifacts(t: Tables) -> DataFrame:
     return t("tasks").where(c("status").isin("COMPLETED", "PARTIAL") & c("artifact_id").isNotNull()).select("task_id", "artifact_id")
+
+
+# Scopes and acceptance
+
+_SCOPE = {
+    "bases": "SELECT 'kb' || r_regionkey AS id, r_name AS name, CASE WHEN r_regionkey = 4 THEN 'faq' ELSE 'document' END AS type FROM {region}",
+    "containers": "SELECT 'kb' || n_regionkey AS knowledge_base_id, CASE WHEN n_nationkey % 6 = 5 THEN 'folder' ELSE 'system' END AS container_type, 's' || n_nationkey AS system_id, CASE WHEN n_nationkey % 4 = 0 THEN ' ' ELSE n_name END AS system_name FROM {nation}",
+    "versions": "SELECT 'v' || n_nationkey || '-' || k AS id, 's' || n_nationkey AS system_id, CASE WHEN k = 2 AND n_nationkey % 3 = 0 THEN 'retired' ELSE 'active' END AS status, 'V' || k AS display_name FROM {nation} CROSS JOIN (VALUES (1), (2)) AS v(k)",
+    "material": """SELECT 'd' || s_suppkey AS id, 'kb' || n_regionkey AS knowledge_base_id, 'h' || (s_suppkey % 40) AS file_hash, CASE WHEN s_suppkey % 7 = 0 THEN 'failed' ELSE 'completed' END AS parse_status, CASE WHEN s_suppkey % 9 = 0 THEN 'disabled' ELSE 'enabled' END AS enable_status,
+        CASE WHEN s_suppkey % 13 = 0 THEN 'other' ELSE 'admission_material' END AS content_category, CASE WHEN s_suppkey % 11 > 0 THEN 'p' || (s_suppkey % 2) END AS project_id, CASE s_suppkey % 3 WHEN 0 THEN 'function_list' WHEN 1 THEN 'work_order_plan' ELSE 'requirements_spec' END AS content_type_key,
+        CASE WHEN s_suppkey % 5 = 0 THEN ' ' ELSE 'Kind ' || (s_suppkey % 3) END AS content_type_name, 's' || s_nationkey AS system_id, 'v' || s_nationkey || '-' || (1 + s_suppkey % 2) AS version_id FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey""",
+}
+FRAMES |= _SCOPE
+_SELECTED = (
+    "WITH "
+    + ", ".join(f"{name} AS ({sql.format_map(DRIVER)})" for name, sql in _SCOPE.items())
+    + """, docs AS (SELECT m.*, coalesce(nullif(trim(content_type_name), ''), content_type_key) AS label FROM material m WHERE parse_status = 'completed' AND enable_status = 'enabled' AND content_category = 'admission_material' AND project_id IS NOT NULL),
+  chosen AS (SELECT d.knowledge_base_id AS kb, b.name AS kb_name, d.system_id, system_name, version_id, display_name, project_id, content_type_key, label, string_agg(DISTINCT d.id, ',' ORDER BY d.id) AS ids, count(DISTINCT d.id) AS n, list(d.file_hash) AS hashes
+    FROM docs d JOIN containers c ON c.knowledge_base_id = d.knowledge_base_id AND c.system_id = d.system_id AND container_type = 'system' JOIN versions v ON v.id = version_id AND v.system_id = d.system_id AND v.status = 'active' JOIN bases b ON b.id = d.knowledge_base_id AND b.type = 'document'
+    GROUP BY ALL),
+  ids AS (SELECT *, 'scope-' || substr(sha256(kb || chr(10) || system_id || chr(10) || version_id || chr(10) || project_id || chr(10) || 'admission_material' || chr(10) || content_type_key || chr(10) || ids), 1, 24) AS selection_id FROM chosen)"""
+)
+
+
+def _selections(t: Tables) -> DataFrame:
+    scope = F.struct("content_category", "project_id", "content_type_key", "content_type_name", "system_id", "version_id")
+    return S.selections(t("bases"), t("containers"), t("versions"), t("material").select("id", "knowledge_base_id", "file_hash", "parse_status", "enable_status", scope.alias("knowledge_scope")))
+
+
+@query(_SELECTED + " SELECT selection_id, kb AS knowledge_base_id, version_id, project_id, label AS type_label, ids AS document_ids, n AS n_documents FROM ids", frames=False)
+def scope_selections(t: Tables) -> DataFrame:
+    return _selections(t).select("selection_id", "knowledge_base_id", "version_id", "project_id", "type_label", F.array_join("document_ids", ",").alias("document_ids"), big(c("n_documents")).alias("n_documents"))
+
+
+@query(
+    _SELECTED
+    + """, s AS (SELECT kb_name, coalesce(nullif(trim(system_name), ''), kb_name) AS name, 'system-' || substr(sha256(kb || chr(10) || system_id), 1, 24) AS key, display_name, version_id, string_agg(label || ' ' || n, ' ' ORDER BY label, content_type_key, selection_id) AS kinds FROM ids GROUP BY ALL),
+  v AS (SELECT kb_name, name, key, string_agg(display_name || ': ' || kinds, '; ' ORDER BY display_name, version_id) AS versions FROM s GROUP BY ALL) SELECT kb_name AS knowledge_base_name, string_agg(name || ' (' || versions || ')', ', ' ORDER BY name, key) AS tree FROM v GROUP BY 1""",
+    frames=False,
+)
+def scope_tree(t: Tables) -> DataFrame:
+    kind = lambda k: F.concat_ws(" ", k["label"], k["n_documents"].cast("string"))
+    version = lambda v: F.concat(v["name"], F.lit(": "), F.array_join(F.transform(v["material_types"], kind), " "))
+    system = lambda s: F.concat(s["name"], F.lit(" ("), F.array_join(F.transform(s["versions"], version), "; "), F.lit(")"))
+    return S.catalog_tree(_selections(t)).select("knowledge_base_name", F.array_join(F.transform("systems", system), ", ").alias("tree"))
+
+
+@query(
+    _SELECTED
+    + """, k AS (SELECT kb, count(DISTINCT (kb, system_id, version_id, project_id)) AS n, bool_or(content_type_key = 'function_list') AS l, bool_or(content_type_key <> 'function_list') AS f FROM ids GROUP BY 1)
+  SELECT 'one coordinate' AS rule, kb AS key, CAST(n AS VARCHAR) AS detail FROM k WHERE n > 1 UNION ALL SELECT 'function list', kb, 'missing' FROM k WHERE NOT l UNION ALL SELECT 'formal requirement', kb, 'missing' FROM k WHERE NOT f
+  UNION ALL SELECT 'distinct hashes', kb, h FROM (SELECT kb, unnest(hashes) AS h FROM ids) GROUP BY kb, h HAVING count(*) > 1""",
+    frames=False,
+)
+def selection_violations(t: Tables) -> DataFrame:
+    return S.selection_violations(_selections(t).withColumn("task_id", c("knowledge_base_id")))
+
+
+_CASES = """, tg AS (SELECT 'B' || l_orderkey AS batch_id, l_orderkey AS o, 'Area ' || l_orderkey || '/Leaf ' || l_orderkey AS path, 'Leaf ' || l_orderkey AS leaf, l_orderkey % 8 <> 7 AS eligible, list(occurrence_id) AS ids FROM candidates GROUP BY l_orderkey),
+  cs AS (SELECT 'B' || l_orderkey AS batch_id, CASE WHEN part % 9 = 0 THEN 'x' WHEN l_linenumber = 1 THEN 'Leaf ' || l_orderkey || '_正向' ELSE 'Leaf ' || l_orderkey || '_反向' END AS name, part, supp, occurrence_id FROM candidates WHERE l_linenumber <= 2)"""
+
+
+@query(
+    _CASES
+    + """, per AS (SELECT batch_id, count(*) AS n, list_sort(list(DISTINCT name)) AS names FROM cs GROUP BY 1)
+  SELECT 'eligible' AS rule, batch_id AS key, 'the target generates nothing' AS detail FROM tg WHERE NOT eligible UNION ALL SELECT 'two cases', batch_id, CAST(coalesce(n, 0) AS VARCHAR) FROM tg LEFT JOIN per USING (batch_id) WHERE coalesce(n, 0) <> 2
+  UNION ALL SELECT 'names', batch_id, array_to_string(names, ',') FROM tg JOIN per USING (batch_id) WHERE names <> list_sort([leaf || '_正向', leaf || '_反向']) UNION ALL SELECT 'module', batch_id, 'Other' FROM cs WHERE part % 11 = 0
+  UNION ALL SELECT 'numbering', batch_id, name FROM cs WHERE part % 13 = 0 OR supp % 7 = 0 UNION ALL SELECT 'requirement', batch_id, CASE part % 5 WHEN 1 THEN 'read; candidateIds=C-x' ELSE 'read only' END FROM cs WHERE part % 5 IN (1, 2)
+  UNION ALL SELECT 'subject', batch_id, 'Else' FROM cs WHERE part % 6 = 0 UNION ALL SELECT 'evidence', batch_id, 'none' FROM cs WHERE part % 10 = 0"""
+)
+def refused_batches(t: Tables) -> DataFrame:
+    path = F.concat(F.lit("Area "), "l_orderkey", F.lit("/Leaf "), "l_orderkey")
+    batch = F.concat(F.lit("B"), "l_orderkey").alias("batch_id")
+    part = c("part")
+    targets = t("candidates").groupBy("l_orderkey").agg(F.collect_list("occurrence_id").alias("candidate_ids")).select(batch, path.alias("feature_name"), (c("l_orderkey") % 8 != 7).alias("generation_eligible"), "candidate_ids")
+    rows = t("candidates").where("l_linenumber <= 2")
+    own = F.concat(F.lit("read; candidateIds="), "occurrence_id")
+    cases = rows.select(
+        batch,
+        F.when(part % 9 == 0, "x").otherwise(F.concat(F.lit("Leaf "), "l_orderkey", F.when(c("l_linenumber") == 1, "_正向").otherwise("_反向"))).alias("case_name"),
+        F.when(part % 11 == 0, "Other").otherwise(path).alias("feature_module"),
+        F.when(part % 13 == 0, "1. a\n3. b").otherwise("1. a\n2. b").alias("execution_steps"),
+        F.when(c("supp") % 7 == 0, "1. c").otherwise(F.when(part % 13 == 0, "1. c\n3. d").otherwise("1. c\n2. d")).alias("expected_result"),
+        F.when(part % 5 == 0, V.GENERAL).when(part % 5 == 1, "read; candidateIds=C-x").when(part % 5 == 2, "read only").otherwise(own).alias("requirement_content"),
+    )
+    audit = rows.select(batch, F.when(part % 6 == 0, "Else").otherwise(path).alias("subject"), F.when(part % 10 == 0, "none").otherwise(F.concat(F.lit("candidateIds="), "occurrence_id")).alias("evidence"))
+    return V.refused_batches(targets, audit, cases)
