@@ -125,6 +125,31 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, threshold=0.8)
 
 
+ORACLES["op7_decontamination"] = r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), iw AS (
+  SELECT *, len(w) AS n, least(5, len(w)) AS width FROM (SELECT row_number() OVER () AS k, item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0
+), ig AS (
+  SELECT k, width, gram, count(*) AS c FROM (SELECT k, width, array_to_string(w[i:i + width - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, n - width + 2)) AS i FROM iw)) GROUP BY ALL
+), dg AS (
+  SELECT r, width, i, array_to_string(w[i:i + width - 1], ' ') AS gram FROM (SELECT r, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM dw, (SELECT DISTINCT width FROM iw) WHERE len(w) >= width)
+), hits AS (
+  SELECT r, k, i, gram, c, len(dw.w) AS m, n, width FROM dg JOIN ig USING (width, gram) JOIN iw USING (k, width) JOIN dw USING (r)
+), spans AS (
+  SELECT DISTINCT r, k, m, n, width, CASE WHEN m >= n THEN n - width + 1 ELSE m - width + 1 END AS span, n - width + 1 AS total FROM hits
+), starts AS (
+  SELECT DISTINCT r, k, s FROM (SELECT h.r, h.k, unnest(range(greatest(1, i - span + 1), least(i, greatest(1, h.m - h.n + 1)) + 1)) AS s FROM hits h JOIN spans USING (r, k))
+), shared AS (
+  SELECT r, k, s, sum(least(f, c)) AS shared FROM (SELECT r, k, s, gram, any_value(c) AS c, count(*) AS f FROM starts JOIN spans USING (r, k) JOIN hits USING (r, k) WHERE i BETWEEN s AND s + span - 1 GROUP BY r, k, s, gram) GROUP BY r, k, s
+), scored AS (
+  SELECT r, k, s, CAST(shared AS DOUBLE) / CAST(total + span - shared AS DOUBLE) AS similarity FROM shared JOIN spans USING (r, k)
+)
+SELECT doc_id, item_id, CAST(s - 1 AS BIGINT) AS start_word, similarity
+FROM (SELECT * FROM scored WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY r, k ORDER BY similarity DESC, s) = 1) JOIN dw USING (r) JOIN iw USING (k)
+"""
+
+
 @query
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.substring import dedup_substrings
@@ -132,6 +157,22 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), width=13, with_text=False).drop("factors")
 
 
+ORACLES["op2_substring"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS passage FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+), m AS (
+  SELECT passage, min(doc_id) AS first FROM g GROUP BY passage
+), gone AS (
+  SELECT DISTINCT r, i + k AS j FROM g JOIN m USING (passage), range(13) AS o(k) WHERE first < doc_id
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY j) AS t FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d) ANTI JOIN gone USING (r, j) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
 @query
 def op5_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.cotrain import score_documents

@@ -86,3 +86,24 @@ def test_both_views_count_and_edges(spark):
     for one in (lab.limit(0), lab.where("toxic = 0 AND quality = 1")):
         assert all(x.kept for x in score_documents(df, one).collect())
     assert score_documents(df.limit(0), lab).count() == 0
+
+
+def test_the_most_confident_of_all_tasks(spark):
+    """Of all unlabelled documents in any number of tasks, the surest ones by each view and label, those given left out."""
+    from ledgerloom.llm.cotrain import CONFIDENT, STYLES, Features, Model, describe, most_confident
+
+    r = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in r.integers(0, 30, 20)), f"s{i % 7}", i) for i in range(400)], "key long, text string, meta0 string, meta1 long")
+    words = np.unique(word_codes(pa.array([f"w{k}".encode() for k in range(30)], pa.large_binary()))[0][:, 0]).astype(np.int64)
+    features = describe(docs, words)
+    model = Model(0.5, words, np.zeros(STYLES), np.ones(STYLES), r.normal(size=len(words) + 2 * STYLES + 1), r.normal(size=257), {"text": (1.0, 0.0), "meta": (3.0, 0.0)})
+    rows = features.orderBy("key").toArrow()
+    given = np.arange(0, 400, 3)
+    for parts in (1, 5):
+        got = most_confident(features.repartition(parts), model, given, 9)
+        for (view, label), t in got.items():
+            p = model.probability(view, Features.read(rows))
+            sure = p if label else 1 - p
+            want = sorted((k for k in range(400) if sure[k] >= CONFIDENT and k % 3), key=lambda k: (-sure[k], k))[:9]
+            assert t.column("key").to_pylist() == want, (view, label)
+    assert any(t.num_rows == 9 for t in got.values())

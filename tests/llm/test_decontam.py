@@ -103,3 +103,10 @@ def test_the_index_proposes_the_items(monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(decontam, "RADIUS", 0)
     assert {x[3] for x in decontam.Benchmark([t for _, t in items]).search(texts, 0.8)} == {1.0}
+
+
+def test_oracle(spark):
+    from ledgerloom.llm.queries import ORACLES, QUERIES
+    from tests.llm.oracle import same
+
+    same(spark, QUERIES["op7_decontamination"], ORACLES["op7_decontamination"], "/root/testdata/sf0.001")

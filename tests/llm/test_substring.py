@@ -95,3 +95,10 @@ def test_sliding_min():
     x = np.random.default_rng(1).integers(0, 99, 50).astype(np.uint64)
     for w in (1, 2, 3, 7, 8, 9):
         assert _sliding_min(x, w).tolist() == [min(x[i : i + w]) for i in range(50 - w + 1)]
+
+
+def test_oracle(spark):
+    from ledgerloom.llm.queries import ORACLES, QUERIES
+    from tests.llm.oracle import same
+
+    same(spark, QUERIES["op2_substring"], ORACLES["op2_substring"], "/root/testdata/sf0.001")
