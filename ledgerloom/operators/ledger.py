@@ -68,6 +68,21 @@ def numbered(df: DataFrame, partition: list[str], order: list[Column], name: str
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
 
 
+def numbered_in_ranges(df: DataFrame, partition: list[str], order: list[str], name: str = "sequence") -> DataFrame:
+    """As ``numbered``, for groups of which one may hold much of the table: rows are dealt out by ranges of (partition,
+    order), numbered within each range, and the ranges before add their counts, of which there are few."""
+    ranged = df.repartitionByRange(*partition, *order).withColumn("_range", F.spark_partition_id())
+    counts = ranged.groupBy("_range", *partition).agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy(*partition).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", *partition, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_range", *partition).orderBy(*order)))
+    same = F.lit(True)
+    offsets = offsets.select(F.col("_range").alias("_r"), *(F.col(c).alias(f"_g{k}") for k, c in enumerate(partition)), "_before")
+    for k, c in enumerate(partition):
+        same &= local[c].eqNullSafe(F.col(f"_g{k}"))
+    return local.join(offsets, (F.col("_range") == F.col("_r")) & same).select(*df.columns, (F.col("_before") + F.col("_local")).alias(name))
+
+
 def latest(df: DataFrame, partition: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in the given order."""
     return numbered(df, partition, order, "_n").where("_n = 1").drop("_n")

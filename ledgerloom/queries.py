@@ -138,7 +138,7 @@ def contiguous_ordinals(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS page, CAST(ceil(count(*) OVER (PARTITION BY source) / 8.0) AS BIGINT) AS pages FROM documents")
 def pages_of_eight(t: Tables) -> DataFrame:
-    numbered = L.numbered(t("documents").select("doc_id", "source"), ["source"], [c("doc_id")])
+    numbered = L.numbered_in_ranges(t("documents").select("doc_id", "source"), ["source"], ["doc_id"])  # a source may hold a third of all
     sizes = t("documents").groupBy("source").agg(F.ceil(F.count("*") / 8).alias("pages"))
     return numbered.join(sizes, "source").select("doc_id", big(F.floor((c("sequence") - 1) / 8)).alias("page"), big(c("pages")).alias("pages"))
 

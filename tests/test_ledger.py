@@ -307,3 +307,11 @@ def test_one_row_or_an_error(spark):
     for k in (2, 3):
         with pytest.raises(Exception, match="rows found"):
             lookup(df, F.col("id") == k, "row").collect()
+
+
+def test_numbers_in_ranges_are_those_of_a_window(spark):
+    rows = [("hot" if i % 3 else f"g{i % 5}", i * 7 % 1000) for i in range(1000)] + [(None, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "g string, n long").repartition(6)
+    one, many = (sorted(map(str, x.collect())) for x in (L.numbered(df, ["g"], [F.col("n")]), L.numbered_in_ranges(df, ["g"], ["n"])))
+    assert one == many
+    assert L.numbered_in_ranges(df.limit(0), ["g"], ["n"]).count() == 0
