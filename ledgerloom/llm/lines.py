@@ -153,12 +153,12 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataF
             for part in slices(batch, "nu", 1 << 19):
                 for at in range(0, part.num_rows, 1 << LINE_BITS):
                     own = part.slice(at, 1 << LINE_BITS)
-                    yield own.select(["u", "v"]).filter(pa.array(_alike(shingle_sets(own.column("nu")), shingle_sets(own.column("nv")), own.num_rows, threshold)))
+                    yield own.select(["u", "v"]).filter(pa.array(alike(shingle_sets(own.column("nu")), shingle_sets(own.column("nv")), own.num_rows, threshold)))
 
     return both.select("u", "v", "nu", "nv").mapInArrow(run, "u long, v long")
 
 
-def _alike(a: np.ndarray, b: np.ndarray, n: int, threshold: float) -> np.ndarray:
+def alike(a: np.ndarray, b: np.ndarray, n: int, threshold: float) -> np.ndarray:
     """Whether the k-th sets of a and of b, in order by k, reach the threshold."""
     both = np.concatenate([a, b])
     both.sort(kind="stable")
@@ -179,7 +179,7 @@ def _block_links(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarr
 
     def link(i: np.ndarray, j: np.ndarray) -> None:
         """Hands on those of the similar pairs that join components which the earlier ones have not joined."""
-        new = _joining(root[i].tolist(), root[j].tolist(), joined)
+        new = joining(root[i].tolist(), root[j].tolist(), joined)
         us.append(lid[i[new]]), vs.append(lid[j[new]])
 
     def settle() -> None:
@@ -187,7 +187,7 @@ def _block_links(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarr
         few.clear()
         for at in range(0, len(i), 4096):
             a, b = i[at : at + 4096], j[at : at + 4096]
-            yes = _alike(shingle_sets(norm.take(pa.array(a))), shingle_sets(norm.take(pa.array(b))), len(a), threshold)
+            yes = alike(shingle_sets(norm.take(pa.array(a))), shingle_sets(norm.take(pa.array(b))), len(a), threshold)
             link(a[yes], b[yes])
 
     for s, e in zip(starts, np.append(starts[1:], len(group)), strict=True):
@@ -198,7 +198,7 @@ def _block_links(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarr
         may &= ~(other[i][:, None] & other[j]) | (lid[i][:, None] < lid[j])
         a, b = np.nonzero(may)
         if len(a) > 8 * (len(i) + len(j)):  # many pairs of few lines: count what they share by a matrix product
-            yes = _product(shingle_sets(norm.take(pa.array(i))), shingle_sets(norm.take(pa.array(j))), len(i), len(j), threshold)
+            yes = product(shingle_sets(norm.take(pa.array(i))), shingle_sets(norm.take(pa.array(j))), len(i), len(j), threshold)
             a, b = np.nonzero(may & yes)
             link(i[a], j[b])
         elif len(a):
@@ -208,7 +208,7 @@ def _block_links(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _joining(a: list[int], b: list[int], joined: dict[int, int]) -> list[int]:
+def joining(a: list[int], b: list[int], joined: dict[int, int]) -> list[int]:
     """Places k at which a[k] and b[k] are not connected yet, by ``joined`` (a forest of parents) or earlier places."""
     out = []
     for k, (x, y) in enumerate(zip(a, b, strict=True)):
@@ -224,7 +224,7 @@ def _joining(a: list[int], b: list[int], joined: dict[int, int]) -> list[int]:
     return out
 
 
-def _product(a: np.ndarray, b: np.ndarray, n: int, m: int, threshold: float) -> np.ndarray:
+def product(a: np.ndarray, b: np.ndarray, n: int, m: int, threshold: float) -> np.ndarray:
     """For n sets a and m sets b whether each two reach the threshold; only shingles that both sides have are counted."""
     rest, mask = np.uint64(64 - LINE_BITS), np.uint64((1 << 64 - LINE_BITS) - 1)
     ha, hb = a & mask, b & mask

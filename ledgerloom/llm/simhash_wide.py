@@ -20,14 +20,15 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut, free_name, text_batches, written
 from ledgerloom.llm.graph import components
+from ledgerloom.llm.lines import LINE_BITS, alike, joining, product
 from ledgerloom.llm.simhash import BitPlanes, bit_majority, shingle_hashes
 from ledgerloom.llm.words import as_binary, mix, slices
 
 #: of pairs at similarity 0.8 about 3 in ten million differ in more bits; of unrelated pairs 92 of 100 do
 RADIUS = 26
 BINS, BANDS = 20, 10
-#: documents of a bucket that are compared with as many others in one group
-BLOCK = 512
+#: documents of a bucket, and their shingles, that one group of comparisons holds on each side
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 
 
 def _each(column: pa.Array, shingle: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -74,12 +75,16 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return text_batches(texts.select("lid", "text")).mapInArrow(run, "lid long, h array<long>")
 
 
+def _texts(nodes: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(lid, text) of these nodes, one row each: rows of one content are alike."""
+    own = nodes.join(ids, "lid", "left_semi").select("lid", "content")
+    return docs.select("content", "text").join(own, "content").groupBy("lid").agg(F.first("text").alias("text"))
+
+
 def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """Of pairs (u, v) those whose exact similarity reaches the threshold."""
-    ids = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("lid")).distinct(), "lid", "left_semi").select("lid", "content")
-    one = docs.select("content", "text").join(ids, "content").groupBy("lid").agg(F.first("text").alias("text"))  # rows of one content are alike
-    texts = one.select("lid", "text")
-    sets = written(_sets(texts, shingle), "sets")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("lid")).distinct()
+    sets = written(_sets(_texts(nodes, docs, ids), shingle), "sets")
     both = pairs.join(sets.select(F.col("lid").alias("u"), F.col("h").alias("a")), "u").join(sets.select(F.col("lid").alias("v"), F.col("h").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.select("u", "v", shared.alias("s"), (F.size("a") + F.size("b")).alias("t")).where(F.col("s") >= threshold * (F.col("t") - F.col("s")) - 1e-9).select("u", "v")
@@ -93,42 +98,27 @@ def _lead_pairs(met: DataFrame, threshold: float, radius: int) -> DataFrame:
     return met.join(leads, "b").where(may).select(F.col("lead.lid").alias("u"), F.col("lid").alias("v")).distinct()
 
 
-def _block_pairs(met: DataFrame, roots: DataFrame, threshold: float, radius: int) -> DataFrame:
-    """Distinct (u, v), u the smaller, of all rows of different components that meet in a bucket and may be similar.
+def _block_links(met: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, threshold: float, radius: int) -> DataFrame:
+    """(u, v): links that connect all similar rows of different components that share a bucket of ``met`` (lid, n, fp, b).
 
     In a bucket of several components, each row outside the largest meets every row of another, in blocks of about
-    BLOCK on each side.
+    BLOCK rows or BLOCK_SHINGLES shingles on each side. Fingerprints are compared bit-sliced; pairs within the radius are
+    decided by their whole sets where they meet, and a forest of links is handed on.
     """
     named = met.join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
-    shares = named.groupBy("b", "root").agg(F.count("*").alias("k"))
-    largest = shares.groupBy("b").agg(F.sum("k").alias("c"), F.max("k").alias("most"), F.max_by("root", F.struct("k", "root")).alias("big")).where("most < c")
-    several = cut(named.join(largest, "b").withColumn("other", F.col("root") != F.col("big")))
-    parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    all_parts, other_parts = parts(F.col("c")), parts(F.col("c") - F.col("most"))
+    shares = named.groupBy("b", "root").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    largest = shares.groupBy("b").agg(F.sum("k").alias("c"), F.sum("s").alias("total"), F.max("k").alias("most"), F.max_by(F.struct("root", "s"), F.struct("k", "root")).alias("big")).where("most < c")
+    several = cut(named.join(largest, "b").withColumn("other", F.col("root") != F.col("big.root")))
+    if several.isEmpty():
+        return several.select(F.col("lid").alias("u"), F.col("lid").alias("v"))
+    parts = lambda rows, size: F.ceil(F.greatest(rows / F.lit(BLOCK), size / F.lit(BLOCK_SHINGLES))).cast("int")
+    all_parts, other_parts = parts(F.col("c"), F.col("total")), parts(F.col("c") - F.col("most"), F.col("total") - F.col("big.s"))
     own = lambda n: F.pmod(F.xxhash64("lid"), n).cast("int")
     shown = ("lid", "root", "other", "n", "fp")
     lefts = several.where("other").select("b", F.explode(F.sequence(F.lit(0), all_parts - 1)).alias("q"), own(other_parts).alias("p"), *shown)
     rights = several.select("b", F.explode(F.sequence(F.lit(0), other_parts - 1)).alias("p"), own(all_parts).alias("q"), *shown)
     groups = [x.select(F.xxhash64("b", "p", "q").alias("g"), F.lit(side).alias("left"), *shown) for x, side in ((lefts, True), (rights, False))]
-
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        g, left, lid, root, other, n, fp = (rows.column(c).to_numpy() for c in ("g", "left", *shown))
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        for s, e in zip(starts, np.append(starts[1:], len(g)), strict=True):
-            i, j = s + np.flatnonzero(left[s:e]), s + np.flatnonzero(~left[s:e])
-            if not len(i) or not len(j):
-                continue
-            if len(j) >= 64:
-                planes = BitPlanes(fp[j].view(np.uint64))
-                near = np.concatenate([np.unpackbits(planes.within(fp[i[at : at + 256]].view(np.uint64), radius).view(np.uint8), axis=1, bitorder="little")[:, : len(j)] for at in range(0, len(i), 256)]).astype(bool)
-            else:
-                near = np.bitwise_count((fp[i][:, None] ^ fp[j]).view(np.uint64)) <= radius
-            a, b = np.nonzero(near)
-            x, y = i[a], j[b]
-            may = (root[x] != root[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])) & (~(other[x] & other[y]) | (lid[x] < lid[y]))
-            us.append(np.minimum(lid[x[may]], lid[y[may]])), vs.append(np.maximum(lid[x[may]], lid[y[may]]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+    texts = written(_texts(nodes, docs, several.select("lid").distinct()), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -140,12 +130,55 @@ def _block_pairs(met: DataFrame, roots: DataFrame, threshold: float, radius: int
             g = held.column("g").to_numpy()
             inner = np.flatnonzero(g != g[-1])
             if len(inner):  # the last group may go on in the next batch
-                yield compare(held.slice(0, int(inner[-1]) + 1))
+                yield _compare(held.slice(0, int(inner[-1]) + 1), shingle, threshold, radius)
                 held = held.slice(int(inner[-1]) + 1).combine_chunks()
         if held is not None:
-            yield compare(held)
-
-    return groups[0].unionByName(groups[1]).repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long").distinct()
+            yield _compare(held, shingle, threshold, radius)
+
+    rows = groups[0].unionByName(groups[1]).join(texts, "lid").repartition("g").sortWithinPartitions("g", "left", "lid")
+    return text_batches(rows).mapInArrow(run, "u long, v long")
+
+
+def _compare(rows: pa.Table, shingle: int, threshold: float, radius: int) -> pa.RecordBatch:
+    """Of whole groups, sorted: links between similar rows of their two sides, a forest over the roots."""
+    g, left, lid, root, other, n, fp = (rows.column(c).to_numpy() for c in ("g", "left", "lid", "root", "other", "n", "fp"))
+    _, first, which = np.unique(lid, return_index=True, return_inverse=True)
+    each, _ = _each(rows.column("text").take(pa.array(first)).combine_chunks(), shingle)
+
+    def sets(at: np.ndarray) -> np.ndarray:
+        """The sets of these rows as lines.py compares them: the row's place, then 44 bits of hash."""
+        own = [each[k] for k in which[at]]
+        place = np.repeat(np.arange(len(at), dtype=np.uint64), [len(x) for x in own])
+        return (place << np.uint64(64 - LINE_BITS)) | ((np.concatenate(own) if own else np.zeros(0, np.uint64)) >> np.uint64(LINE_BITS))
+
+    us, vs, joined = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {}
+
+    def link(x: np.ndarray, y: np.ndarray) -> None:
+        new = joining(root[x].tolist(), root[y].tolist(), joined)
+        us.append(lid[x[new]]), vs.append(lid[y[new]])
+
+    starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    for s, e in zip(starts, np.append(starts[1:], len(g)), strict=True):
+        i, j = s + np.flatnonzero(left[s:e]), s + np.flatnonzero(~left[s:e])
+        if not len(i) or not len(j):
+            continue
+        if len(j) >= 64:
+            planes = BitPlanes(fp[j].view(np.uint64))
+            near = np.concatenate([np.unpackbits(planes.within(fp[i[at : at + 256]].view(np.uint64), radius).view(np.uint8), axis=1, bitorder="little")[:, : len(j)] for at in range(0, len(i), 256)]).astype(bool)
+        else:
+            near = np.bitwise_count((fp[i][:, None] ^ fp[j]).view(np.uint64)) <= radius
+        a, b = np.nonzero(near)
+        x, y = i[a], j[b]
+        may = (root[x] != root[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])) & (~(other[x] & other[y]) | (lid[x] < lid[y]))
+        a, b = a[may], b[may]
+        if len(a) > 8 * (len(i) + len(j)):  # many pairs of few rows: count what they share by a matrix product
+            yes = product(sets(i), sets(j), len(i), len(j), threshold)[a, b]
+            link(i[a[yes]], j[b[yes]])
+        for at in range(0, 0 if len(a) > 8 * (len(i) + len(j)) else len(a), 1024):
+            x, y = i[a[at : at + 1024]], j[b[at : at + 1024]]
+            yes = alike(sets(x), sets(y), len(x), threshold)
+            link(x[yes], y[yes])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
 
 def near_copies(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, radius: int = RADIUS) -> DataFrame:
@@ -163,10 +196,8 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, ra
     met = written(buckets.join(buckets.groupBy("b").agg(F.count("*").alias("k")).where("k > 1").select("b"), "b", "left_semi").select(buckets.columns), "met")
     pairs = cut(_lead_pairs(met, threshold, radius))
     roots = components(_similar(pairs, nodes, docs, shingle, threshold))
-    rest = cut(_block_pairs(met, roots, threshold, radius).join(pairs, ["u", "v"], "left_anti"))
-    if not rest.isEmpty():
-        edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        roots = components(edges.unionByName(_similar(rest, nodes, docs, shingle, threshold)))
+    edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = components(edges.unionByName(_block_links(met, roots, nodes, docs, shingle, threshold, radius)))
     named = nodes.join(roots, nodes["lid"] == roots["node"], "left").select("digest", "at", F.coalesce("root", "lid").alias("root"))
     least = named.groupBy("root").agg(F.min("at").alias("at"))
     kept = cut(least.select(F.col("at.content").alias("content"), F.lit(True).alias("kept")))
