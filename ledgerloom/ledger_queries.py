@@ -167,10 +167,11 @@ def _heads(t: Tables) -> DataFrame:
     return t("conclusions").join(own, "id")
 
 
-@query(_FROZEN + " SELECT task_id, stable_feature_id, path AS feature_name, conclusion_type <> 'INSUFFICIENT_EVIDENCE' AS generation_eligible, row_number() OVER (PARTITION BY task_id ORDER BY stable_feature_id) AS stable_sequence, id AS conclusion_id FROM ids")
+@query(_FROZEN + """ SELECT task_id, stable_feature_id, path AS feature_name, conclusion_type <> 'INSUFFICIENT_EVIDENCE' AS generation_eligible, row_number() OVER (PARTITION BY task_id ORDER BY stable_feature_id) AS stable_sequence, id AS conclusion_id,
+  substr(h,1,8) || '-' || substr(h,9,4) || '-3' || substr(h,14,3) || '-' || substr('89ab', 1 + (instr('0123456789abcdef', substr(h,17,1)) - 1) % 4, 1) || substr(h,18,3) || '-' || substr(h,21,12) AS id FROM (SELECT *, md5(task_id || chr(31) || stable_feature_id) AS h FROM ids)""")
 def frozen_targets(t: Tables) -> DataFrame:
     targets, _ = V.freeze(t("candidates"), _heads(t))
-    return targets.select("task_id", "stable_feature_id", "feature_name", "generation_eligible", big(c("stable_sequence")).alias("stable_sequence"), c("source.conclusion_id").alias("conclusion_id"))
+    return targets.select("task_id", "stable_feature_id", "feature_name", "generation_eligible", big(c("stable_sequence")).alias("stable_sequence"), c("source.conclusion_id").alias("conclusion_id"), "id")
 
 
 @query(
@@ -588,3 +589,12 @@ def refused_batches(t: Tables) -> DataFrame:
     )
     audit = rows.select(batch, F.when(part % 6 == 0, "Else").otherwise(path).alias("subject"), F.when(part % 10 == 0, "none").otherwise(F.concat(F.lit("candidateIds="), "occurrence_id")).alias("evidence"))
     return V.refused_batches(targets, audit, cases)
+
+
+@query(""", r AS (SELECT 'N' || o_orderkey AS requested_id, CASE WHEN o_orderkey % 6 > 0 THEN 'key' || (o_custkey % 50) END AS idempotency_key FROM units), s AS (SELECT 'key' || created AS idempotency_key, task_id FROM tasks WHERE created < 20)
+  SELECT r.idempotency_key, requested_id, coalesce(s.task_id, CASE WHEN r.idempotency_key IS NOT NULL THEN min(requested_id) OVER (PARTITION BY r.idempotency_key) END, requested_id) AS task_id,
+  s.task_id IS NULL AND (r.idempotency_key IS NULL OR requested_id = min(requested_id) OVER (PARTITION BY r.idempotency_key)) AS is_new FROM r LEFT JOIN s USING (idempotency_key)""")
+def idempotent_creation(t: Tables) -> DataFrame:
+    stored = t("tasks").where("created < 20").select("task_id", F.concat(F.lit("key"), "created").alias("idempotency_key"))
+    requests = t("units").select(F.concat(F.lit("N"), "o_orderkey").alias("task_id"), F.when(c("o_orderkey") % 6 > 0, F.concat(F.lit("key"), c("o_custkey") % 50)).alias("idempotency_key"))
+    return K.created_once(stored, requests)

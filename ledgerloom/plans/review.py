@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.functions.ids import UNIT
+from ledgerloom.functions.ids import UNIT, name_uuid
 from ledgerloom.operators.ledger import check_unique, coverage, numbered
 
 CONTENT = ["feature_text", "category", "evidence_text"]
@@ -50,6 +50,7 @@ def freeze(candidates: DataFrame, conclusions: DataFrame) -> tuple[DataFrame, Da
         (F.col("conclusion_type") != "INSUFFICIENT_EVIDENCE").alias("generation_eligible"),
         F.struct(F.col("id").alias("conclusion_id"), "conclusion_type", F.array_sort("candidate_ids").alias("candidate_ids"), F.col("explanation").alias("decision_reason")).alias("source"),
     )
+    targets = targets.withColumn("id", name_uuid(F.concat_ws(UNIT, "task_id", "stable_feature_id")))
     targets = numbered(targets, ["task_id"], [F.col("stable_feature_id")], "stable_sequence")
     row = lambda df, rule, key, detail: df.select(F.lit(rule).alias("rule"), F.col(key).alias("key"), detail.alias("detail"))
     covered = conclusions.select("task_id", F.explode("candidate_ids").alias("candidate"))

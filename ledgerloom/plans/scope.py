@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,3 +108,27 @@ def usable_examples(chosen: DataFrame, documents: DataFrame) -> DataFrame:
     good = (F.col("parse_status") == "completed") & (F.col("enable_status") == "enabled")
     known = documents.where(good).select("knowledge_base_id", F.col("id").alias("document_id"), F.lit(True).alias("usable")).distinct()
     return chosen.join(known, ["knowledge_base_id", "document_id"], "left").withColumn("usable", F.coalesce("usable", F.lit(False)))
+
+
+class Snapshot:
+    """A frame that is loaded at most once in ``ttl_seconds``, or when a refresh is asked for. It is computed before it
+    takes the place of the one before, which stays if that fails; callers meanwhile wait for one load, not several."""
+
+    def __init__(self, load: Callable[[], DataFrame], ttl_seconds: float, clock: Callable[[], float] = time.monotonic):
+        self._load, self._ttl, self._clock = load, ttl_seconds, clock
+        self._lock, self._held, self._loaded_at = threading.Lock(), None, 0.0
+
+    def _fresh(self, since: float | None) -> bool:
+        return self._held is not None and (self._loaded_at + self._ttl > self._clock() if since is None else self._loaded_at > since)
+
+    def get(self, refresh: bool = False) -> DataFrame:
+        asked = self._clock() if refresh else None
+        if not self._fresh(asked):
+            with self._lock:
+                if not self._fresh(asked):
+                    new = self._load().cache()
+                    new.count()
+                    old, self._held, self._loaded_at = self._held, new, self._clock()
+                    if old is not None:
+                        old.unpersist()
+        return self._held

@@ -263,3 +263,13 @@ def shown_flags(details: DataFrame) -> DataFrame:
     )
     reasons = F.array_join(F.transform(F.filter("batches", lambda b: (b["status"] == "FAILED") & (b["failure_summary"] != "")), lambda b: b["failure_summary"]), "；")
     return details.select("task_id", (~s.isin(TERMINAL)).alias("can_cancel"), failed.alias("has_failed_batch"), ((s == "FAILED") | (s == "PARTIAL") & failed).alias("can_retry"), ((s == "FAILED") & ~failed).alias("is_discovery_retry"), reasons.alias("batch_failures"), active.alias("active_stage"))
+
+
+def created_once(stored: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requests`` (task_id, idempotency_key) with the id that each gets and whether it is new: a key's stored task, or else
+    the key's smallest request, is the task of all requests with the key. Requests without a key are tasks of their own."""
+    known = stored.where("idempotency_key IS NOT NULL").select("idempotency_key", F.col("task_id").alias("stored_id"))
+    first = requests.where("idempotency_key IS NOT NULL").groupBy("idempotency_key").agg(F.min("task_id").alias("first_id"))
+    out = requests.join(known, "idempotency_key", "left").join(first, "idempotency_key", "left")
+    own = F.coalesce("stored_id", "first_id", "task_id")
+    return out.select("idempotency_key", F.col("task_id").alias("requested_id"), own.alias("task_id"), (F.col("stored_id").isNull() & (own == F.col("task_id"))).alias("is_new"))

@@ -315,3 +315,23 @@ def test_numbers_in_ranges_are_those_of_a_window(spark):
     one, many = (sorted(map(str, x.collect())) for x in (L.numbered(df, ["g"], [F.col("n")]), L.numbered_in_ranges(df, ["g"], ["n"])))
     assert one == many
     assert L.numbered_in_ranges(df.limit(0), ["g"], ["n"]).count() == 0
+
+
+def test_snapshot_is_swapped_only_when_it_is_whole(spark):
+    from ledgerloom.plans.scope import Snapshot
+
+    now, loads = [0.0], []
+
+    def load():
+        loads.append(len(loads))
+        return spark.range(len(loads)) if len(loads) != 2 else spark.range(1).select(F.raise_error(F.lit("broken")).alias("id"))
+
+    s = Snapshot(load, 10, lambda: now[0])
+    assert s.get().count() == 1 and s.get().count() == 1 and len(loads) == 1
+    now[0] = 11.0
+    with pytest.raises(Exception, match="broken"):
+        s.get()
+    now[0] = 5.0
+    assert s.get().count() == 1 and len(loads) == 2
+    now[0] = 6.0
+    assert s.get(refresh=True).count() == 3 and len(loads) == 3
