@@ -126,7 +126,7 @@ def test_blocks_of_a_bucket(spark, monkeypatch):
     from ledgerloom.llm import lines
 
     r = random.Random(3)
-    docs = [(k, x) for k, x in enumerate(family(r, 150, 3, 30))]
+    docs = [(k, x) for k, x in enumerate(family(r, 150, 2, 40))]
     df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
     whole = sorted((x.doc_id, x.n_removed) for x in dedup_lines(df).collect())
     monkeypatch.setattr(lines, "BLOCK", 16)
