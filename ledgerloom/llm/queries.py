@@ -215,3 +215,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.pieces import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), end_id=2, with_ids=False)
