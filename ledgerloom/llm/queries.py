@@ -222,3 +222,61 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.pieces import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), end_id=2, with_ids=False)
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.merkle import document_manifest
+
+    return document_manifest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_merkle"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT DISTINCT doc_id, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda x, b: list_reduce(
+      [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END, xor(x, b)), 4294967295::BIGINT) AS c
+  FROM documents WHERE doc_id IS NOT NULL
+), raw AS (
+  SELECT d.*, CASE WHEN (4294967295 - c) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS text2 FROM documents d LEFT JOIN crc USING (doc_id)
+), f AS (
+  SELECT doc_id, source, text, text2, array_to_string(list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR], lambda x: coalesce(strlen(x) || ':' || x, '-')), '') AS head FROM raw
+), h AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(text2) || ':' || text2, '-')) AS found FROM f
+), leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS sid, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS n, row_number() OVER () AS r FROM h
+), low AS (
+  SELECT sid, 0 AS lvl, pos, n, leaf AS node FROM leaves
+  UNION ALL
+  SELECT sid, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY sid, lvl, pos // 3, n
+), subroots AS (
+  SELECT sid, node AS subroot, count(*) OVER () AS n FROM low WHERE n = 1
+), high AS (
+  SELECT 0 AS lvl, sid AS pos, n, subroot AS node FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY lvl, pos // 3, n
+), met AS (
+  SELECT r, lvl AS step, a.pos AS place, a.pos < l.pos // CAST(3 ** lvl AS BIGINT) AS before, node FROM leaves l JOIN low a ON a.sid = l.sid AND a.n > 1
+    AND a.pos // 3 = l.pos // CAST(3 ** (lvl + 1) AS BIGINT) AND a.pos <> l.pos // CAST(3 ** lvl AS BIGINT)
+  UNION ALL
+  SELECT r, 1000 + lvl, a.pos, a.pos < l.sid // CAST(3 ** lvl AS BIGINT), node FROM leaves l JOIN high a ON a.n > 1
+    AND a.pos // 3 = l.sid // CAST(3 ** (lvl + 1) AS BIGINT) AND a.pos <> l.sid // CAST(3 ** lvl AS BIGINT)
+), levels AS (
+  SELECT r, lvl AS step FROM leaves l JOIN (SELECT DISTINCT sid, lvl FROM low WHERE n > 1) USING (sid)
+  UNION ALL
+  SELECT r, 1000 + lvl FROM leaves, (SELECT DISTINCT lvl FROM high WHERE n > 1)
+), runs AS (
+  SELECT r, row_number() OVER (PARTITION BY r ORDER BY step) AS k, coalesce(string_agg(node, '' ORDER BY place) FILTER (before), '') AS a,
+         coalesce(string_agg(node, '' ORDER BY place) FILTER (NOT before), '') AS b
+  FROM levels LEFT JOIN met USING (r, step) GROUP BY r, step
+), folds AS (
+  SELECT r, 0 AS k, found AS node FROM leaves
+  UNION ALL
+  SELECT r, folds.k + 1, sha256(a || node || b) FROM folds JOIN runs USING (r) WHERE runs.k = folds.k + 1
+), proofs AS (
+  SELECT r, sha256(string_agg(a || b, '' ORDER BY k)) AS proof_sha256 FROM runs GROUP BY r
+)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subroots USING (sid) JOIN (SELECT r, arg_max(node, k) AS folded_root FROM folds GROUP BY r) USING (r) LEFT JOIN proofs USING (r),
+     (SELECT node AS root FROM high WHERE n = 1)
+"""
