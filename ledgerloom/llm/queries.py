@@ -280,3 +280,31 @@ SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_
 FROM leaves JOIN subroots USING (sid) JOIN (SELECT r, arg_max(node, k) AS folded_root FROM folds GROUP BY r) USING (r) LEFT JOIN proofs USING (r),
      (SELECT node AS root FROM high WHERE n = 1)
 """
+
+
+@query
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.lexical import build_index, search
+
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLES["op11_lexical"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), q AS (
+  SELECT row_number() OVER () AS i, item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark
+), s AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0
+), tf AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term
+), wt AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, s GROUP BY term, n_docs
+), gain AS (
+  SELECT r, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(d.w)::BIGINT * n_docs) // n_terms))) AS gain FROM tf JOIN d USING (r) JOIN wt USING (term), s
+), scored AS (
+  SELECT i, item_id, r, sum(gain)::BIGINT AS score FROM q JOIN gain USING (term) GROUP BY i, item_id, r
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT i, item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scored JOIN d USING (r) WHERE score > 0) WHERE rank <= 10
+"""

@@ -50,10 +50,13 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         at = end
 
 
-def split_words(column: pa.Array) -> tuple[pa.LargeBinaryArray, np.ndarray]:
-    """All words of all texts in order, and the n + 1 word offsets of the texts."""
+def split_words(column: pa.Array, space: np.ndarray = _SPACE, folded: np.ndarray | None = None) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """All words of all texts in order, and the n + 1 word offsets of the texts. ``space`` marks the bytes that no word
+    has, ``folded`` gives the bytes to write in place of those of words."""
     data, offsets = buffers(as_binary(column))
-    keep = ~_SPACE[data]
+    keep = ~space[data]
+    if folded is not None:
+        data = folded[data]
     before = np.empty_like(keep)
     before[:1] = False
     before[1:] = keep[:-1]
