@@ -37,17 +37,21 @@ IMPLIED_END = {
     "option": ({"option"}, {"select", "datalist"}),
 }
 DROPPED = frozenset(
-    "head script style title textarea xmp iframe noembed noframes noscript nav footer aside form button select option datalist "
-    "input label fieldset object embed applet svg math canvas audio video map template dialog menu search".split()
+    "head script style title textarea xmp iframe noembed noframes noscript nav footer aside button select option datalist "
+    "input label object embed applet svg canvas audio video map template dialog menu search".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status".split())
 NEGATIVE = frozenset(
-    "ad ads adsense advert advertisement advertising adverts banner breadcrumb breadcrumbs byline comment comments commentlist "
-    "consent cookie cookies disclaimer disqus feedback footer foot form header hidden login masthead menu menus meta modal nav navbar navigation "
-    "newsletter notice notices notification overlay pager pagination paging popup promo promoted promotion recommended related remark replies reply "
-    "respond rss share sharing shoutbox sidebar signup skyscraper social sponsor sponsored subscribe subscription tags toolbar "
+    "ad ads adsense advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist "
+    "consent cookie cookies disclaimer disqus feedback footer foot form hidden login masthead menu menus modal nav navbar navigation "
+    "newsletter notice notices notification overlay pager pagination paging popup promo promoted promotion recommended related replies reply "
+    "respond rss share sharing shoutbox sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar "
     "toc tracking widget".split()
 )
+#: readers' comments, whatever else they are called
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond shoutbox".split())
+#: a name that begins so tells what stands beside an element, or doesn't
+MODIFIERS = frozenset("has with without no not".split())
 POSITIVE = frozenset("article articles body content entry hentry main page post story text".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd div section article main figcaption body center".split())
 #: paragraphs of these kinds pass their points to the parent, others hold them themselves
@@ -67,32 +71,45 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 MIN_PARAGRAPH = 25
 
 
+#: how sure it is that an element is no part of an article: by part of a name, by a whole name, by kind, role or style
+MAYBE, NAMED, CERTAIN = 1, 2, 3
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "score")
+    __slots__ = ("tag", "parent", "children", "doubt", "header", "dropped", "score")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, doubt: int, header: bool = False):
+        self.tag, self.parent, self.doubt, self.header, self.dropped = tag, parent, doubt, header, doubt > 0
         self.children: list[Node | str] = []
         self.score = 0.0
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
-    """Whether the element's kind, role, names or style say that it is no part of an article."""
+def _doubt(tag: str, attributes: str) -> tuple[int, bool]:
+    """How sure the element's kind, role, names or style make it that it is no part of an article; whether it is a header."""
     if tag in DROPPED:
-        return True
+        return CERTAIN, False
+    least = MAYBE if tag == "form" else 0
     if not attributes or attributes.isspace() or tag in ("html", "body"):
-        return False
+        return least, tag == "header"
     found = {m[1].lower(): references.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")):
-        return True
-    if found.get("role", "").lower() in DROPPED_ROLES:
-        return True
+        return CERTAIN, False
+    if (role := found.get("role", "").lower()) in DROPPED_ROLES and not (tag == "form" and role == "form"):
+        return CERTAIN, False
     names = [*found.get("class", "").split(), *found.get("id", "").split()]
-    if any(n.lower() in POSITIVE for n in names):
-        return False
+    whole = {n.lower() for n in names}
+    if whole & COMMENTS:
+        return CERTAIN, False
+    if whole & POSITIVE:
+        return least, tag == "header"
+    if whole & NEGATIVE:
+        return NAMED, False
     if tag not in CONTAINERS:
-        return any(n.lower() in NEGATIVE for n in names)
-    return any(p.lower() in NEGATIVE for n in names for p in _PARTS.findall(n))
+        return least, tag == "header"
+    parts = [[p.lower() for p in _PARTS.findall(n)] for n in names]
+    parts = [own for own in parts if own and own[0] not in MODIFIERS]
+    header = any("header" in own and not POSITIVE.intersection(own) for own in parts)
+    return MAYBE if any(NEGATIVE.intersection(own) for own in parts) else least, header
 
 
 class _Open:
@@ -140,7 +157,7 @@ class _Open:
 def parse(page: str) -> Node:
     """The tree of a page. Markup that is not well formed is read as browsers do in the common cases:
     implied end tags, stray end tags, unquoted or unclosed attributes; never an error."""
-    root = Node("#root", None, False)
+    root = Node("#root", None, 0)
     opened = _Open(root)
     at, size = 0, len(page)
     while at < size:
@@ -182,7 +199,7 @@ def parse(page: str) -> Node:
                 opened.close(len(opened.stack) - 1)
         if tag in IMPLIED_END:
             opened.close_implied(*IMPLIED_END[tag])
-        new = Node(tag, opened.node, _unwanted(tag, m[3]))
+        new = Node(tag, opened.node, *_doubt(tag, m[3]))
         opened.node.children.append(new)
         if tag in RAW:
             end = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
@@ -261,11 +278,70 @@ def _scores(root: Node, density: Callable[[Node], float]) -> None:
             n.parent.score += n.score / 2
 
 
+def _rescue(root: Node) -> None:
+    """Takes back doubtful elements that hold the article: by part of a name, and forms, if they hold more paragraph text
+    than all that is kept; by a whole name if nothing is kept at all. The one with most text comes first. Where an
+    article or main element has text, only what is inside of one."""
+    every: list[Node] = []
+    inside: set[int] = set()
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        if n.doubt < CERTAIN:
+            every.append(n)
+            if n.tag in ("article", "main") or id(n.parent) in inside:
+                inside.add(id(n))
+            stack += [c for c in n.children if type(c) is Node]
+    named = any(n.tag in ("article", "main") and any(not x.isspace() for x in _text(n, set())) for n in _walk(root))
+    if not any(n.dropped and (not named or id(n) in inside) for n in every):
+        return
+    # paragraph text in an element: without doubtful elements inside, with those by part of a name, with all
+    own: dict[int, tuple[int, int, int]] = {}
+    for n in reversed(every):
+        size = len(text) if n.tag in PARAGRAPHS and len(text := _own_text(n)) >= MIN_PARAGRAPH else 0
+        kept = most = whole = size
+        for c in n.children:
+            if type(c) is Node and c.doubt < CERTAIN:
+                inner = own[id(c)]
+                kept, most, whole = kept + (0 if c.dropped else inner[0]), most + (0 if c.doubt == NAMED else inner[1]), whole + inner[2]
+        own[id(n)] = (kept, most, whole)
+
+    def doubtful(top: Node) -> list[Node]:
+        """The outermost dropped elements under a kept one."""
+        out, stack = [], [top]
+        while stack:
+            for c in stack.pop().children:
+                if type(c) is Node and c.doubt < CERTAIN:
+                    (out if c.dropped else stack).append(c)
+        return [n for n in out if not named or id(n) in inside]
+
+    outside, waiting = own[id(root)][0], doubtful(root)
+    while waiting:
+        best = max(waiting, key=lambda n: (n.doubt == MAYBE, own[id(n)][1:]))
+        if best.doubt == NAMED or own[id(best)][1] <= outside:
+            best = max(waiting, key=lambda n: own[id(n)][2])
+            if outside or not own[id(best)][2]:
+                return
+        kept = own[id(best)][0]
+        best.dropped = False
+        outside += kept
+        waiting.remove(best)
+        waiting += doubtful(best)
+
+
+def _is_menu(n: Node, size: tuple[int, int, int], later: bool) -> bool:
+    """Whether a block of links is a menu: of three links at least and little else, with short entries, and no more of
+    the article after it."""
+    text, links, count = size
+    return n.tag in ("ul", "ol", "div", "table") and count >= 3 and links >= 0.8 * text and not later and links < MIN_PARAGRAPH * count
+
+
 def main_text(page: str | None) -> str:
     """The article's text of a page, its blocks joined by one space; empty if there is none.
 
     The container of the best score is kept whole, or the article or else the main element that encloses it, with its
-    siblings; what ``_unwanted`` names goes, as do link lists outside an article.
+    siblings; what ``_doubt`` names goes unless ``_rescue`` takes it back, as do menus outside an article. A page's
+    header goes, an article's own header stays.
     """
     if not page:
         return ""
@@ -274,8 +350,9 @@ def main_text(page: str | None) -> str:
     for n in _walk(root):
         if n.tag in ("article", "main") or id(n.parent) in inside:
             inside.add(id(n))
-        elif n.tag == "header":  # a page's header is no part of the article; an article's own header is
-            n.dropped = True
+        elif n.header:
+            n.doubt, n.dropped = MAYBE, True
+    _rescue(root)
     sizes = _sizes(root)
     density = lambda n: sizes[id(n)][1] / max(1, sizes[id(n)][0])
     _scores(root, density)
@@ -292,15 +369,19 @@ def main_text(page: str | None) -> str:
         best = best.parent  # a wrapper without text of its own
     keep: list[Node | str] = [best]
     if best.parent is not None and best.tag not in ("main", "body"):
-        keep = [n for n in best.parent.children if n is best or type(n) is str or not n.dropped and not (sizes[id(n)][2] and density(n) >= 0.5)]
+        keep = [n for n in best.parent.children if n is best or type(n) is str or not n.dropped and (n.tag in ("p", *HEADINGS) or not (sizes[id(n)][2] and density(n) >= 0.5))]
     menus: set[int] = set()
-    stack = [(n, n.tag == "article") for n in keep if type(n) is Node]
+    stack = [(n, n.tag == "article", False) for n in keep if type(n) is Node]
     while stack:
-        n, named = stack.pop()
-        if not named and n is not best and n.tag in ("ul", "ol", "div", "table") and sizes[id(n)][2] >= 3 and density(n) >= 0.8:
+        n, named, later = stack.pop()
+        if not named and n is not best and _is_menu(n, sizes[id(n)], later):
             menus.add(id(n))
-        else:
-            stack += [(c, named or c.tag == "article") for c in n.children if type(c) is Node and not c.dropped]
+            continue
+        for c in reversed(n.children):
+            if type(c) is Node and not c.dropped:
+                stack.append((c, named or c.tag == "article", later))
+                text, links, _ = sizes[id(c)]
+                later = later or c.tag in PARAGRAPHS and text - links >= MIN_PARAGRAPH
     return " ".join(" ".join(n if type(n) is str else "".join(_text(n, menus)) for n in keep).split())
 
 

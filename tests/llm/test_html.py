@@ -62,6 +62,60 @@ def test_inside_an_article_only_what_is_named_goes():
     assert main_text(f"<main><article>{PS}</article><article><p>{S1}</p></article><div class='related'>{PS}</div></main>") == f"{ALL} {S1}"
 
 
+NAV = "<nav><ul><li><a href=/>Home</a><li><a href=/n>News, and more news than anyone can read</a></ul></nav>"
+WRAPPERS = [
+    "div class='content-area has-sidebar'", "div class='layout with-sidebar'", "div class='social-issues'", "form id=aspnetForm", "form role=form class=page-form",
+    "div class='modal'", "div id=overlay", "section class='widgetArea'", "div class='page-header-offset'", "div class='no-comments'", "div class='sharedLayout ad-free'",
+    "form id=f><div class='site-menu-layout'", "div class=modal><form", "header",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<div class=content>{}</div>", "<main><section>{}</section></main>", "<table><tr><td>{}</td></tr></table>"])
+def test_no_wrapper_hides_the_article(wrapper, inner):
+    for comments in ("", f"<div class='comment post'><p>{S1}</p></div>", f"<ol class=commentlist><li class='comment'><p>{S2}</p></li></ol>"):
+        page = f"<html><body>{NAV}<{wrapper}>{inner.format(PS)}{comments}</{wrapper.split()[0]}><div class='ad'>Buy, buy, buy this great thing today, it is cheap.</div></body></html>"
+        assert main_text(page) == ALL, page
+
+
+@pytest.mark.parametrize(
+    "part, text",
+    [
+        ("<div class='entry-header'><h1>Head</h1></div>", "Head"),
+        ("<div class='header'><h1>Head</h1></div>", "Head"),
+        ("<p class='byline'>By one of us</p>", "By one of us"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", "so x=1 holds"),
+        ("<fieldset><p>Framed</p></fieldset>", "Framed"),
+        ("<div class='tags'>red, green</div>", "red, green"),
+        ("<div class='entry-meta'>1 May</div>", "1 May"),
+    ],
+)
+def test_parts_of_an_article(part, text):
+    assert main_text(f"<article>{part}{PS}</article>") == f"{text} {ALL}"
+
+
+def test_links_inside_the_content_stay():
+    links = "<ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul>"
+    assert main_text(f"<body>{NAV}<div class=content>{PS}{links}<p>{S1}</p></div></body>") == f"{ALL} one two three {S1}"
+    assert main_text(f"<body><div><p>{S1}</p><p>{S2}</p></div><p><a href=x>The one link of this paragraph</a></p></body>") == f"{S1} {S2} The one link of this paragraph"
+    assert main_text(f"<body>{NAV}<div>{PS}<ul><li><a href=1>{S1}</a><li><a href=2>{S2}</a><li><a href=3>{S3}</a></ul></div></body>") == f"{ALL} {ALL}"
+    assert main_text(f"<body><div class=menu-top>{links}</div><div>{links}</div><div class=content>{PS}{links}</div></body>") == ALL
+
+
+def test_a_short_article_is_not_replaced():
+    ad = "<div class='ad'>Buy, buy, buy this great thing today, it is cheap.</div>"
+    assert main_text(f"<body>{ad}<article><h1>Brief.</h1><p>Yes.</p></article>") == "Brief. Yes."
+    assert main_text(f"<body>{ad}<main><h1>Head</h1><form>{PS}</form></main>") == f"Head {ALL}"
+    assert main_text(f"<body><form>{ad}<p>Yes.</p></form></body>") != ""
+
+
+def test_comments_never_stand_in_for_the_article():
+    many = "".join(f"<div class='comment entry'><p>{S2}</p></div>" for _ in range(30))
+    assert main_text(f"<body><div><p>{S1}</p></div><div id=comments>{many}</div></body>") == S1
+    assert main_text(f"<body><div><p>{S1}</p></div>{many}</body>") == S1
+    assert main_text(f"<body><article><p>{S1}</p></article><form class=comment-form><p>{S2}</p><textarea></textarea></form></body>") == S1
+
+
 def test_many_nested_or_stray_tags_take_linear_time():
     import time
 
