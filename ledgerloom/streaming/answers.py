@@ -50,12 +50,12 @@ def fold_stream(events: DataFrame, limit: int = MAX_CHARACTERS, timeout_ms: int
                 yield pd.DataFrame({"stream_id": [key[0]], "answer": [None], "status": ["unterminated"]})
             return
         status = None
-        for batch in batches:
-            for kind, content in batch.sort_values("seq")[["kind", "content"]].itertuples(index=False):
-                if ended or status:
-                    continue
-                answer += content or ""
-                status = kind if kind in ("complete", "error") else "oversized" if len(answer) > limit else None
+        # a stream's events of a micro-batch may come in several Arrow batches, in any order
+        for kind, content in pd.concat(batches).sort_values("seq")[["kind", "content"]].itertuples(index=False):
+            if ended or status:
+                break
+            answer += content or ""
+            status = kind if kind in ("complete", "error") else "oversized" if len(answer) > limit else None
         if status:
             state.update(("", True))
             state.setTimeoutDuration(timeout_ms)
