@@ -3,13 +3,17 @@ DuckDB SQL. Frames are those of ``ledger_queries`` and a few more, made from the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import ledger_queries as Q
+from ledgerloom.operators.tables import shared_dir
+from ledgerloom.sinks.accepted import AcceptedStore
 from ledgerloom.streaming import calls as C
+from ledgerloom.streaming import leases as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +86,41 @@ def _raw(turns: DataFrame) -> DataFrame:
   FROM (SELECT *, why = 'complete' AND size <= 12 AS told FROM t)""")
 def answer_calls(t: Tables) -> DataFrame:
     return C.fold(C.classify(_raw(t("turns")), skill="reader", max_characters=1000), limit=12, evidence=True)
+
+
+# Leases and acceptance
+
+
+@query(None)
+def lease_changes(t: Tables) -> DataFrame:
+    """Users are pools, events tell of tasks; a sequence by pool, which SQL does not express."""
+    kind = F.when(c("event_type") == "view", "queued").when(c("event_type") == "click", "done").when(c("event_type") == "error", "failed").otherwise("beat")
+    events = t("events").select(F.concat(F.lit("P"), c("user_id") % 50).alias("pool"), F.concat(F.lit("T"), F.floor(c("event_id") / 8)).alias("task_id"), kind.alias("kind"), c("ts").alias("at"))
+    return S.lease_log(events, slots=5, lease_ms=300_000)
+
+
+def _deliver(store: AcceptedStore, rows: DataFrame) -> AcceptedStore:
+    """Three epochs, the second delivered twice, and the first one's rows once more at the end."""
+    for number, epoch in enumerate((0, 1, 1, 2, 0)):
+        store.accept(rows.where(c("epoch") == epoch).drop("epoch"), epoch if number < 4 else 3)
+    return store
+
+
+@query(""", d AS (SELECT 'B' || l_orderkey AS batch_id, 'A' || (part % 3) AS attempt_id, l_linenumber AS row_sequence, CAST(l_linenumber % 3 AS BIGINT) AS epoch FROM lines),
+  f AS (SELECT batch_id, min(epoch) AS epoch FROM d GROUP BY 1), w AS (SELECT batch_id, epoch, min(attempt_id) AS attempt_id FROM d JOIN f USING (batch_id, epoch) GROUP BY 1, 2)
+  SELECT batch_id, attempt_id, row_sequence, epoch FROM d JOIN w USING (batch_id, epoch, attempt_id)""")
+def durable_acceptance(t: Tables) -> DataFrame:
+    rows = t("lines").selectExpr("'B' || l_orderkey AS batch_id", "'A' || (part % 3) AS attempt_id", "l_linenumber AS row_sequence", "l_linenumber % 3 AS epoch")
+    store = AcceptedStore(t.spark, f"{shared_dir(t.spark)}/accepted-{uuid.uuid4().hex}", ["batch_id"], "attempt_id")
+    return _deliver(store, rows).rows()
+
+
+@query(""", d AS (SELECT l_orderkey AS k, l_linenumber AS n, l_linenumber % 3 AS epoch, part % 2 AS v, part % 5 AS w FROM lines)
+  SELECT k, n, 'insert' AS outcome, CAST(epoch AS BIGINT) AS epoch FROM d UNION ALL SELECT k, n, CASE WHEN w = 0 THEN 'conflict' ELSE 'same' END, 3 FROM d WHERE epoch = 0""")
+def replayed_rows(t: Tables) -> DataFrame:
+    rows = t("lines").selectExpr("l_orderkey AS k", "l_linenumber AS n", "l_linenumber % 3 AS epoch", "part % 2 AS v", "part % 5 AS w")
+    store = AcceptedStore(t.spark, f"{shared_dir(t.spark)}/accepted-{uuid.uuid4().hex}", ["k", "n"])
+    for epoch in (0, 1, 2):
+        store.accept(rows.where(c("epoch") == epoch).select("k", "n", "v"), epoch)
+    store.accept(rows.where("epoch = 0").select("k", "n", F.when(c("w") == 0, c("v") + 2).otherwise(c("v")).alias("v")), 3)
+    return store.outcomes()
