@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom import ledger_queries as Q
 from ledgerloom.operators.tables import shared_dir
+from ledgerloom.plans import reconcile as R
+from ledgerloom.plans import rounds as N
 from ledgerloom.sinks.accepted import AcceptedStore
 from ledgerloom.streaming import calls as C
 from ledgerloom.streaming import leases as S
@@ -124,3 +126,40 @@ def replayed_rows(t: Tables) -> DataFrame:
         store.accept(rows.where(c("epoch") == epoch).select("k", "n", "v"), epoch)
     store.accept(rows.where("epoch = 0").select("k", "n", F.when(c("w") == 0, c("v") + 2).otherwise(c("v")).alias("v")), 3)
     return store.outcomes()
+
+
+# Rounds
+
+
+@query(Q._SETTLED + " SELECT task_id, CAST(page AS BIGINT) AS page, path, source_id, type, explanation, reused FROM settled")
+def reconciled_rounds(t: Tables) -> DataFrame:
+    """The model's answers come from a table; every 41st target is left out until it is asked for the second time, and
+    every 43rd while it is asked for with others."""
+    table = t("judged").select("task_id", "occurrence_id", "type", "explanation", "evidence").join(t("candidates").select("occurrence_id", "part"), "occurrence_id")
+
+    def ask(requests: DataFrame) -> DataFrame:
+        each = requests.select("task_id", "page", "alone", "attempt", F.explode("targets").alias("t")).select("task_id", "page", "alone", "attempt", "t.occurrence_id")
+        out = each.join(table, ["task_id", "occurrence_id"])
+        return out.where("(part % 41 > 0 OR attempt > 1) AND (part % 43 > 0 OR alone <> '')").select("task_id", "page", "alone", "occurrence_id", "type", F.when(c("type") == "SPLIT", F.concat("explanation", F.lit("<br>Second"))).otherwise(c("explanation")).alias("explanation"), "evidence")
+
+    got = N.reconcile_in_rounds(R.pages(t("candidates")), ask)
+    plain = F.when(c("type") == "SPLIT", F.substring_index("explanation", "<br>", 1)).otherwise(c("explanation"))
+    return got.conclusions.select("task_id", big(c("page")).alias("page"), "path", "source_id", "type", plain.alias("explanation"), "reused")
+
+
+@query(""", found AS (SELECT 'U' || l_orderkey AS unit_id, 'L' || (part % 7) AS line, 1 + part % 3 AS at_pass, l_orderkey % 50 = 0 AS fails FROM lines),
+  firsts AS (SELECT unit_id, line, min(at_pass) AS at_pass, max(fails) AS fails FROM found GROUP BY 1, 2),
+  u AS (SELECT unit_id, max(fails) AS fails, CASE WHEN NOT bool_or(at_pass = 1) THEN 1 WHEN NOT bool_or(at_pass = 2) THEN 2 WHEN NOT bool_or(at_pass = 3) THEN 3 ELSE 4 END AS n FROM firsts GROUP BY 1),
+  e AS (SELECT unit_id, CASE WHEN fails AND n >= 2 THEN 2 ELSE n END AS passes, fails AND n >= 2 AS failed FROM u)
+  SELECT unit_id, CAST(passes AS BIGINT) AS passes, NOT failed AS converged, failed, (SELECT count(*) FROM firsts f WHERE f.unit_id = e.unit_id AND f.at_pass < e.passes) AS accepted FROM e""")
+def scanned_rounds(t: Tables) -> DataFrame:
+    """A pass finds the lines of its own number and all before; every 50th unit's second pass fails."""
+    found = t("lines").selectExpr("'U' || l_orderkey AS unit_id", "'L' || (part % 7) AS line", "1 + part % 3 AS at_pass", "l_orderkey % 50 = 0 AS fails")
+
+    def scan(asked: DataFrame, added: DataFrame | None, number: int) -> tuple[DataFrame, DataFrame]:
+        rows = found.join(asked, "unit_id", "left_semi")
+        return rows.where(c("at_pass") <= number).select("unit_id", "line"), rows.where(F.lit(number == 2) & c("fails")).select("unit_id").distinct()
+
+    got = N.scan_in_rounds(found, scan, unit=["unit_id"], content=["line"], max_passes=None)
+    counts = got.accepted.groupBy("unit_id").agg(F.count("*").alias("accepted"))
+    return got.units.join(counts, "unit_id", "left").select("unit_id", big(c("passes")).alias("passes"), "converged", "failed", F.coalesce("accepted", F.lit(0)).alias("accepted"))
