@@ -13,6 +13,7 @@ from ledgerloom import ledger_queries as Q
 from ledgerloom.operators.tables import shared_dir
 from ledgerloom.plans import reconcile as R
 from ledgerloom.plans import rounds as N
+from ledgerloom.plans.live import LiveProgress
 from ledgerloom.sinks.accepted import AcceptedStore
 from ledgerloom.streaming import calls as C
 from ledgerloom.streaming import leases as S
@@ -163,3 +164,31 @@ def scanned_rounds(t: Tables) -> DataFrame:
     got = N.scan_in_rounds(found, scan, unit=["unit_id"], content=["line"], max_passes=None)
     counts = got.accepted.groupBy("unit_id").agg(F.count("*").alias("accepted"))
     return got.units.join(counts, "unit_id", "left").select("unit_id", big(c("passes")).alias("passes"), "converged", "failed", F.coalesce("accepted", F.lit(0)).alias("accepted"))
+
+
+# Progress from changes
+
+
+@query("," + Q.ORACLES["task_progress"].removeprefix(Q.WITH).lstrip().removeprefix(","))
+def live_progress(t: Tables) -> DataFrame:
+    """Three batches of changes that add up to the frames: half of the rows, with work that is still queued and
+    conclusions of another type; their corrections and the other half; and accepted batches that go and come back."""
+    names = {"documents": "inventory", "units": "units", "work": "work", "candidates": "candidates", "links": "links", "conclusions": "conclusions", "frozen": "targets", "batches": "batches", "cases": "cases"}
+    tables = {k: t(v) for k, v in names.items()}
+    half = {k: F.pmod(F.xxhash64(*df.columns), F.lit(2)) == 0 for k, df in tables.items()}
+    sign = lambda df, n: df.withColumn("sign", F.lit(n))
+    wrong = {"work": ("status", "QUEUED"), "conclusions": ("conclusion_type", "SPLIT")}
+    first, second = {}, {}
+    for k, df in tables.items():
+        first[k], second[k] = sign(df.where(half[k]), 1), sign(df.where(~half[k]), 1)
+        if k in wrong:
+            column, value = wrong[k]
+            early = df.where(~half[k]).withColumn(column, F.lit(value))
+            first[k] = first[k].unionByName(sign(early, 1))
+            second[k] = second[k].unionByName(sign(early, -1))
+    taken = tables["batches"].where("status = 'ACCEPTED'")
+    third = {"batches": sign(taken, -1).unionByName(sign(taken, 1)), "cases": sign(tables["cases"], 1).unionByName(sign(tables["cases"], -1))}
+    live = LiveProgress(t.spark, f"{shared_dir(t.spark)}/live-{uuid.uuid4().hex}")
+    for number, changes in enumerate((first, second, third)):
+        live.apply(changes, number)
+    return live.progress(t("tasks")).select("task_id", *Q.PROGRESS_COLUMNS)

@@ -117,9 +117,10 @@ _PROGRESS = """, per AS (SELECT t.task_id, mode, status, material_documents AS d
   CASE WHEN status = 'COMPLETED' THEN '完整' WHEN status = 'PARTIAL' OR status = 'FAILED' AND ok THEN '审查完整但用例不完整' WHEN status = 'FAILED' THEN '材料或审查失败' WHEN status = 'CANCELLED' THEN '已取消' ELSE '进行中' END AS coverage_status FROM done"""
 )
 def task_progress(t: Tables) -> DataFrame:
-    out = _progress(t)
-    names = "complete_documents total_units processed_units total_work completed_work failed_work pending_function_list pending_requirement_first_pass pending_requirement_second_pass candidates covered_candidates conflicts splits accepted_cases frozen_complete frozen_features expected_cases business_stage coverage_status"
-    return out.select("task_id", *names.split())
+    return _progress(t).select("task_id", *PROGRESS_COLUMNS)
+
+
+PROGRESS_COLUMNS = "complete_documents total_units processed_units total_work completed_work failed_work pending_function_list pending_requirement_first_pass pending_requirement_second_pass candidates covered_candidates conflicts splits accepted_cases frozen_complete frozen_features expected_cases business_stage coverage_status".split()
 
 
 def _progress(t: Tables) -> DataFrame:

@@ -55,7 +55,11 @@ def progress(
     out = tasks
     for p in parts:
         out = out.join(p, "task_id", "left")
-    out = out.fillna(0, [c for c in out.columns if c not in tasks.columns])
+    return derived(out.fillna(0, [c for c in out.columns if c not in tasks.columns]))
+
+
+def derived(out: DataFrame) -> DataFrame:
+    """Tasks and their counts with what follows from them."""
     c = F.col
     complete = (
         (c("mode") == "ALL")

@@ -10,15 +10,13 @@ epoch that is committed is not written again; a unit that a committed epoch hold
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: units are dealt out over so many partitions of an epoch, so that a lookup reads those of its own units only
-BUCKETS = 32
+from ledgerloom.sinks.epochs import BUCKETS, EpochStore
 
 
-class AcceptedStore:
+class AcceptedStore(EpochStore):
     """``rows`` by epoch and bucket; ``outcomes`` (unit, attempt, outcome) by epoch.
 
     With ``attempt``, all rows of a unit's attempt are accepted together, and take the place of nothing: of several
@@ -29,89 +27,31 @@ class AcceptedStore:
     """
 
     def __init__(self, spark: SparkSession, path: str, unit: list[str], attempt: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.path, self.unit, self.attempt, self.buckets = spark, path.rstrip("/"), unit, attempt, buckets
-
-    # files --------------------------------------------------------------------------------------------------------
-
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
-
-    def epochs(self) -> list[int]:
-        """The committed epochs."""
-        fs, where = self._fs(f"{self.path}/commits")
-        if not fs.exists(where):
-            return []
-        return sorted(int(f.getPath().getName()) for f in fs.listStatus(where) if f.getPath().getName().isdigit())
-
-    def commit(self, epoch: int) -> None:
-        """The one step that makes an epoch visible."""
-        fs, made = self._fs(f"{self.path}/commits/_{epoch}")
-        fs.create(made, True).close()
-        _, done = self._fs(f"{self.path}/commits/{epoch}")
-        if not fs.rename(made, done) and not fs.exists(done):
-            raise OSError(f"epoch {epoch} could not be committed")
-
-    def _read(self, kind: str, epochs: list[int]) -> DataFrame | None:
-        if not epochs:
-            return None
-        fs, where = self._fs(f"{self.path}/{kind}")
-        names = {f.getPath().getName() for f in fs.listStatus(where)} if fs.exists(where) else set()
-        paths = [f"{self.path}/{kind}/epoch={e}" for e in epochs if f"epoch={e}" in names]
-        if not paths:
-            return None
-        return self.spark.read.option("basePath", f"{self.path}/{kind}").schema(self._schema(kind, paths[0])).parquet(*paths)
-
-    def _schema(self, kind: str, path: str) -> T.StructType:
-        found = self.spark.read.parquet(path).schema
-        return T.StructType([f for f in found if f.name not in ("epoch", "bucket")] + [T.StructField("epoch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+        super().__init__(spark, path, buckets)
+        self.unit, self.attempt = unit, attempt
 
     def rows(self) -> DataFrame | None:
         """All accepted rows with their epoch; None before anything is accepted."""
-        found = self._read("rows", self.epochs())
+        found = self.read("rows", self.epochs())
         return None if found is None else found.drop("bucket")
 
     def outcomes(self) -> DataFrame | None:
         """What became of every unit that was delivered, with its epoch."""
-        found = self._read("outcomes", self.epochs())
+        found = self.read("outcomes", self.epochs())
         return None if found is None else found.drop("bucket")
 
-    # acceptance ---------------------------------------------------------------------------------------------------
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.unit), F.lit(self.buckets)).cast("int")
-
     def accept(self, incoming: DataFrame, epoch: int) -> None:
         """Writes and commits an epoch; does nothing if it is committed. Fit for ``foreachBatch``."""
         committed = self.epochs()
         if epoch in committed:
             return
-        incoming = incoming.dropDuplicates().withColumn("bucket", self._bucket()).persist()
-        stored = self._read("rows", committed)
-        rows, outcomes = (self._by_attempt if self.attempt else self._by_row)(incoming, self._touched(stored, incoming))
-        for kind, df in (("rows", rows), ("outcomes", outcomes)):
-            df.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", "bucket").parquet(f"{self.path}/{kind}")
-        self._clear_stale(epoch, rows)
+        incoming = incoming.dropDuplicates().withColumn("bucket", self.bucket(self.unit)).persist()
+        rows, outcomes = (self._by_attempt if self.attempt else self._by_row)(incoming, self.read("rows", committed, incoming))
+        self.write("rows", rows, epoch)
+        self.write("outcomes", outcomes, epoch)
         incoming.unpersist()
         self.commit(epoch)
 
-    def _touched(self, stored: DataFrame | None, incoming: DataFrame) -> DataFrame | None:
-        """What is stored in the buckets of the incoming units, of which there are few."""
-        if stored is None:
-            return None
-        buckets = [r.bucket for r in incoming.select("bucket").distinct().collect()]
-        return stored.where(F.col("bucket").isin(buckets)) if buckets else stored.limit(0)
-
-    def _clear_stale(self, epoch: int, rows: DataFrame) -> None:
-        """Buckets that a writer that died had filled from other rows of the same epoch, and this one has not."""
-        now = {r.bucket for r in rows.select("bucket").distinct().collect()}
-        fs, where = self._fs(f"{self.path}/rows/epoch={epoch}")
-        for f in fs.listStatus(where) if fs.exists(where) else []:
-            name = f.getPath().getName()
-            if name.startswith("bucket=") and int(name.removeprefix("bucket=")) not in now:
-                fs.delete(f.getPath(), True)
-
     def _match(self, df: DataFrame, other: DataFrame, columns: list[str], how: str) -> DataFrame:
         """A null-safe join on the columns; the other side's are dropped."""
         renamed = other.select(*(F.col(x).alias(f"_{x}") for x in columns), *(x for x in other.columns if x not in columns))
