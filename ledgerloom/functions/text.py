@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,7 +51,22 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 def normal_path(c: Column) -> Column:
     """The identity of a business path: NFKC, stripped, runs of white space as one space, lower case."""
-    return F.lower(F.regexp_replace(strip(nfkc(c)), r"\s+", " "))
+    return _folded(nfkc(c))
+
+
+def _folded(c: Column) -> Column:
+    return F.lower(F.regexp_replace(strip(c), r"\s+", " "))
+
+
+def with_normal_path(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with ``normal_path`` of a column. Python sees each distinct value that is not ASCII once, and no others; its
+    normal form is joined back, so that rows stay in built-in functions. Nulls stay null; a column of that name is
+    replaced."""
+    raw = F.col(column)
+    other = F.octet_length(raw) != F.length(raw)
+    known = df.where(other).select(raw.alias("_raw")).distinct().select("_raw", nfkc("_raw").alias("_nfkc"))
+    joined = df.join(known, raw == F.col("_raw"), "left")
+    return joined.withColumn(name, _folded(F.coalesce("_nfkc", column))).drop("_raw", "_nfkc")
 
 
 def contains_ignoring_case(c: Column, query: str) -> Column:

@@ -16,6 +16,7 @@ from ledgerloom.functions import ids as I
 from ledgerloom.functions import text as X
 from ledgerloom.functions import times as T
 from ledgerloom.operators import ledger as L
+from ledgerloom.operators.tables import written
 from ledgerloom.plans import progress as P
 from ledgerloom.plans import reconcile as R
 from ledgerloom.plans import review as V
@@ -80,6 +81,13 @@ class Tables:
         return self.made[name]
 
 
+    def keep(self, *names: str) -> Tables:
+        """Writes frames that a query reads many times, once."""
+        for name in names:
+            self.made[name] = written(self(name), name)
+        return self
+
+
 def query(sql: str | None, frames: bool = True) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
@@ -191,7 +199,7 @@ def planned_batches(t: Tables) -> DataFrame:
 
 
 def _gate(t: Tables) -> DataFrame:
-    targets, _ = V.freeze(t("candidates"), _heads(t))
+    targets = written(V.freeze(t("candidates"), _heads(t))[0], "targets")
     return K.audit_gate(t("tasks"), t("inventory"), t("work"), t("candidates"), t("conclusions"), t("links"), targets.select("task_id", "stable_feature_id", "stable_sequence", "generation_eligible", "source.*"))
 
 
@@ -225,6 +233,7 @@ def audit_gate(t: Tables) -> DataFrame:
   SELECT task_id, terminal, terminal <> 'FAILED' AS exportable FROM f"""
 )
 def finalization(t: Tables) -> DataFrame:
+    t.keep("lines", "candidates", "links", "conclusions", "batches")
     return K.finalization(t("tasks"), t("batches"), t("attempts"), t("cases"), t("targets"), _gate(t))
 
 
@@ -337,8 +346,8 @@ _SETTLED = (
 
 
 def _projected(t: Tables) -> DataFrame:
-    paged = R.pages(t("candidates"))
-    return R.projected(paged, R.settled(paged, t("judged")))
+    paged = written(R.pages(t.keep("lines")("candidates")), "paged")
+    return written(R.projected(paged, R.settled(paged, t("judged"))), "projected")
 
 
 @query(_SETTLED + " SELECT occurrence_id, type, explanation, source_id, evidence FROM projected")

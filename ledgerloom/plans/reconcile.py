@@ -96,7 +96,8 @@ def pages(candidates: DataFrame, size: int = PAGE) -> DataFrame:
     order = Window.partitionBy("task_id").orderBy("position", "occurrence_id")
     rows = candidates.withColumn("position_index", F.row_number().over(order) - 1)
     n = candidates.groupBy("task_id").agg(F.ceil(F.count("*") / size).cast("int").alias("pages"))
-    path = F.when(X.is_blank(F.col("feature_text")), F.concat(F.lit("\x00"), "occurrence_id")).otherwise(X.normal_path(F.col("feature_text")))
+    rows = X.with_normal_path(rows, "feature_text", "path")
+    path = F.when(X.is_blank(F.col("feature_text")), F.concat(F.lit("\x00"), "occurrence_id")).otherwise(F.col("path"))
     return rows.join(n, "task_id").withColumns({"page": F.floor(F.col("position_index") / size).cast("int") + 1, "path": path})
 
 
@@ -112,8 +113,8 @@ def settled(paged: DataFrame, judged: DataFrame) -> DataFrame:
     evidence. The first page that has a path is judged by its representative there; later pages take that conclusion
     over if it keeps the single path of the group, else their own representative is judged anew."""
     own = groups(paged).select("task_id", "page", "path", "representative").join(judged.withColumnRenamed("occurrence_id", "representative"), ["task_id", "representative"], "left")
-    keeps = (F.col("type") != "SPLIT") & (X.normal_path(F.col("explanation")) == F.col("path"))
-    own = own.withColumn("keeps", F.coalesce(keeps, F.lit(False)))
+    keeps = (F.col("type") != "SPLIT") & (F.col("_said") == F.col("path"))
+    own = X.with_normal_path(own, "explanation", "_said").withColumn("keeps", F.coalesce(keeps, F.lit(False))).drop("_said")
     # the first page that keeps the path: first accepted wins, for all pages after it
     first = own.where("keeps").groupBy("task_id", "path").agg(F.min(F.struct("page", F.col("representative").alias("source_id"), "type", "explanation", "evidence")).alias("f"))
     both = own.join(first, ["task_id", "path"], "left")

@@ -65,7 +65,7 @@ def answer_failures(requests: DataFrame, answers: DataFrame) -> DataFrame:
     )
     paths = given.select(*REQUEST, broken.alias("message")).where("message IS NOT NULL")
     split = given.where("type = 'SPLIT'").select(*REQUEST, "occurrence_id", F.explode(F.split("explanation", "<br>", -1)).alias("part"))
-    split = split.select(*REQUEST, "occurrence_id", X.normal_path(F.col("part")).alias("normal")).groupBy(*REQUEST, "occurrence_id").agg(F.count("*").alias("n"), F.countDistinct("normal").alias("d"))
+    split = X.with_normal_path(split, "part", "normal").groupBy(*REQUEST, "occurrence_id").agg(F.count("*").alias("n"), F.countDistinct("normal").alias("d"))
     repeated = split.where("d < n").select(*REQUEST, F.lit("SPLIT conclusions require distinct business paths").alias("message"))
     return missing.unionByName(paths).unionByName(repeated).groupBy(*REQUEST).agg(F.min("message").alias("message"))
 
@@ -139,7 +139,8 @@ def reconcile_in_rounds(paged: DataFrame, ask: Ask, *, store: AcceptedStore | No
             good, lost = [*good, *more], lost.unionByName(written(still, "refused"))
         failures.append(lost.select("task_id", "page", "message"))
         answers = _union([g.select("task_id", "page", F.col("occurrence_id").alias("representative"), "type", "explanation", "evidence") for g in good])
-        settled = written(frontier.join(answers, ["task_id", "page", "representative"]).withColumn("keeps", F.coalesce((F.col("type") != "SPLIT") & (X.normal_path(F.col("explanation")) == F.col("path")), F.lit(False))), "settled")
+        said = X.with_normal_path(frontier.join(answers, ["task_id", "page", "representative"]), "explanation", "_said")
+        settled = written(said.withColumn("keeps", F.coalesce((F.col("type") != "SPLIT") & (F.col("_said") == F.col("path")), F.lit(False))).drop("_said"), "settled")
         store.accept(settled.select(*key, "representative", "type", "explanation", "evidence", "keeps"), epoch)
         epoch += 1
         # only paths whose answer has not kept them go on, with their next page

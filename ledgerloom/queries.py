@@ -318,7 +318,7 @@ def redact_secrets(t: Tables) -> DataFrame:
 def normalized_lines(t: Tables) -> DataFrame:
     """Lines of documents by their normal form, which no SQL function has, those that several documents hold."""
     lines = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(~X.is_blank(c("line")))
-    groups = lines.groupBy(X.normal_path(c("line")).alias("normal")).agg(F.countDistinct("doc_id").alias("documents"), F.min("line").alias("first"))
+    groups = X.with_normal_path(lines, "line", "normal").groupBy("normal").agg(F.countDistinct("doc_id").alias("documents"), F.min("line").alias("first"))
     return groups.where("documents > 1").select(F.md5("normal").alias("normal"), "documents", F.md5("first").alias("first"))
 
 

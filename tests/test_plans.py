@@ -129,3 +129,17 @@ def test_strict_json(spark):
     text = "---\nid: a:b\nname:  x \n---\n# t\n## one\nl1\nl2\n\n## two\nl3"
     r = spark.createDataFrame([(text,)], "t string").select(J.front_matter(F.col("t")).alias("m"), J.section(F.col("t"), "one").alias("o"), J.section(F.col("t"), "two").alias("w"), J.section(F.col("t"), "three").alias("n")).first()
     assert r.m == {"id": "a:b", "name": "x"} and r.o.split("\n")[:2] == ["l1", "l2"] and r.w == "l3" and r.n is None
+
+
+def test_normal_paths_by_dictionary(spark):
+    """Equal to the expression on every row; Python is given distinct values that are not ASCII only."""
+    from ledgerloom.functions import text as X
+
+    rows = [(k, v, "old") for k, v in enumerate(["Ａ／Ｂ  c", "Ａ／Ｂ  c", " plain  Text ", None, "", "ﬁne　 é", "ﬁne　 é", "é"])]
+    df = spark.createDataFrame(rows, "k int, path string, normal string")
+    got = X.with_normal_path(df, "path", "normal")
+    want = df.withColumn("normal", X.normal_path(df["path"]))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and got.columns == ["k", "path", "normal"]
+    assert {r.normal for r in got.where("k IN (0, 1)").collect()} == {"a/b c"}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("nfkc(") == 1 and "Aggregate" in plan[plan.index("nfkc(") :]
