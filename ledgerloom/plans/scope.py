@@ -93,6 +93,15 @@ def open_work(units: DataFrame) -> DataFrame:
     return rows.select(name_uuid(name).alias("id"), "*", F.lit("QUEUED").alias("status"))
 
 
+def dispatch_violations(work: DataFrame, keys: list[str]) -> DataFrame:
+    """(rule, key, detail) for work (``keys``, audit_stage, audit_pass, role) that no scanner takes: a list is scanned once
+    as such, other material in two passes. Unknown stages and nulls are refused."""
+    stage, number, kind = F.col("audit_stage"), F.col("audit_pass"), F.col("role")
+    taken = (stage == "FEATURE_LIST_SCAN") & (number == 1) & (kind == "FUNCTION_LIST") | (stage == "REQUIREMENT_SCAN") & number.isin(1, 2) & kind.isin("REQUIREMENT", "WORK_ORDER_PLAN")
+    shown = lambda names: F.concat_ws("|", *(F.coalesce(F.col(n).cast("string"), F.lit("null")) for n in names))
+    return work.where(~F.coalesce(taken, F.lit(False))).select(F.lit("dispatch").alias("rule"), shown(keys).alias("key"), shown(["audit_stage", "audit_pass", "role"]).alias("detail"))
+
+
 def allows(scope: dict[str, Column], evidence: dict[str, Column]) -> Column:
     """Whether evidence lies in a scope: equal base, system, version and category, the scope's project or any if it has
     none, and one of the scope's documents. Keys: the names of COORDINATE, document_ids (scope), document_id (evidence)."""
