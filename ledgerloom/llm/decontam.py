@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import text_batches
+from ledgerloom.llm.common import text_batches, written
 from ledgerloom.llm.words import as_binary, buffers, hash_words, slices, split_words, windows
 
 #: bytes of benchmark text that are held and sent to the tasks at once; a larger benchmark is searched in
@@ -210,8 +210,10 @@ def contaminated(
     kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_id_col].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("item_id", item_kind), T.StructField("start_word", T.LongType()), T.StructField("similarity", T.DoubleType())])
     out = None
-    for ids, texts in _parts(benchmark, item_id_col, item_text_col):
+    for ids, texts, whole in _parts(benchmark, item_id_col, item_text_col):
         found = _search(source, schema, ids, texts, shingle, threshold)
+        if not whole:  # so that neither the driver nor a task holds more than one part
+            found = written(found, "contaminated")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -228,7 +230,7 @@ def uncontaminated(
 ) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, of which ``contaminated`` names none; filtered where they are read."""
     schema = docs.schema
-    for _, texts in _parts(benchmark, item_id_col, item_text_col):
+    for _, texts, whole in _parts(benchmark, item_id_col, item_text_col):
         prepared = Benchmark(texts, shingle)
 
         def run(batches: Iterator[pa.RecordBatch], prepared: Benchmark = prepared) -> Iterator[pa.RecordBatch]:
@@ -239,17 +241,19 @@ def uncontaminated(
                     yield x.filter(pa.array(keep))
 
         docs = text_batches(docs).mapInArrow(run, schema)
+        if not whole:
+            docs = written(docs, "uncontaminated")
     return docs
 
 
-def _parts(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> Iterator[tuple[list, list[str | None]]]:
-    """The benchmark's ids and texts, about PART_BYTES of them at a time."""
+def _parts(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> Iterator[tuple[list, list[str | None], bool]]:
+    """The benchmark's ids and texts, about PART_BYTES of them at a time, and whether this is all of it."""
     items = benchmark.select(benchmark[item_id_col].alias("item_id"), benchmark[item_text_col].alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     parts = max(1, -(-size // PART_BYTES))
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        yield [r[0] for r in rows], [r[1] for r in rows]
+        yield [r[0] for r in rows], [r[1] for r in rows], parts == 1
 
 
 def _search(source: DataFrame, schema: T.StructType, ids: list, texts: list[str | None], shingle: int, threshold: float) -> DataFrame:

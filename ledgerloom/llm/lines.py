@@ -239,21 +239,54 @@ def product(a: np.ndarray, b: np.ndarray, n: int, m: int, threshold: float) -> n
             hit = part[k] == h
             into[(sets[hit] >> rest).astype(np.int64), k[hit]] = 1
         shared += x @ y.T
-    return shared >= threshold * (of(a, n)[:, None] + of(b, m) - shared) - 1e-3
+    return shared >= threshold * (of(a, n)[:, None] + of(b, m) - shared) - 1e-9
+
+
+def rare_shingles(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(lid, n, b) of nodes (lid): their rarest shingles, which two nodes that reach the threshold cannot both be without.
+    Sets of n shingles share threshold * n of them at least, so that one of the other n - threshold * n + 1 is shared
+    whichever these are; here they are those that fewest of the nodes have, without those that one node has alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "norm", 1 << 19):
+                for at in range(0, part.num_rows, 1 << LINE_BITS):
+                    own = part.slice(at, 1 << LINE_BITS)
+                    sets = shingle_sets(own.column("norm"))
+                    line = (sets >> np.uint64(64 - LINE_BITS)).astype(np.int64)
+                    h = (sets & np.uint64((1 << 64 - LINE_BITS) - 1)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([own.column("lid").take(pa.array(line)), pa.array(np.bincount(line, minlength=own.num_rows)[line].astype(np.int32)), pa.array(h)], names=["lid", "n", "h"])
+
+    held = written(nodes.join(texts, "lid").select("lid", "norm").mapInArrow(run, "lid long, n int, h long"), "shingles")
+    often = held.groupBy("h").agg(F.count("*").alias("f"))
+    sets = held.join(often, "h").groupBy("lid", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("s"))
+    few = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-6) + 1).cast("int"))
+    return sets.select("lid", "n", F.explode(few).alias("x")).where("x.f > 1").select("lid", "n", F.col("x.h").alias("b"))
+
+
+def _several(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """The nodes of buckets that hold several components, with the bucket's size and that of its largest component."""
+    named = met.join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
+    shares = named.groupBy("b", "root").agg(F.count("*").alias("k"))
+    largest = shares.groupBy("b").agg(F.sum("k").alias("c"), F.max("k").alias("most"), F.max_by("root", F.struct("k", "root")).alias("big")).where("most < c")
+    return named.join(largest, "b").withColumn("other", F.col("root") != F.col("big"))
 
 
 def block_links(met: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(u, v): links that connect all similar nodes of different components that share a bucket of ``met`` (lid, n, b).
 
     In a bucket of several components, each node outside its largest one meets every node of another. Both sides
-    are dealt into blocks of about BLOCK nodes, and each two blocks are a group of their own.
+    are dealt into blocks of about BLOCK nodes, and each two blocks are a group of their own. Where more than four blocks
+    of nodes outside the largest component are in a bucket, as lines of one template that are not alike, its nodes meet
+    in buckets of their rarest shingles instead.
     """
-    named = met.join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
-    shares = named.groupBy("b", "root").agg(F.count("*").alias("k"))
-    largest = shares.groupBy("b").agg(F.sum("k").alias("c"), F.max("k").alias("most"), F.max_by("root", F.struct("k", "root")).alias("big")).where("most < c")
-    several = cut(named.join(largest, "b").withColumn("other", F.col("root") != F.col("big")))
+    several = cut(_several(met, roots))
     if several.isEmpty():
         return several.select(F.col("lid").alias("u"), F.col("lid").alias("v"))
+    wide = F.col("c") - F.col("most") > 4 * BLOCK
+    crowd = several.where(wide).select("lid").distinct()
+    if not crowd.isEmpty():
+        several = cut(several.where(~wide).unionByName(_several(written(rare_shingles(crowd, texts, threshold), "rare"), roots).select(several.columns)))
     parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     all_parts, other_parts = parts(F.col("c")), parts(F.col("c") - F.col("most"))
     own = lambda n: F.pmod(F.xxhash64("lid"), n).cast("int")

@@ -134,6 +134,28 @@ def test_blocks_of_a_bucket(spark, monkeypatch):
     assert sum(n for _, n in whole) > 0
 
 
+def test_lines_of_a_template(spark, monkeypatch):
+    """Lines that share most of their text and are not alike, among them some that are: no link is lost where they meet
+    by their rarest shingles."""
+    from ledgerloom.llm import lines
+
+    r = random.Random(5)
+    head = "".join(r.choice("abcdefgh ") for _ in range(150)).strip() + "x"
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    some = [head + word(80) for _ in range(120)]
+    some += [x[:-3] + word(3) for x in some[:20]] + [x[: len(head) + 40] + word(40) for x in some[20:40]] + [x[:-4] + word(4) for x in some[120:130]]
+    r.shuffle(some)
+    docs = list(enumerate(some))
+    want = brute(docs)
+    monkeypatch.setattr(lines, "BLOCK", 8)
+    met = []
+    rare = lines.rare_shingles
+    monkeypatch.setattr(lines, "rare_shingles", lambda *a: met.append(rare(*a)) or met[-1])
+    got = {x.doc_id: x.n_removed for x in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {k: len(v) for k, v in want.items()} and 20 <= sum(got.values()) < 60
+    assert met and met[0].groupBy("b").count().agg({"count": "max"}).first()[0] < 40
+
+
 def test_rows_dealt_otherwise_and_clashing_names(spark):
     r = random.Random(8)
     docs = [(d, "\n".join(family(r, 4, 1, 30))) for d in range(40)]
