@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom import ledger_queries as Q
 from ledgerloom.functions import text as X
 from ledgerloom.operators import ledger as L
+from ledgerloom.plans import review as R
 from ledgerloom.plans import scope as S
 from ledgerloom.plans import validators as V
 from ledgerloom.sources import markdown as M
@@ -249,3 +250,37 @@ def testcase_rules(x: DataFrame) -> DataFrame:
 def registry_rules(x: DataFrame) -> DataFrame:
     key = F.when(c("part") % 12 == 0, " ").otherwise(F.concat(F.lit("K"), c("n") % 5))
     return V.registry_violations(x.select(c("k").alias("task_id"), key.alias("key")), x.select(c("k").alias("task_id"), F.concat(F.lit("E"), c("part") % 2).alias("evidence_key")))
+
+
+# ---- overlays, order, changes and replays ----------------------------------------------------------------------------
+
+
+@query(""" SELECT k, n, CASE WHEN part % 3 = 0 THEN 'page' ELSE 'accepted' END AS source, CASE WHEN part % 3 = 0 THEN CASE WHEN part % 2 = 0 THEN part END ELSE part + 1 END AS value FROM x WHERE part % 3 = 0 OR part % 5 > 0""")
+def overlaid_pages(x: DataFrame) -> DataFrame:
+    """Every third line is on the page, four of five are accepted: many are both, and the page hides those, by nulls too."""
+    page = x.where("part % 3 = 0").select("k", "n", F.lit("page").alias("source"), F.when(c("part") % 2 == 0, c("part")).alias("value"))
+    accepted = x.where("part % 5 > 0").select("k", "n", F.lit("accepted").alias("source"), (c("part") + 1).alias("value"))
+    return L.overlay(page, accepted, ["k", "n"])
+
+
+@query(""" SELECT k, string_agg(v, ',' ORDER BY first, v) AS kinds FROM (SELECT k, 'v' || (part % 3) AS v, min(n) AS first FROM (SELECT k, part, n FROM x WHERE supp % 2 = 0 UNION ALL SELECT k, part, n FROM x WHERE supp % 3 = 0) GROUP BY 1, 2) GROUP BY k""")
+def accumulated_kinds(x: DataFrame) -> DataFrame:
+    pages = L.accumulated([x.where("supp % 2 = 0").select("k", "part", "n"), x.where("supp % 3 = 0").select("k", "part", "n")])
+    kinds = L.distinct_in_order(pages.withColumn("v", F.concat(F.lit("v"), c("part") % 3)), ["k"], "v", "n")
+    return kinds.select("k", F.array_join("values", ",").alias("kinds"))
+
+
+@query(""" SELECT 'one row changed' AS rule, CAST(k AS VARCHAR) AS key, CASE WHEN k % 4 > 0 THEN CAST(d AS VARCHAR) ELSE 'not asked for' END AS detail FROM (SELECT k, count(*) FILTER (part % 4 = 0) AS d FROM x GROUP BY k) WHERE k % 4 > 0 AND d <> 1 OR k % 4 = 0 AND d > 0""")
+def changed_rows(x: DataFrame) -> DataFrame:
+    changed = L.compare_and_set(x.select("k", "n", "part"), c("part") % 4 == 0, n=c("n") + 1)
+    return L.change_violations(changed, x.where("k % 4 > 0").select("k"), ["k"])
+
+
+@query(""" SELECT 'T' || k AS task_id, CASE WHEN k % 5 = 0 THEN 'insert' WHEN k % 5 = 1 AND m > 1 OR k % 5 = 2 OR k % 5 = 4 THEN 'conflict' ELSE 'same' END AS outcome FROM (SELECT k, max(m) AS m FROM x GROUP BY k)""")
+def replayed_batch_plans(x: DataFrame) -> DataFrame:
+    """Stored plans lack a batch, name another feature, are whole, or have one more."""
+    row = lambda df, name: df.select(F.concat(F.lit("T"), "k").alias("task_id"), c("i").cast("int").alias("batch_sequence"), name.alias("feature_id"), F.lit("f").alias("feature_name"))
+    own = F.concat(F.lit("F"), "n")
+    kept = x.where("k % 5 > 0 AND NOT (k % 5 = 1 AND i > 1)")
+    more = x.where("k % 5 = 4 AND i = 1").withColumn("i", F.lit(99))
+    return R.replayed_plans(row(kept, F.when((c("k") % 5 == 2) & (c("i") == 1), "other").otherwise(own)).unionByName(row(more, own)), row(x, own))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.tables import written
+
 # Allowed changes of status.
 TASK_TRANSITIONS = {
     "QUEUED": ["AUDITING", "CANCELLED"],
@@ -71,7 +73,8 @@ def numbered(df: DataFrame, partition: list[str], order: list[Column], name: str
 def numbered_in_ranges(df: DataFrame, partition: list[str], order: list[str], name: str = "sequence") -> DataFrame:
     """As ``numbered``, for groups of which one may hold much of the table: rows are dealt out by ranges of (partition,
     order), numbered within each range, and the ranges before add their counts, of which there are few."""
-    ranged = df.repartitionByRange(*partition, *order).withColumn("_range", F.spark_partition_id())
+    # written once: both what is numbered and what is counted read the same ranges
+    ranged = written(df.repartitionByRange(*partition, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_range", *partition).agg(F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*partition).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_range", *partition, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
@@ -130,3 +133,38 @@ def after_lease(work: DataFrame, now: Column, max_attempts: int = 3) -> DataFram
     over = (F.col("status") == "RUNNING") & (F.col("lease_expires_at") < now)
     status = F.when(over & ((F.col("attempts") >= max_attempts) | ~F.coalesce("retryable", F.lit(True))), "FAILED").when(over, "QUEUED").otherwise(F.col("status"))
     return work.withColumns({"status": status, "lease_expires_at": F.when(~over, F.col("lease_expires_at"))})
+
+
+def change_violations(changed: DataFrame, expected: DataFrame, keys: list[str], rule: str = "one row changed") -> DataFrame:
+    """(rule, key, detail) for keys of ``expected`` of which not exactly one row of ``changed`` (as ``compare_and_set`` gives
+    it) has changed, and for changed keys that were not expected. Null keys are keys."""
+    did = changed.where("changed").groupBy(*keys).agg(F.count("*").alias("_n"), F.lit(0).alias("_asked"))
+    asked = expected.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_asked"))
+    both = did.unionByName(asked).groupBy(*keys).agg(F.sum("_n").alias("_n"), F.max("_asked").alias("_asked"))
+    return _violations(both.where("_n <> 1 OR _asked = 0"), rule, keys, F.when(F.col("_asked") == 0, "not asked for").otherwise(F.col("_n").cast("string")))
+
+
+def overlay(upper: DataFrame, lower: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of both, of which those of ``upper`` hide those of ``lower`` with the same keys, nulls among them. Columns
+    are those of ``upper``; a null value of it hides as well."""
+    hidden = upper.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return upper.unionByName(lower.select(upper.columns).join(hidden, same, "left_anti"))
+
+
+def accumulated(pages: list[DataFrame]) -> DataFrame:
+    """All rows of all pages, with the number of the page, from 1."""
+    out = None
+    for k, p in enumerate(pages, 1):
+        rows = p.withColumn("page", F.lit(k))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def distinct_in_order(df: DataFrame, group: list[str], value: str, order: str) -> DataFrame:
+    """(group, values): each group's distinct values in the order of their first occurrence; ties by value. Null values
+    and rows without an order are left out. Values are made distinct before they meet in one row."""
+    first = df.where(F.col(value).isNotNull() & F.col(order).isNotNull()).groupBy(*group, value).agg(F.min(order).alias("_first"))
+    return first.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", value))), lambda x: x[value]).alias("values"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import uuid
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -240,6 +241,16 @@ def test_workbook(spark, tmp_path):
         assert hashlib.sha256(f.read()).hexdigest() == digest
 
 
+def test_workbook_refuses_images_and_bound_evidence(spark, tmp_path):
+    sheet = lambda text: [("s", ["a"], spark.createDataFrame([(text,)], "a string"))]
+    for text in ("see ![x](y)", "x documentId = 3", "unitId=1"):
+        with pytest.raises(ValueError):
+            write_workbook(str(tmp_path / "bad.xlsx"), sheet(text))
+    write_workbook(str(tmp_path / "good.xlsx"), sheet("mydocumentId=1"), {"s": [12.5]})
+    with zipfile.ZipFile(tmp_path / "good.xlsx") as z:
+        assert b'width="12.5"' in z.read("xl/worksheets/sheet1.xml")
+
+
 EVENTS = [("s", 1, '{"response_type":"answer","content":"he"}'), ("s", 2, '{"response_type":"tool_call"}'), ("s", 3, '{"response_type":"answer","content":"llo"}'), ("s", 4, '{"response_type":"complete","done":true}'), ("s", 5, '{"response_type":"answer","content":"late"}'), ("e", 1, '{"response_type":"error","done":true,"message":"m"}'), ("u", 1, '{"response_type":"answer","content":"x"}')]
 
 
