@@ -138,7 +138,7 @@ def lease_log(events: DataFrame, *, until: int | None = None, slots: int = SLOTS
         if rows := close():
             yield told(rows)
 
-    known = events.select("pool", "task_id", "kind", F.coalesce(F.unix_millis("at"), F.lit(0)).alias("ms"))
+    known = events.select("pool", "task_id", "kind", F.coalesce(F.unix_millis(F.col("at").cast("timestamp")), F.lit(0)).alias("ms"))
     if until is not None:
         known = known.where(F.col("ms") <= until)
     return known.repartition("pool").sortWithinPartitions("pool", "ms").mapInPandas(run, OUTPUT)
