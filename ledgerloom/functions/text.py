@@ -69,6 +69,12 @@ def with_normal_path(df: DataFrame, column: str, name: str) -> DataFrame:
     return joined.withColumn(name, _folded(F.coalesce("_nfkc", column))).drop("_raw", "_nfkc")
 
 
+def normal_path_in_rows(c: Column) -> Column:
+    """``normal_path`` where the rows lie: Python sees values that are not ASCII, and nulls in place of others. A join with
+    the values' forms, as in ``with_normal_path``, would deal all rows out by text."""
+    return _folded(F.coalesce(nfkc(F.when(F.octet_length(c) != F.length(c), c)), c))
+
+
 def contains_ignoring_case(c: Column, query: str) -> Column:
     """LIKE %query% without case; % and _ in the query stay wildcards, a blank query matches all."""
     q = query.strip().lower()

@@ -74,8 +74,11 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         if name not in self.made:
             if name in FRAMES:
-                needs = {n for n in [*FRAMES, *DRIVER] if f"{{{n}}}" in FRAMES[name]}
-                self.made[name] = self.spark.sql(FRAMES[name], **{n: self(n) for n in needs})
+                needs = {n: self(n) for n in [*FRAMES, *DRIVER] if f"{{{n}}}" in FRAMES[name]}
+                if name == "lines":
+                    # dealt out by order before anything is sorted: repeats meet, and joins and windows by order find them there
+                    needs["lineitem"] = needs["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").repartition("l_orderkey")
+                self.made[name] = self.spark.sql(FRAMES[name], **needs)
             else:
                 self.made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.made[name]
@@ -346,8 +349,9 @@ _SETTLED = (
 
 
 def _projected(t: Tables) -> DataFrame:
-    paged = written(R.pages(t.keep("lines")("candidates")), "paged")
-    return written(R.projected(paged, R.settled(paged, t("judged"))), "projected")
+    # of the evidence the anchor alone is bound to candidates, and it alone is dealt out
+    judged = t.keep("lines")("judged").withColumn("evidence", F.concat(F.lit("groupAnchorId="), R.anchor(c("evidence"))))
+    return R.bound(R.concluded(t("candidates"), judged))
 
 
 @query(_SETTLED + " SELECT occurrence_id, type, explanation, source_id, evidence FROM projected")
@@ -357,7 +361,8 @@ def projected_conclusions(t: Tables) -> DataFrame:
 
 @query(_SETTLED + " SELECT task_id, count(*) FILTER (reused) AS reused, count(*) AS groups FROM settled GROUP BY 1")
 def first_accepted_wins(t: Tables) -> DataFrame:
-    return R.settled(R.pages(t("candidates")), t("judged")).groupBy("task_id").agg(F.count_if("reused").alias("reused"), F.count("*").alias("groups"))
+    judged = t("judged").withColumn("evidence", F.lit(None).cast("string"))  # not looked at
+    return R.concluded(t("candidates"), judged).where("leads").groupBy("task_id").agg(F.count_if("reused").alias("reused"), F.count("*").alias("groups"))
 
 
 @query(
@@ -380,8 +385,10 @@ def merged_conclusions(t: Tables) -> DataFrame:
 )
 def anchor_violations(t: Tables) -> DataFrame:
     other = F.when(c("part") % 31 == 0, "C-none").when(c("part") % 37 == 0, F.concat(F.lit("C"), "l_orderkey", F.lit("-"), c("l_linenumber") + 1))
-    wrong = t("candidates").select("occurrence_id", other.alias("other"))
-    rows = _projected(t).join(wrong, "occurrence_id").withColumn("evidence", F.when(c("other").isNotNull(), F.concat(F.lit("groupAnchorId="), "other")).otherwise(c("evidence")))
+    wrong = t("candidates").select("occurrence_id", other.alias("other")).where("other IS NOT NULL")
+    # of the evidence the anchor alone is needed, and it alone is dealt out
+    rows = _projected(t).select("task_id", "occurrence_id", "position_index", "type", "explanation", F.concat(F.lit("groupAnchorId="), R.anchor(c("evidence"))).alias("evidence"))
+    rows = rows.join(wrong, "occurrence_id", "left").withColumn("evidence", F.when(c("other").isNotNull(), F.concat(F.lit("groupAnchorId="), "other")).otherwise(c("evidence")))
     return R.page_violations(rows)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
 from ledgerloom.functions.ids import UNIT
+from ledgerloom.operators.tables import written
 from ledgerloom.plans.review import target_paths
 
 PAGE = 8
@@ -90,15 +91,22 @@ def anchor(evidence: Column) -> Column:
     return X.token(evidence, "groupAnchorId")
 
 
+def _with_path(candidates: DataFrame) -> DataFrame:
+    rows = candidates.where("task_id IS NOT NULL").withColumn("path", X.normal_path_in_rows(F.col("feature_text")))
+    return rows.withColumn("path", F.when(X.is_blank(F.col("feature_text")), F.concat(F.lit("\x00"), "occurrence_id")).otherwise(F.col("path")))
+
+
+def _numbered(rows: DataFrame, size: int) -> DataFrame:
+    """Number and count from the one order of the task's rows; what comes after finds them dealt out by task."""
+    task = Window.partitionBy("task_id")
+    rows = rows.withColumns({"position_index": F.row_number().over(task.orderBy("position", "occurrence_id")) - 1, "pages": F.ceil(F.count("*").over(task) / size).cast("int")})
+    return rows.withColumn("page", F.floor(F.col("position_index") / size).cast("int") + 1)
+
+
 def pages(candidates: DataFrame, size: int = PAGE) -> DataFrame:
     """``candidates`` (task_id, occurrence_id, position, feature_text ...) with position_index from 0, page from 1, pages,
     and path: the normal form of the business path, or one of its own for a candidate without a path."""
-    order = Window.partitionBy("task_id").orderBy("position", "occurrence_id")
-    rows = candidates.withColumn("position_index", F.row_number().over(order) - 1)
-    n = candidates.groupBy("task_id").agg(F.ceil(F.count("*") / size).cast("int").alias("pages"))
-    rows = X.with_normal_path(rows, "feature_text", "path")
-    path = F.when(X.is_blank(F.col("feature_text")), F.concat(F.lit("\x00"), "occurrence_id")).otherwise(F.col("path"))
-    return rows.join(n, "task_id").withColumns({"page": F.floor(F.col("position_index") / size).cast("int") + 1, "path": path})
+    return _numbered(_with_path(candidates), size)
 
 
 def groups(paged: DataFrame) -> DataFrame:
@@ -123,32 +131,59 @@ def settled(paged: DataFrame, judged: DataFrame) -> DataFrame:
     return both.select("task_id", "page", "path", pick("source_id", "representative"), pick("type", "type"), pick("explanation", "explanation"), pick("evidence", "evidence"), reused.alias("reused"))
 
 
+def concluded(candidates: DataFrame, judged: DataFrame, size: int = PAGE) -> DataFrame:
+    """``pages`` of the candidates, each row with what ``settled`` says of its group (source_id, type, explanation,
+    evidence, reused), and leads: whether it is its group's representative. ``judged`` has a row a candidate at most. Both
+    are dealt out by task once, and all that follows is said by windows there: nothing is joined with itself."""
+    said = judged.where("task_id IS NOT NULL AND occurrence_id IS NOT NULL").withColumn("_said", X.normal_path_in_rows(F.col("explanation")))
+    said = said.select("task_id", "occurrence_id", F.struct("type", "explanation", "evidence", "_said").alias("_told"))
+    rows = _with_path(candidates).withColumn("_own", F.lit(True)).unionByName(said, allowMissingColumns=True).repartition("task_id")
+    rows = rows.withColumn("_told", F.max("_told").over(Window.partitionBy("task_id", "occurrence_id"))).where("_own").drop("_own")
+    group = Window.partitionBy("task_id", "page", "path").orderBy("position_index")
+    mine = F.struct("page", F.col("occurrence_id").alias("source_id"), "_told.type", "_told.explanation", "_told.evidence", "_told._said")
+    rows = _numbered(rows, size).withColumns({"_mine": F.first(mine).over(group), "leads": F.row_number().over(group) == 1})
+    keeps = (F.col("_mine.type") != "SPLIT") & (F.col("_mine._said") == F.col("path"))
+    # the first page that keeps the path: first accepted wins, for all pages after it
+    rows = rows.withColumn("_first", F.min(F.when(F.col("leads") & keeps, F.col("_mine"))).over(Window.partitionBy("task_id", "path")))
+    rows = rows.withColumn("reused", F.coalesce(F.col("_first.page") < F.col("page"), F.lit(False)))
+    picked = {x: F.when(F.col("reused"), F.col(f"_first.{x}")).otherwise(F.col(f"_mine.{x}")) for x in ("source_id", "type", "explanation", "evidence")}
+    return rows.withColumns(picked).drop("_told", "_mine", "_first")
+
+
 def projected(paged: DataFrame, conclusions: DataFrame) -> DataFrame:
     """A conclusion for every candidate: its group's, with the evidence bound to the candidate. The candidate keeps the
     words of its own evidence; the group's anchor stays. ``conclusions`` is that of ``settled``."""
-    rows = paged.join(conclusions, ["task_id", "page", "path"])
+    return bound(paged.join(conclusions, ["task_id", "page", "path"]))
+
+
+def bound(rows: DataFrame) -> DataFrame:
+    """``projected`` for rows that have their group's conclusion, as ``concluded`` gives them; of its evidence only the
+    anchor counts."""
     reader = X.without_tokens(F.col("evidence_text"), MACHINE)
-    bound = F.concat_ws("; ", F.concat(F.lit("documentId="), "document_id"), F.concat(F.lit("unitId="), "unit_id"), F.concat(F.lit("candidateIds="), "occurrence_id"), F.concat(F.lit("groupAnchorId="), F.coalesce(anchor(F.col("evidence")), F.lit(""))), F.when(reader != "", reader))
-    return rows.select("task_id", "position_index", "page", "occurrence_id", "document_id", "unit_id", "type", "explanation", bound.alias("evidence"), "source_id")
+    own = F.concat_ws("; ", F.concat(F.lit("documentId="), "document_id"), F.concat(F.lit("unitId="), "unit_id"), F.concat(F.lit("candidateIds="), "occurrence_id"), F.concat(F.lit("groupAnchorId="), F.coalesce(anchor(F.col("evidence")), F.lit(""))), F.when(reader != "", reader))
+    return rows.select("task_id", "position_index", "page", "occurrence_id", "document_id", "unit_id", "type", "explanation", own.alias("evidence"), "source_id")
 
 
 def page_violations(conclusions: DataFrame) -> DataFrame:
     """(rule, key, detail) for the conclusions of candidates (as ``projected`` gives them): anchors that are unknown, come
     later, are not their own anchor, or judge otherwise; and paths with two anchors or types."""
-    own = conclusions.select("task_id", "occurrence_id", "position_index", "type", "explanation", anchor(F.col("evidence")).alias("anchor"))
+    # read three times: by anchor, as anchors, and by path
+    own = written(conclusions.select("task_id", "occurrence_id", "position_index", "type", "explanation", anchor(F.col("evidence")).alias("anchor")), "anchored")
     to = own.select("task_id", F.col("occurrence_id").alias("anchor"), F.col("position_index").alias("at"), F.col("type").alias("t"), F.col("explanation").alias("e"), F.col("anchor").alias("aa"))
     pairs = own.join(to, ["task_id", "anchor"], "left")
-    out = lambda df, rule, detail: df.select(F.lit(rule).alias("rule"), F.concat_ws("|", "task_id", "occurrence_id").alias("key"), detail.alias("detail"))
-    known = pairs.where("at IS NOT NULL")
+    known = F.col("at").isNotNull()
+    rule = lambda name, broken, detail: F.when(broken, F.struct(F.lit(name).alias("rule"), detail.alias("detail")))
+    rules = F.array(
+        rule("known anchor", ~known, F.coalesce("anchor", F.lit("none"))),
+        rule("earlier anchor", known & (F.col("at") > F.col("position_index")), F.col("anchor")),
+        rule("self-anchored", known & ~F.col("aa").eqNullSafe(F.col("anchor")), F.col("anchor")),
+        rule("one type and path", known & ((F.col("type") != F.col("t")) | (F.col("explanation") != F.col("e"))), F.col("anchor")),
+    )
+    broken = pairs.select(F.concat_ws("|", "task_id", "occurrence_id").alias("key"), F.explode(F.array_compact(rules)).alias("r"))
     paths = target_paths(own.select("task_id", F.col("occurrence_id").alias("id"), F.col("type").alias("conclusion_type"), "explanation", "anchor"))
     disposed = paths.where("error IS NULL").groupBy("task_id", "normal").agg(F.countDistinct(F.struct("conclusion_type", "anchor")).alias("n")).where("n > 1")
-    return (
-        out(pairs.where("at IS NULL"), "known anchor", F.coalesce("anchor", F.lit("none")))
-        .unionByName(out(known.where("at > position_index"), "earlier anchor", F.col("anchor")))
-        .unionByName(out(known.where("NOT (aa <=> anchor)"), "self-anchored", F.col("anchor")))
-        .unionByName(out(known.where("type <> t OR explanation <> e"), "one type and path", F.col("anchor")))
-        .unionByName(disposed.select(F.lit("one disposition").alias("rule"), F.concat_ws("|", "task_id", "normal").alias("key"), F.col("n").cast("string").alias("detail")))
-    )
+    paths_twice = disposed.select(F.lit("one disposition").alias("rule"), F.concat_ws("|", "task_id", "normal").alias("key"), F.col("n").cast("string").alias("detail"))
+    return broken.select("r.rule", "key", "r.detail").unionByName(paths_twice)
 
 
 def merged(conclusions: DataFrame) -> DataFrame:

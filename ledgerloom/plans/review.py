@@ -24,7 +24,7 @@ def target_paths(conclusions: DataFrame) -> DataFrame:
     split = F.col("conclusion_type") == "SPLIT"
     parts = F.when(split, F.split("explanation", "<br>", -1)).otherwise(F.array("explanation"))
     rows = conclusions.withColumn("_n", F.size(parts)).withColumn("path", F.explode(F.transform(parts, lambda p: X.strip(p))))
-    rows = X.with_normal_path(rows, "path", "normal")
+    rows = rows.withColumn("normal", X.normal_path_in_rows(F.col("path")))
     error = (
         F.when(split & (F.col("_n") < 2), "a split needs two paths")
         .when(~split & F.contains("explanation", F.lit("<br>")), "only a split has several paths")

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.plans import reconcile as R
 from ledgerloom.plans import scope as S
 from ledgerloom.plans import validators as V
 from ledgerloom.sources import structured as J
@@ -143,3 +144,20 @@ def test_normal_paths_by_dictionary(spark):
     assert {r.normal for r in got.where("k IN (0, 1)").collect()} == {"a/b c"}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("nfkc(") == 1 and "Aggregate" in plan[plan.index("nfkc(") :]
+
+
+def test_concluded_says_what_pages_groups_and_joins_say(spark):
+    """One dealing-out by task gives what the joins of ``settled`` and ``projected`` give, and plans two shuffles of rows at most."""
+    rows = [(f"T{k % 3}" if k % 50 else None, f"C{k}", k * 7 % 97, ["A / b", " a /  B", "Ｃ", " ", None][k % 5], f"D{k % 2}", f"U{k}", f"documentId=D{k % 2}; line {k}") for k in range(150)]
+    candidates = spark.createDataFrame(rows, "task_id string, occurrence_id string, position int, feature_text string, document_id string, unit_id string, evidence_text string")
+    said = [(r[0], r[1], ["SPLIT", "MATCHED", "MERGE"][k % 3], ["a / b", "c", "other"][k % 4 % 3], f"groupAnchorId={r[1]}") for k, r in enumerate(rows) if k % 11]
+    judged = spark.createDataFrame(said, "task_id string, occurrence_id string, type string, explanation string, evidence string")
+    paged = R.pages(candidates)
+    settled = R.settled(paged, judged)
+    got = R.concluded(candidates, judged)
+    as_rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert as_rows(R.bound(got)) == as_rows(R.projected(paged, settled))
+    columns = ["task_id", "page", "path", "source_id", "type", "explanation", "evidence", "reused"]
+    assert as_rows(got.where("leads").select(columns)) == as_rows(settled.select(columns))
+    plan = R.bound(got)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
