@@ -10,9 +10,10 @@ epoch that is committed is not written again; a unit that a committed epoch hold
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.tables import written
 from ledgerloom.sinks.epochs import BUCKETS, EpochStore
 
 
@@ -45,44 +46,40 @@ class AcceptedStore(EpochStore):
         committed = self.epochs()
         if epoch in committed:
             return
-        incoming = incoming.dropDuplicates().withColumn("bucket", self.bucket(self.unit)).persist()
-        rows, outcomes = (self._by_attempt if self.attempt else self._by_row)(incoming, self.read("rows", committed, incoming))
-        self.write("rows", rows, epoch)
-        self.write("outcomes", outcomes, epoch)
-        incoming.unpersist()
+        incoming = incoming.withColumn("bucket", self.bucket(self.unit))
+        stored = self.read("rows", committed, incoming if committed else None)
+        marked = written((self._by_attempt if self.attempt else self._by_row)(incoming, stored), "marked")
+        accepted = "accepted" if self.attempt else "insert"
+        self.write("rows", marked.where(F.col("outcome") == accepted).drop("outcome"), epoch)
+        told = marked.select(*self.unit, self.attempt, "outcome", "bucket").distinct() if self.attempt else marked.select(*self.unit, "outcome", "bucket")
+        self.write("outcomes", told, epoch)
         self.commit(epoch)
 
-    def _match(self, df: DataFrame, other: DataFrame, columns: list[str], how: str) -> DataFrame:
-        """A null-safe join on the columns; the other side's are dropped."""
-        renamed = other.select(*(F.col(x).alias(f"_{x}") for x in columns), *(x for x in other.columns if x not in columns))
-        same = F.lit(True)
-        for x in columns:
-            same &= F.col(x).eqNullSafe(F.col(f"_{x}"))
-        return df.join(renamed, same, how).drop(*(f"_{x}" for x in columns))
+    def _together(self, incoming: DataFrame, stored: DataFrame | None, values: list[str]) -> DataFrame:
+        """The distinct rows of both, dealt out once by unit: _came says whether it is of this epoch, _was of one before."""
+        rows = incoming.select(*self.unit, *values, "bucket", F.lit(True).alias("_came"), F.lit(False).alias("_was"))
+        if stored is not None:
+            held = stored.select(*self.unit, *(F.col(x) if x in stored.columns else F.lit(None).alias(x) for x in values), "bucket", F.lit(False).alias("_came"), F.lit(True).alias("_was"))
+            rows = rows.unionByName(held)
+        rows = rows.withColumn("_slot", self.slot(self.unit)).repartition("_slot")
+        return rows.groupBy("_slot", *self.unit, "bucket", *values).agg(F.max("_came").alias("_came"), F.max("_was").alias("_was"))
 
-    def _by_attempt(self, incoming: DataFrame, stored: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        first = incoming.groupBy(*self.unit).agg(F.min(F.struct(F.col(self.attempt).isNull(), self.attempt))[self.attempt].alias("_winner"))
-        rows = self._match(incoming, first, self.unit, "inner")
-        if stored is None:
-            rows = rows.withColumn("_known", F.lit(False))
-        else:
-            known = stored.select(*self.unit).distinct().withColumn("_held", F.lit(True))
-            rows = self._match(rows, known, self.unit, "left").withColumn("_known", F.coalesce("_held", F.lit(False))).drop("_held")
-        outcome = F.when(~F.col("_known") & F.col(self.attempt).eqNullSafe(F.col("_winner")), "accepted").otherwise("replay")
-        rows = rows.withColumn("outcome", outcome)
-        told = rows.select(*self.unit, self.attempt, "outcome", "bucket").distinct()
-        return rows.where("outcome = 'accepted'").drop("outcome", "_known", "_winner"), told
+    def _by_attempt(self, incoming: DataFrame, stored: DataFrame | None) -> DataFrame:
+        values = [x for x in incoming.columns if x not in (*self.unit, "bucket")]
+        # of what is stored, that a unit is there
+        known = None if stored is None else stored.select(*self.unit, "bucket").distinct()
+        rows = self._together(incoming, known, values)
+        unit = Window.partitionBy("_slot", *self.unit)
+        attempt = F.struct(F.col(self.attempt).isNull(), F.col(self.attempt).alias("a"))
+        rows = rows.withColumns({"_known": F.max("_was").over(unit), "_winner": F.min(F.when(F.col("_came"), attempt)).over(unit)})
+        outcome = F.when(~F.col("_known") & attempt.eqNullSafe(F.col("_winner")), "accepted").otherwise("replay")
+        return rows.where("_came").select(*incoming.columns, outcome.alias("outcome"))
 
-    def _by_row(self, incoming: DataFrame, stored: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def _by_row(self, incoming: DataFrame, stored: DataFrame | None) -> DataFrame:
         values = [x for x in incoming.columns if x not in (*self.unit, "bucket")]
-        row = F.struct(*(v for x in values for v in (F.col(x).isNull().alias(f"_n_{x}"), F.col(x))))
-        first = incoming.groupBy(*self.unit).agg(F.min(row).alias("_first"))
-        rows = self._match(incoming, first, self.unit, "inner").withColumn("_inner", row.eqNullSafe(F.col("_first")))
-        if stored is None:
-            rows = rows.withColumn("_held", F.lit(None).cast("boolean"))
-        else:
-            old = stored.select(*self.unit, row.alias("_old"), F.lit(True).alias("_held"))
-            rows = self._match(rows, old, self.unit, "left").withColumn("_inner", F.when(F.col("_held"), row.eqNullSafe(F.col("_old"))).otherwise(F.col("_inner"))).drop("_old")
-        outcome = F.when(~F.col("_inner"), "conflict").when(F.col("_held"), "same").otherwise("insert")
-        rows = rows.withColumn("outcome", outcome).drop("_first", "_inner", "_held")
-        return rows.where("outcome = 'insert'").drop("outcome"), rows.select(*self.unit, "outcome", "bucket")
+        row = F.struct(*(v for x in values for v in (F.col(x).isNull().alias(f"_n_{x}"), F.col(x)))) if values else F.struct(F.lit(True))
+        unit = Window.partitionBy("_slot", *self.unit)
+        rows = self._together(incoming, stored, values)
+        rows = rows.withColumns({"_held": F.max("_was").over(unit), "_first": F.min(F.when(F.col("_came"), row)).over(unit)})
+        outcome = F.when(F.col("_was"), "same").when(F.col("_held") | ~row.eqNullSafe(F.col("_first")), "conflict").otherwise("insert")
+        return rows.where("_came").select(*incoming.columns, outcome.alias("outcome"))

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 #: rows are dealt out over so many partitions of an epoch by their keys, so that a lookup reads those of its own keys only
 BUCKETS = 32
+#: rows of a bucket that are written together; a task writes few buckets' files, and no bucket lies in one task
+SLOTS = 16
 
 
 class EpochStore:
@@ -44,20 +46,19 @@ class EpochStore:
     def bucket(self, keys: list[str]) -> Column:
         return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
 
+    def slot(self, keys: list[str]) -> Column:
+        """Of rows with the same bucket and keys the same; rows that are dealt out by it lie together by key and bucket."""
+        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets * SLOTS)).cast("int")
+
     def write(self, kind: str, df: DataFrame, epoch: int) -> None:
         """``df`` (with ``bucket``) as the epoch's rows, in place of any that are there."""
-        df.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", "bucket").parquet(f"{self.path}/{kind}")
-        # buckets that a writer that died had filled from other rows, and this one has not
-        now = {r.bucket for r in df.select("bucket").distinct().collect()}
-        for name in self._names(f"{kind}/epoch={epoch}"):
-            if name.startswith("bucket=") and int(name.removeprefix("bucket=")) not in now:
-                fs, where = self._fs(f"{self.path}/{kind}/epoch={epoch}/{name}")
-                fs.delete(where, True)
+        # the epoch's whole folder is replaced, with buckets that a writer that died had filled from other rows
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{self.path}/{kind}/epoch={epoch}")
 
     def read(self, kind: str, epochs: list[int], touched: DataFrame | None = None) -> DataFrame | None:
         """The rows of these epochs, of the buckets that ``touched`` names only if it is given; None if there are none."""
         names = set(self._names(kind)) if epochs else set()
-        paths = [f"{self.path}/{kind}/epoch={e}" for e in epochs if f"epoch={e}" in names]
+        paths = [f"{self.path}/{kind}/epoch={e}" for e in epochs if f"epoch={e}" in names and any(n.startswith("bucket=") for n in self._names(f"{kind}/epoch={e}"))]
         if not paths:
             return None
         found = self.spark.read.parquet(paths[0]).schema

@@ -76,3 +76,12 @@ def test_a_stream_that_starts_again(spark, tmp_path):
     rows = store.rows().collect()
     assert sorted(r.batch_id for r in rows) == [f"b{k}" for k in range(6)]
     assert store.outcomes().count() == 12
+
+
+def test_an_epoch_is_dealt_out_once(spark, tmp_path):
+    """Incoming and stored rows meet by one shuffle, and the epoch's rows are told apart there."""
+    store = AcceptedStore(spark, f"{tmp_path}/t", ["batch_id", "row_sequence"], buckets=4)
+    rows = spark.createDataFrame([("b", None, 1, "x"), (None, "a", 2, None)], ROWS).withColumn("bucket", store.bucket(store.unit))
+    marked = store._by_row(rows, rows.limit(1))
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
