@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import ledger_queries as Q
-from ledgerloom.operators.tables import shared_dir
+from ledgerloom.operators.tables import shared_dir, written
 from ledgerloom.plans import reconcile as R
 from ledgerloom.plans import rounds as N
 from ledgerloom.plans.live import LiveProgress
@@ -136,7 +136,9 @@ def replayed_rows(t: Tables) -> DataFrame:
 def reconciled_rounds(t: Tables) -> DataFrame:
     """The model's answers come from a table; every 41st target is left out until it is asked for the second time, and
     every 43rd while it is asked for with others."""
-    table = t("judged").select("task_id", "occurrence_id", "type", "explanation", "evidence").join(t("candidates").select("occurrence_id", "part"), "occurrence_id")
+    # the model's table is made once, not at every attempt that asks it
+    t.keep("lines")
+    table = written(t("judged").select("task_id", "occurrence_id", "type", "explanation", "evidence").join(t("candidates").select("occurrence_id", "part"), "occurrence_id"), "answers_of_the_model")
 
     def ask(requests: DataFrame) -> DataFrame:
         each = requests.select("task_id", "page", "alone", "attempt", F.explode("targets").alias("t")).select("task_id", "page", "alone", "attempt", "t.occurrence_id")
