@@ -202,7 +202,8 @@ def planned_batches(t: Tables) -> DataFrame:
 
 
 def _gate(t: Tables) -> DataFrame:
-    targets = written(V.freeze(t("candidates"), _heads(t))[0], "targets")
+    # the heads are written, not the targets: these are made of them row by row, and each check deals out what it needs
+    targets, _ = V.freeze(t("candidates"), written(_heads(t), "heads"))
     return K.audit_gate(t("tasks"), t("inventory"), t("work"), t("candidates"), t("conclusions"), t("links"), targets.select("task_id", "stable_feature_id", "stable_sequence", "generation_eligible", "source.*"))
 
 

@@ -96,22 +96,28 @@ def audit_gate(tasks: DataFrame, documents: DataFrame, work: DataFrame, candidat
     conclusion_id, conclusion_type, decision_reason and candidate_ids (sorted)."""
     n = lambda c, name: F.count_if(c).alias(name)
     by = lambda df, *aggs: df.groupBy("task_id").agg(*aggs)
+    # each comparison deals its rows out once and by what it compares, narrow as they are; a task's rows meet as counts
     of = links.groupBy("task_id", "conclusion_id").agg(F.array_sort(F.collect_list("candidate_id")).alias("own"))
-    known = conclusions.select("task_id", F.col("id").alias("conclusion_id"), F.col("conclusion_type").alias("own_type"), F.col("explanation").alias("own_reason")).join(of, ["task_id", "conclusion_id"], "left")
-    pairs = frozen.join(known, ["task_id", "conclusion_id"], "left")
+    heads = conclusions.groupBy("task_id", F.col("id").alias("conclusion_id")).agg(F.count("*").alias("rows"), n(F.col("conclusion_type") == "CONFLICT", "conflicted"), F.min(F.struct(F.col("conclusion_type").alias("own_type"), F.col("explanation").alias("own_reason"))).alias("h"))
+    known = heads.select("task_id", "conclusion_id", "rows", "conflicted", "h.*").join(of, ["task_id", "conclusion_id"], "left")
+    shown = ["conclusion_type", "decision_reason", "candidate_ids", "generation_eligible"]
+    pairs = frozen.select("task_id", "conclusion_id", *shown).join(known.drop("rows", "conflicted"), ["task_id", "conclusion_id"], "left")
     true_copy = (F.col("own_type") == F.col("conclusion_type")) & (F.col("own_type") != "CONFLICT") & (F.col("own_reason") == F.col("decision_reason")) & (F.col("own") == F.col("candidate_ids"))
     true_copy &= F.col("generation_eligible") == (F.col("own_type") != "INSUFFICIENT_EVIDENCE")
-    covered = frozen.select("task_id", F.explode("candidate_ids").alias("candidate_id")).distinct()
-    missing = candidates.select("task_id", F.col("occurrence_id").alias("candidate_id")).join(covered, ["task_id", "candidate_id"], "left_anti")
-    unknown = covered.join(candidates.select("task_id", F.col("occurrence_id").alias("candidate_id")), ["task_id", "candidate_id"], "left_anti")
+    copies = pairs.groupBy("task_id", "conclusion_id").agg(n(~F.coalesce(true_copy, F.lit(False)), "false"))
+    asked = candidates.select("task_id", F.col("occurrence_id").alias("candidate_id"), F.lit(1).alias("c"), F.lit(0).alias("f"))
+    told = frozen.select("task_id", F.explode("candidate_ids").alias("candidate_id"), F.lit(0).alias("c"), F.lit(1).alias("f"))
+    met = asked.unionByName(told).groupBy("task_id", "candidate_id").agg(F.sum("c").alias("c"), F.max("f").alias("f"))
+    identities = frozen.groupBy("task_id", "stable_feature_id").agg(F.count("*").alias("n"))
+    sequences = frozen.groupBy("task_id", "stable_sequence").agg(F.count("*").alias("n"))
     parts = [
         by(documents, n(F.col("complete"), "complete_documents")),
         by(work, F.count("*").alias("total_work"), n(F.col("status") == "COMPLETED", "completed_work"), n(F.col("status") == "FAILED", "failed_work")),
-        by(candidates, F.count("*").alias("candidates")),
-        by(links.join(conclusions.select("task_id", F.col("id").alias("conclusion_id")), ["task_id", "conclusion_id"], "left_semi"), F.count("*").alias("covered_candidates")),
-        by(conclusions, F.count("*").alias("n_conclusions"), F.countDistinct("id").alias("n_ids"), n(F.col("conclusion_type") == "CONFLICT", "conflicts")),
-        by(pairs, F.count("*").alias("targets"), F.countDistinct("stable_feature_id").alias("target_ids"), F.countDistinct("stable_sequence").alias("sequences"), F.min("stable_sequence").alias("lo"), F.max("stable_sequence").alias("hi"), n(~F.coalesce(true_copy, F.lit(False)), "false_copies"), F.countDistinct("conclusion_id").alias("frozen_conclusions")),
-        by(missing.unionByName(unknown), F.count("*").alias("uncovered")),
+        by(met, F.sum("c").alias("candidates"), n(F.expr("candidate_id IS NULL OR c = 0 OR f = 0"), "uncovered")),
+        by(known, F.sum("rows").alias("n_conclusions"), F.count("conclusion_id").alias("n_ids"), F.sum("conflicted").alias("conflicts"), F.sum(F.coalesce(F.size("own"), F.lit(0))).alias("covered_candidates")),
+        by(copies, F.sum("false").alias("false_copies"), F.count("conclusion_id").alias("frozen_conclusions")),
+        by(identities, F.sum("n").alias("targets"), F.count("stable_feature_id").alias("target_ids")),
+        by(sequences, F.count("stable_sequence").alias("sequences"), F.min("stable_sequence").alias("lo"), F.max("stable_sequence").alias("hi")),
     ]
     out = reduce(lambda a, b: a.join(b, "task_id", "left"), parts, tasks.select("task_id", "material_documents"))
     out = out.fillna(0, [c for c in out.columns if c not in ("task_id", "material_documents")])
