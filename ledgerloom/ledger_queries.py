@@ -237,7 +237,6 @@ def audit_gate(t: Tables) -> DataFrame:
   SELECT task_id, terminal, terminal <> 'FAILED' AS exportable FROM f"""
 )
 def finalization(t: Tables) -> DataFrame:
-    t.keep("lines", "candidates", "links", "conclusions", "batches")
     return K.finalization(t("tasks"), t("batches"), t("attempts"), t("cases"), t("targets"), _gate(t))
 
 
