@@ -8,6 +8,7 @@ the library's on one side and plain SQL on the other.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ledgerloom.functions import ids as I
 from ledgerloom.functions import text as X
 from ledgerloom.functions import times as T
 from ledgerloom.operators import ledger as L
-from ledgerloom.operators.tables import written
+from ledgerloom.operators.tables import parts_of, written
 from ledgerloom.plans import progress as P
 from ledgerloom.plans import reconcile as R
 from ledgerloom.plans import review as V
@@ -77,12 +78,16 @@ class Tables:
                 needs = {n: self(n) for n in [*FRAMES, *DRIVER] if f"{{{n}}}" in FRAMES[name]}
                 if name == "lines":
                     # dealt out by order before anything is sorted: repeats meet, and joins and windows by order find them there
-                    needs["lineitem"] = needs["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").repartition("l_orderkey")
+                    needs["lineitem"] = needs["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").repartition(self.parts, "l_orderkey")
                 self.made[name] = self.spark.sql(FRAMES[name], **needs)
             else:
                 self.made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.made[name]
 
+    @cached_property
+    def parts(self) -> int:
+        """Parts of the line items, and of frames that have as many rows."""
+        return parts_of(self("lineitem"))
 
     def keep(self, *names: str) -> Tables:
         """Writes frames that a query reads many times, once."""

@@ -26,3 +26,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: rows of a part of ``parts_of``
+PART_ROWS = 250_000
+
+
+def parts_of(table: DataFrame) -> int:
+    """Into how many parts to deal out what comes of a table, so that a task holds no more of a larger one. The rows of a
+    table in files are counted from their footers."""
+    return table.count() // PART_ROWS + 1
