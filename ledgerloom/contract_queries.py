@@ -24,13 +24,15 @@ big = lambda x: x.cast("bigint")
 WITH_LINES = "WITH lines AS (" + Q.FRAMES["lines"].format_map(Q.DRIVER) + "), x AS (SELECT l_orderkey AS k, l_linenumber AS n, part, supp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i, count(*) OVER (PARTITION BY l_orderkey) AS m FROM lines)"
 
 
-def query(sql: str) -> Callable[[Callable[[DataFrame], DataFrame]], Callable[[DataFrame], DataFrame]]:
-    """Registers a query over ``x``: lines (k, n, part, supp) with their number i of m in their order."""
+def query(sql: str, parts: bool = False) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Registers a query over ``x``: lines (k, n, part, supp) with their number i of m in their order. With ``parts`` it
+    is also told into how many parts to deal out as many rows by another key."""
 
-    def add(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            lines = Q.Tables(spark, sf_dir)("lines")
-            return f(spark.sql("SELECT l_orderkey AS k, l_linenumber AS n, part, supp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i, count(*) OVER (PARTITION BY l_orderkey) AS m FROM {lines}", lines=lines))
+            t = Q.Tables(spark, sf_dir)
+            x = spark.sql("SELECT l_orderkey AS k, l_linenumber AS n, part, supp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i, count(*) OVER (PARTITION BY l_orderkey) AS m FROM {lines}", lines=t("lines"))
+            return f(x, t.parts) if parts else f(x)
 
         QUERIES[f.__name__] = run
         ORACLES[f.__name__] = f"{WITH_LINES}{', ' if sql.lstrip().startswith(',') else ' '}{sql.lstrip().removeprefix(',')}"
@@ -131,8 +133,8 @@ def selection_rules(x: DataFrame) -> DataFrame:
 
 @query(""", u AS (SELECT k, (i - 1) // 2 + 1 AS page, i, m, part, supp, n FROM x), d AS (SELECT k, max(m) AS m, count(*) AS n, count(DISTINCT CASE WHEN k % 11 = 1 THEN 0 ELSE i END) AS ids, max(page) AS pages FROM u GROUP BY k)
   SELECT r.rule, 'K' || k AS key, n || ' of ' || CASE WHEN k % 11 = 2 THEN m + 1 ELSE m END AS detail FROM d, (VALUES ('unique units'), ('count'), ('end'), ('same id'), ('ordinals'), ('order'), ('same total')) AS r(rule)
-  WHERE r.rule = 'unique units' AND k % 11 = 1 AND m > 1 OR r.rule = 'order' AND k % 11 = 1 AND m > 1 OR r.rule = 'count' AND k % 11 = 2 OR r.rule = 'end' AND k % 11 = 3 OR r.rule = 'same id' AND k % 11 = 4 OR r.rule = 'ordinals' AND k % 11 = 5""")
-def paged_units(x: DataFrame) -> DataFrame:
+  WHERE r.rule = 'unique units' AND k % 11 = 1 AND m > 1 OR r.rule = 'order' AND k % 11 = 1 AND m > 1 OR r.rule = 'count' AND k % 11 = 2 OR r.rule = 'end' AND k % 11 = 3 OR r.rule = 'same id' AND k % 11 = 4 OR r.rule = 'ordinals' AND k % 11 = 5""", parts=True)
+def paged_units(x: DataFrame, parts: int) -> DataFrame:
     """Orders are documents of two units a page; of every eleventh one a rule is broken."""
     off = lambda n: c("k") % 11 == n
     unit = F.struct(
@@ -151,7 +153,7 @@ def paged_units(x: DataFrame) -> DataFrame:
             F.when(off(2), c("m") + 1).otherwise(c("m")).cast("int").alias("total_units"),
             (c("last") & ~off(3)).alias("complete"),
             "units",
-        )
+        ).repartition(parts, "document_id")
     )
 
 
