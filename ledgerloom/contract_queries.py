@@ -278,11 +278,11 @@ def changed_rows(x: DataFrame) -> DataFrame:
     return L.change_violations(changed, x.where("k % 4 > 0").select("k"), ["k"])
 
 
-@query(""" SELECT 'T' || k AS task_id, CASE WHEN k % 5 = 0 THEN 'insert' WHEN k % 5 = 1 AND m > 1 OR k % 5 = 2 OR k % 5 = 4 THEN 'conflict' ELSE 'same' END AS outcome FROM (SELECT k, max(m) AS m FROM x GROUP BY k)""")
-def replayed_batch_plans(x: DataFrame) -> DataFrame:
+@query(""" SELECT 'T' || k AS task_id, CASE WHEN k % 5 = 0 THEN 'insert' WHEN k % 5 = 1 AND m > 1 OR k % 5 = 2 OR k % 5 = 4 THEN 'conflict' ELSE 'same' END AS outcome FROM (SELECT k, max(m) AS m FROM x GROUP BY k)""", parts=True)
+def replayed_batch_plans(x: DataFrame, parts: int) -> DataFrame:
     """Stored plans lack a batch, name another feature, are whole, or have one more."""
     row = lambda df, name: df.select(F.concat(F.lit("T"), "k").alias("task_id"), c("i").cast("int").alias("batch_sequence"), name.alias("feature_id"), F.lit("f").alias("feature_name"))
     own = F.concat(F.lit("F"), "n")
     kept = x.where("k % 5 > 0 AND NOT (k % 5 = 1 AND i > 1)")
     more = x.where("k % 5 = 4 AND i = 1").withColumn("i", F.lit(99))
-    return R.replayed_plans(row(kept, F.when((c("k") % 5 == 2) & (c("i") == 1), "other").otherwise(own)).unionByName(row(more, own)), row(x, own))
+    return R.replayed_plans(row(kept, F.when((c("k") % 5 == 2) & (c("i") == 1), "other").otherwise(own)).unionByName(row(more, own)), row(x, own), parts)

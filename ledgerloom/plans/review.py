@@ -70,12 +70,14 @@ def plan_batches(targets: DataFrame) -> DataFrame:
     return numbered(targets.where("generation_eligible"), ["task_id"], [F.col("stable_sequence")], "batch_sequence").select("task_id", "batch_sequence", F.col("stable_feature_id").alias("feature_id"), "feature_name")
 
 
-def replayed_plans(stored: DataFrame, planned: DataFrame) -> DataFrame:
+def replayed_plans(stored: DataFrame, planned: DataFrame, parts: int | None = None) -> DataFrame:
     """(task_id, outcome) of plans (as ``plan_batches`` gives them): insert where a task has no batches, same where it has
-    exactly these, and conflict where any batch is missing, more or different."""
+    exactly these, and conflict where any batch is missing, more or different. Given ``parts``, all rows are dealt out by
+    task into so many, once."""
     columns = ["task_id", "batch_sequence", "feature_id", "feature_name"]
     side = lambda df, n: df.select(*columns, F.lit(n == 0).cast("int").alias("_old"), F.lit(n == 1).cast("int").alias("_new"))
-    rows = side(stored, 0).unionByName(side(planned, 1)).groupBy(*columns).agg(F.sum("_old").alias("_old"), F.sum("_new").alias("_new"))
+    both = side(stored, 0).unionByName(side(planned, 1))
+    rows = (both if parts is None else both.repartition(parts, "task_id")).groupBy(*columns).agg(F.sum("_old").alias("_old"), F.sum("_new").alias("_new"))
     tasks = rows.groupBy("task_id").agg(F.sum("_old").alias("old"), F.sum("_new").alias("new"), F.bool_and(F.col("_old") == F.col("_new")).alias("equal"))
     return tasks.where("new > 0").select("task_id", F.when(F.col("old") == 0, "insert").when(F.col("equal"), "same").otherwise("conflict").alias("outcome"))
 

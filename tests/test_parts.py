@@ -11,7 +11,7 @@ from tests.oracle import same
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize(("name", "key"), [("continuous_ordinals", "l_orderkey"), ("paged_units", "document_id")])
+@pytest.mark.parametrize(("name", "key"), [("continuous_ordinals", "l_orderkey"), ("paged_units", "document_id"), ("replayed_batch_plans", "task_id")])
 def test_parts_follow_the_rows(spark, monkeypatch, capsys, name, key):
     monkeypatch.setattr(tables, "PART_ROWS", 1000)
     parts = spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 1000 + 1
