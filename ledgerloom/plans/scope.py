@@ -66,13 +66,9 @@ def selection_violations(chosen: DataFrame) -> DataFrame:
     each = chosen.select("task_id", "document_ids", F.explode("hashes").alias("h"))
     repeated = each.groupBy("task_id", F.col("h.file_hash").alias("hash")).agg(F.count("*").alias("n")).where(F.col("n").__gt__(1) | X.is_blank(F.col("hash")))
     other = chosen.where(F.array_sort(F.transform("hashes", lambda h: h["document_id"])) != F.array_sort("document_ids"))
-    return (
-        row(kinds.where("n > 1"), "one coordinate", F.col("n"))
-        .unionByName(row(kinds.where("NOT list"), "function list", F.lit("missing")))
-        .unionByName(row(kinds.where("NOT formal"), "formal requirement", F.lit("missing")))
-        .unionByName(row(repeated, "distinct hashes", F.col("hash")))
-        .unionByName(row(other, "hashes of documents", F.col("type_key")))
-    )
+    failed = [("one coordinate", F.col("n") > 1, F.col("n").cast("string")), ("function list", ~F.col("list"), F.lit("missing")), ("formal requirement", ~F.col("formal"), F.lit("missing"))]
+    each_rule = F.array_compact(F.array(*(F.when(wrong, F.struct(F.lit(rule).alias("rule"), F.col("task_id").cast("string").alias("key"), detail.alias("detail"))) for rule, wrong, detail in failed)))
+    return kinds.select(F.explode(each_rule).alias("r")).select("r.*").unionByName(row(repeated, "distinct hashes", F.col("hash"))).unionByName(row(other, "hashes of documents", F.col("type_key")))
 
 
 def role(material_type: Column, admission_types: Column) -> Column:
