@@ -88,7 +88,8 @@ def _raw(turns: DataFrame) -> DataFrame:
   SELECT stream_id, CASE WHEN status = 'complete' THEN answer END AS answer, status, CAST(CASE WHEN told THEN opened END AS BIGINT) AS open_declarations, CAST(CASE WHEN told THEN calls END AS BIGINT) AS open_calls, CAST(CASE WHEN told THEN unknown END AS BIGINT) AS unknown_results
   FROM (SELECT *, why = 'complete' AND size <= 12 AS told FROM t)""")
 def answer_calls(t: Tables) -> DataFrame:
-    return C.fold(C.classify(_raw(t("turns")), skill="reader", max_characters=1000), limit=12, evidence=True)
+    # dealt out by stream before the events are made, narrow as the turns are, and not again
+    return C.fold(C.classify(_raw(t("turns").repartition(t.parts, "stream_id")), skill="reader", max_characters=1000), limit=12, evidence=True)
 
 
 # Leases and acceptance

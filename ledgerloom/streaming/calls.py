@@ -9,12 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ledgerloom.operators.tables import written
-
 # Tools, and the fields that may hold a call's id and a skill's name.
 READ_TOOL, ALLOWED_TOOLS = "read_skill", ["read_skill", "execute_skill_script"]
 CALL_ID_FIELDS, NESTED_FIELDS = ["tool_call_id", "call_id", "id"], ["arguments", "args", "input"]
@@ -108,55 +106,61 @@ def fold(events: DataFrame, *, limit: int = MAX_CHARACTERS, evidence: bool = Fal
     status is complete; with ``evidence`` otherwise open declaration, open call, failed call or no evidence; the kind of
     the event that refused it; repeated call; oversized answer; torn if events after a missing one are all that is left,
     or unterminated. Results that answer no open call are unknown. Counts are null for streams that are not complete.
-    Only answers within ``limit`` meet in one row; all else is aggregated by parts.
+    Only answers within ``limit`` meet in one row; all else is counted along the stream or aggregated by parts.
     """
-    one = written(events.groupBy("stream_id", "seq").agg(F.min(F.struct("kind", "content", "call_id", "success")).alias("e")).select("stream_id", "seq", "e.*"), "events")
-    # the first number without a successor ends the part that counts
-    after = one.select("stream_id", (F.col("seq") - 1).alias("seq"), F.lit(True).alias("_next"))
-    reach = one.join(after, ["stream_id", "seq"], "left").groupBy("stream_id").agg(
-        F.min(F.when(F.col("_next").isNull() & (F.col("seq") >= 1), F.col("seq"))).alias("_reach"), F.max("seq").alias("_last"), F.max(F.col("seq") == 1).alias("_begun"))
-    reach = reach.select("stream_id", F.when(F.col("_begun"), F.col("_reach")).otherwise(0).alias("_reach"), "_last")
-    live = one.join(reach, "stream_id").where("seq BETWEEN 1 AND _reach")
-    first = live.where("kind = 'call'").groupBy("stream_id").agg(F.min(F.struct("seq", "call_id")).alias("_call"))
-    live = live.join(first, "stream_id", "left")
-    ending = F.when((F.col("kind") == "call") & (F.col("seq") > F.col("_call.seq")), "repeated call").when(F.col("kind").isin("complete", *REFUSED), F.col("kind"))
-    ends = live.withColumn("_end", ending).where("_end IS NOT NULL").groupBy("stream_id").agg(F.min(F.struct("seq", F.col("_end").alias("kind"))).alias("_end"))
-    live = live.join(ends, "stream_id", "left").where("_end IS NULL OR seq < _end.seq")
-    live = live.withColumn("_call", F.when(F.col("_end").isNull() | (F.col("_call.seq") < F.col("_end.seq")), F.col("_call")))
+    stream = Window.partitionBy("stream_id")
+    order = stream.orderBy("seq", "kind", "content", "call_id", "success")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # rows are dealt out and sorted once; of equal numbers the least event counts, as long as each number so far is there
+    rows = events.select("stream_id", "seq", "kind", "content", "call_id", "success")
+    rows = rows.withColumn("_again", (F.row_number().over(order) > 1) & F.lag("seq").over(order).eqNullSafe(F.col("seq")))
+    rows = rows.withColumn("_n", F.count_if(~F.col("_again") & (F.col("seq") >= 1)).over(so_far))
+    rows = rows.withColumn("_counts", F.coalesce(~F.col("_again") & (F.col("seq") >= 1) & (F.col("_n") == F.col("seq")), F.lit(False)))
+    rows = rows.withColumn("_calls", F.count_if(F.col("_counts") & (F.col("kind") == "call")).over(so_far))
+    ending = F.when((F.col("kind") == "call") & (F.col("_calls") > 1), "repeated call").when(F.col("kind").isin("complete", *REFUSED), F.col("kind"))
+    rows = rows.withColumn("_end", F.when(F.col("_counts"), ending))
+    rows = rows.withColumn("_ends", F.count("_end").over(so_far))
+    live = F.col("_counts") & (F.col("_ends") == 0)
+    rows = rows.withColumns({"_live": live, "_call": F.min(F.when(live & (F.col("kind") == "call"), F.struct("seq", "call_id"))).over(stream), "_size": F.sum(F.when(live, F.length("content"))).over(stream)})
+    live, result = F.col("_live"), F.col("kind") == "result"
     own = F.col("call_id") == F.col("_call.call_id")
-    later = F.col("seq") > F.col("_call.seq")
-    ids = live.groupBy("stream_id", "call_id").agg(
-        F.sum(F.length("content")).alias("size"),
-        F.max(F.when(F.col("kind") == "declared", F.col("seq"))).alias("declared"),
-        F.count_if(F.col("kind") == "result").alias("results"),
-        F.min(F.when((F.col("kind") == "result") & own & later, F.struct("seq", "success"))).alias("answer"),
-        F.max(F.when(own, F.col("_call.seq"))).alias("called"),
+    ids = rows.groupBy("stream_id", "call_id").agg(
+        F.sum(F.when(live, F.length("content"))).alias("size"),
+        F.max(F.when(live & (F.col("kind") == "declared"), F.col("seq"))).alias("declared"),
+        F.count_if(live & result).alias("results"),
+        F.min(F.when(live & result & own & (F.col("seq") > F.col("_call.seq")), F.struct("seq", "success"))).alias("answer"),
+        F.max(F.when(live & own, F.col("_call.seq"))).alias("called"),
+        F.max(F.when(F.col("_ends") == 1, F.col("_end"))).alias("_end"),
+        F.max(F.when(F.col("_counts"), F.col("seq"))).alias("_reach"),
+        F.max("seq").alias("_last"),
+        F.collect_list(F.when(live & (F.col("content") != "") & (F.col("_size") <= limit), F.struct("seq", "content"))).alias("_parts"),
     )
-    told = ids.groupBy("stream_id").agg(
-        F.sum("size").alias("size"),
+    whole = ids.groupBy("stream_id").agg(
+        F.coalesce(F.sum("size"), F.lit(0)).alias("size"),
         F.count_if(F.expr("declared IS NOT NULL AND (called IS NULL OR declared > called)")).alias("open_declarations"),
         F.count_if(F.expr("called IS NOT NULL AND answer IS NULL")).alias("open_calls"),
         (F.sum("results") - F.count_if(F.col("answer").isNotNull())).alias("unknown_results"),
         F.coalesce(F.bool_or(F.col("answer.success")), F.lit(False)).alias("succeeded"),
         F.coalesce(F.bool_or(~F.col("answer.success")), F.lit(False)).alias("failed"),
+        F.max("_end").alias("_end"),
+        F.coalesce(F.max("_reach"), F.lit(0)).alias("_reach"),
+        F.max("_last").alias("_last"),
+        F.flatten(F.collect_list("_parts")).alias("_parts"),
     )
-    whole = reach.join(ends, "stream_id", "left").join(told, "stream_id", "left").fillna(0, ["size", "open_declarations", "open_calls", "unknown_results"])
     complete = F.lit("complete")
     if evidence:
         complete = F.when(F.col("open_declarations") > 0, "open declaration").when(F.col("open_calls") > 0, "open call").when(F.col("failed"), "failed call").when(F.col("succeeded"), "complete").otherwise("no evidence")
     status = (
         F.when(F.col("size") > limit, "oversized answer")
-        .when(F.col("_end.kind") == "complete", complete)
-        .when(F.col("_end").isNotNull(), F.col("_end.kind"))
+        .when(F.col("_end") == "complete", complete)
+        .when(F.col("_end").isNotNull(), F.col("_end"))
         .when(F.col("_last") > F.col("_reach"), "torn")
         .otherwise("unterminated")
     )
-    told_of = ((F.col("_end.kind") == "complete") & (F.col("size") <= limit)).alias("_ended")
-    ended = whole.select("stream_id", status.alias("status"), told_of, "open_declarations", "open_calls", "unknown_results")
-    parts = live.join(ended.where("status = 'complete'").select("stream_id"), "stream_id", "left_semi").where("content <> ''")
-    texts = parts.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda e: e["content"]), "").alias("_text"))
-    counts = [F.when(F.col("_ended"), F.col(n)).alias(n) for n in ("open_declarations", "open_calls", "unknown_results")]
-    return ended.join(texts, "stream_id", "left").select("stream_id", F.when(F.col("status") == "complete", F.coalesce("_text", F.lit(""))).alias("answer"), "status", *counts)
+    text = F.array_join(F.transform(F.array_sort("_parts"), lambda e: e["content"]), "")
+    told = (F.col("_end") == "complete") & (F.col("size") <= limit)
+    counts = [F.when(told, F.col(n)).alias(n) for n in ("open_declarations", "open_calls", "unknown_results")]
+    return whole.withColumn("status", status).select("stream_id", F.when(F.col("status") == "complete", text).alias("answer"), "status", *counts)
 
 
 class CallFold(StatefulProcessor):

@@ -142,3 +142,15 @@ def test_stream_equals_batch_in_any_order(spark, tmp_path):
     q.awaitTermination(240)
     got = sorted(tuple(r) for r in spark.table("calls_out").where("stream_id <> 'flush'").collect())
     assert got == sorted(tuple(r) for r in C.fold(spark.createDataFrame(rows, KINDS), limit=18, evidence=True).collect())
+
+
+def test_fold_deals_events_out_once(spark, capsys):
+    C.fold(spark.createDataFrame([], KINDS), evidence=True).explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+
+
+def test_fold_of_odd_numbers(spark):
+    """Numbers below 1 and nulls count for nothing, and repeats in between tear no stream."""
+    rows = [("z", 0, "complete", "", None, False), ("n", None, "answer", "x", None, False), ("a", -3, "call", "", "c", False), ("a", 1, "answer", "x", None, False), ("a", 1, "answer", "x", None, False), ("a", 2, "complete", "", None, False), ("g", 2, "complete", "", None, False)]
+    got = {r.stream_id: (r.answer, r.status) for r in C.fold(spark.createDataFrame(rows, "stream_id string, seq long, kind string, content string, call_id string, success boolean")).collect()}
+    assert got == {"z": (None, "unterminated"), "n": (None, "unterminated"), "a": ("x", "complete"), "g": (None, "torn")}
