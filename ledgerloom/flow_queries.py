@@ -159,6 +159,7 @@ def reconciled_rounds(t: Tables) -> DataFrame:
 def scanned_rounds(t: Tables) -> DataFrame:
     """A pass finds the lines of its own number and all before; every 50th unit's second pass fails."""
     found = t("lines").selectExpr("'U' || l_orderkey AS unit_id", "'L' || (part % 7) AS line", "1 + part % 3 AS at_pass", "l_orderkey % 50 = 0 AS fails")
+    found = written(found, "found")  # made of the line items once, not at every pass
 
     def scan(asked: DataFrame, added: DataFrame | None, number: int) -> tuple[DataFrame, DataFrame]:
         rows = found.join(asked, "unit_id", "left_semi")

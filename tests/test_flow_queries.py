@@ -33,3 +33,14 @@ def test_outcomes_take_several_values(spark):
     several = {"answer_calls": "status", "replayed_rows": "outcome", "scanned_rounds": "passes", "bound_coordinates": "bound", "material_roles": "role", "selection_rules": "rule", "paged_units": "rule", "material_review_rules": "rule", "testcase_rules": "rule", "registry_rules": "rule"}
     for name, column in several.items():
         assert QUERIES[name](spark, SF).select(column).distinct().count() > 1, name
+
+
+def test_scanned_lines_are_made_once(spark, monkeypatch):
+    """Each pass reads the found lines from a table; none makes them of the line items again."""
+    from ledgerloom import flow_queries
+
+    names = []
+    plain = flow_queries.written
+    monkeypatch.setattr(flow_queries, "written", lambda df, name: names.append(name) or plain(df, name))
+    flow_queries.QUERIES["scanned_rounds"](spark, "/root/testdata/sf0.001")
+    assert names == ["found"]
