@@ -346,3 +346,12 @@ def test_snapshot_is_swapped_only_when_it_is_whole(spark):
     assert s.get().count() == 1 and len(loads) == 2
     now[0] = 6.0
     assert s.get(refresh=True).count() == 3 and len(loads) == 3
+
+
+def test_markdown_is_read_in_arrow_batches(spark, capsys):
+    """Tables become columns without an object for each row; other columns pass unchanged, and null texts are refused."""
+    rows = spark.sql("SELECT CAST(NULL AS STRING) AS markdown, CAST(1.5 AS DECIMAL(9, 2)) AS d, array(named_struct('a', 1)) AS s")
+    read = M.read(rows, "generation")
+    assert [(r.d, r.s[0].a, r.audit, r.cases, r.error) for r in read.collect()] == [(rows.first().d, 1, [], [], "no text")]
+    read.explain()
+    assert "MapInArrow" in capsys.readouterr().out
