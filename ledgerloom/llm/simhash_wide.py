@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut, free_name, text_batches, written
 from ledgerloom.llm.graph import components
-from ledgerloom.llm.lines import LINE_BITS, alike, joining, product
 from ledgerloom.llm.simhash import BitPlanes, bit_majority, shingle_hashes
 from ledgerloom.llm.words import as_binary, mix, slices
 
@@ -29,6 +28,8 @@ RADIUS = 26
 BINS, BANDS = 20, 10
 #: documents of a bucket, and their shingles, that one group of comparisons holds on each side
 BLOCK, BLOCK_SHINGLES = 512, 500_000
+#: texts that are compared together take so many bits, and the hash of a shingle the others
+LINE_BITS = 20
 
 
 def _each(column: pa.Array, shingle: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -181,6 +182,49 @@ def _compare(rows: pa.Table, shingle: int, threshold: float, radius: int) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
 
+def alike(a: np.ndarray, b: np.ndarray, n: int, threshold: float) -> np.ndarray:
+    """Whether the k-th sets of a and of b, in order by k, reach the threshold."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    of = lambda x: np.bincount((x >> np.uint64(64 - LINE_BITS)).astype(np.int64), minlength=n)
+    shared = of(both[1:][both[1:] == both[:-1]])
+    return shared >= threshold * (of(a) + of(b) - shared) - 1e-9
+
+
+def joining(a: list[int], b: list[int], joined: dict[int, int]) -> list[int]:
+    """Places k at which a[k] and b[k] are not connected yet, by ``joined`` (a forest of parents) or earlier places."""
+    out = []
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        while (p := joined.get(x, x)) != x:
+            joined[x] = joined.get(p, p)
+            x = p
+        while (p := joined.get(y, y)) != y:
+            joined[y] = joined.get(p, p)
+            y = p
+        if x != y:
+            joined[max(x, y)] = min(x, y)
+            out.append(k)
+    return out
+
+
+def product(a: np.ndarray, b: np.ndarray, n: int, m: int, threshold: float) -> np.ndarray:
+    """For n sets a and m sets b whether each two reach the threshold; only shingles that both sides have are counted."""
+    rest, mask = np.uint64(64 - LINE_BITS), np.uint64((1 << 64 - LINE_BITS) - 1)
+    ha, hb = a & mask, b & mask
+    common = np.intersect1d(ha, hb)
+    of = lambda x, k: np.bincount((x >> rest).astype(np.int64), minlength=k)
+    shared = np.zeros((n, m), np.float32)
+    for at in range(0, len(common), 8192):
+        part = common[at : at + 8192]
+        x, y = np.zeros((n, len(part)), np.float32), np.zeros((m, len(part)), np.float32)
+        for sets, h, into in ((a, ha, x), (b, hb, y)):
+            k = np.minimum(np.searchsorted(part, h), len(part) - 1)
+            hit = part[k] == h
+            into[(sets[hit] >> rest).astype(np.int64), k[hit]] = 1
+        shared += x @ y.T
+    return shared >= threshold * (of(a, n)[:, None] + of(b, m) - shared) - 1e-9
+
+
 def near_copies(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """(content, first) for every distinct content of docs (doc_id, content, text), content a hash of the two others:
     whether it is its component's first, by id (null ids last), then by content.

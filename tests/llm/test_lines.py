@@ -165,3 +165,23 @@ def test_rows_dealt_otherwise_and_clashing_names(spark):
     assert sorted(map(str, one)) == sorted(map(str, many)) and len(one) == len(docs)
     kept = [x.text for x in one if x.doc_id == 3]
     assert sorted(map(bool, kept)) == [False, False, True, True]
+
+
+def test_no_python_on_the_executors(spark, monkeypatch):
+    """DataFrame operations alone, also for lines that repeat themselves (few different shingles), that hold characters
+    outside the basic plane, or are shorter than a shingle."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(DataFrame, name, refuse)
+    r = random.Random(4)
+    long = "".join(r.choice("abcdefghij 😀é") for _ in range(300))
+    some = ["ab" * 40, "ab" * 300, "abc " * 90 + "tail", "abc " * 30 + "tail", "the first words " + "xyz" * 100, "the first words " + "xyz" * 40]
+    some += [long, long[:150] + "zz" + long[150:], long.replace("😀", "e"), long[:-5], "😀 b", "😀 B ", "😀 c", "one", "ONE\r"]
+    docs = [(k, x) for k, x in enumerate(some)]
+    want = brute(docs)
+    got = {x.doc_id: x.removed for x in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)).collect()}
+    assert got == want and 5 <= sum(map(len, want.values())) < 12
