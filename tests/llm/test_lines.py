@@ -185,3 +185,39 @@ def test_no_python_on_the_executors(spark, monkeypatch):
     want = brute(docs)
     got = {x.doc_id: x.removed for x in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)).collect()}
     assert got == want and 5 <= sum(map(len, want.values())) < 12
+
+
+def test_few_pairs_of_a_family_are_compared(spark, monkeypatch):
+    """Near copies that are not all alike: what is compared exactly grows with the lines, not with their pairs, and is no
+    less than what links them."""
+    from ledgerloom.llm import lines
+
+    r = random.Random(21)
+    docs = [(k, x) for k, x in enumerate(family(r, 60, 1, 40) + family(r, 120, 2, 40))]
+    want = brute(docs)
+    compared = []
+    decide = lines.similar_pairs
+    monkeypatch.setattr(lines, "similar_pairs", lambda pairs, *a: compared.append(pairs.count()) or decide(pairs, *a))
+    got = {x.doc_id: x.n_removed for x in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()}
+    wanted = sum(map(len, want.values()))
+    assert wanted > 60 and 0.98 * wanted <= sum(got.values()) <= wanted
+    assert sum(compared) < 4 * len(docs), compared
+
+
+def test_digests_rule_out_no_similar_pair(spark):
+    """Of all pairs of lines, none that reaches the threshold; of those that are far below it, nearly all."""
+    from ledgerloom.llm import lines
+    from pyspark.sql import functions as F
+
+    r = random.Random(22)
+    some = family(r, 40, 1, 40) + family(r, 25, 6, 60) + ["ab" * 40, "ab" * 300, "abc " * 90 + "tail", "abc " * 30 + "tail", "😀 b" * 20, "😀 b" * 19 + "c", "x", "y"]
+    nodes = spark.createDataFrame(list(enumerate(some)), "lid long, norm string").cache()
+    pairs = nodes.select(F.col("lid").alias("u")).crossJoin(nodes.select(F.col("lid").alias("v"))).where("u < v")
+    held = lines.digests(nodes)
+    assert {x.lid: x.n for x in held.select("lid", "n").collect()} == {k: len(grams(x)) for k, x in enumerate(some)}
+    left = {(x.u, x.v) for x in lines.near_pairs(pairs, held, 0.8).collect()}
+    share = {(u, v): len(grams(some[u]) & grams(some[v])) / len(grams(some[u]) | grams(some[v])) for u in range(len(some)) for v in range(u + 1, len(some))}
+    alike = {k for k, x in share.items() if x >= 0.8}
+    assert 100 < len(alike) and alike <= left
+    assert sum(k in left for k, x in share.items() if x < 0.7) < 10
+    assert {(x.u, x.v) for x in lines.similar_pairs(pairs, nodes, 0.8).collect()} == alike
