@@ -24,6 +24,8 @@ ANSWERS = "task_id string, page int, occurrence_id string, type string, explanat
 #: asks for the targets of requests (task_id, page, attempt, alone, feedback, targets) and returns rows of ANSWERS
 Ask = Callable[[DataFrame], DataFrame]
 REQUEST = ["task_id", "page", "alone"]
+#: what stands in ``Reconciled.calls`` for requests of one target
+ALONE = "alone"
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -73,7 +75,8 @@ def answer_failures(requests: DataFrame, answers: DataFrame) -> DataFrame:
 @dataclass
 class Reconciled:
     """``conclusions`` as ``reconcile.settled`` gives them; ``failures`` (task_id, page, message) of requests that failed to
-    the end; ``calls`` [(round, attempt, alone, number of requests)]."""
+    the end; ``calls`` [(round, attempt, alone, number of requests)], alone empty for pages and ALONE for all single rechecks
+    of an attempt."""
 
     conclusions: DataFrame
     failures: DataFrame
@@ -86,7 +89,8 @@ def _asked(requests: DataFrame, ask: Ask, feedback: Callable[[Column], Column],
     pending = requests.withColumn("feedback", F.lit(None).cast("string"))
     for attempt in range(1, max_attempts + 1):
         pending = written(pending.withColumn("attempt", F.lit(attempt)), "requests")
-        for row in pending.groupBy("alone").count().orderBy("alone").collect():
+        # two rows at most: single rechecks may be very many, and are counted together
+        for row in pending.groupBy(F.when(F.col("alone") != "", ALONE).otherwise("").alias("alone")).count().orderBy("alone").collect():
             calls.append((number, attempt, row.alone, row["count"]))
         answers = written(ask(pending), "answers")
         failed = written(answer_failures(pending, answers), "failed")

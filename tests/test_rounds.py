@@ -86,6 +86,16 @@ def test_retries_and_single_rechecks(spark):
     assert N.reconcile_in_rounds(paged.limit(0), model).conclusions.count() == 0
 
 
+def test_the_log_of_calls_does_not_grow_with_single_rechecks(spark):
+    """The driver keeps a row for all single rechecks of an attempt, whatever their number."""
+    paged = R.pages(candidates(spark, 40))
+    table = judged(paged)
+    got = N.reconcile_in_rounds(paged, Model(table, together=[f"t{t}-c{k:03d}" for t in (1, 2) for k in range(40)]))
+    assert rows(got.conclusions) == rows(R.settled(paged, table))
+    single = [c for c in got.calls if c[2]]
+    assert len({(c[0], c[1]) for c in single}) == len(single) and sum(c[3] for c in single) > 20
+
+
 def test_a_loop_goes_on_from_its_store(spark, tmp_path):
     paged = R.pages(candidates(spark, 30))
     table = judged(paged)
